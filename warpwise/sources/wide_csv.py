@@ -46,7 +46,7 @@ def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     head = text.first()
     if head is None:
         raise ValueError(f"no header line in {path}")
-    return text.withColumnRenamed("value", "line"), head["line"]
+    return text.withColumnRenamed("value", "line"), head["value"]
 
 
 def _parsed(spark: SparkSession, path: str, features: list[int], trim: str) -> DataFrame:
