@@ -28,6 +28,16 @@ def owner_rows(column) -> np.ndarray:
     return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
 
+def key_words(keys) -> tuple[np.ndarray, np.ndarray]:
+    """The two 64-bit words, in byte order, of an Arrow array of 16-byte keys."""
+    data = keys.buffers()[2]
+    if not len(keys):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    first = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset]
+    words = np.frombuffer(data, ">u8", 2 * len(keys), offset=int(first)).reshape(-1, 2)
+    return words[:, 0].astype(np.uint64), words[:, 1].astype(np.uint64)
+
+
 def fold(terms: np.ndarray) -> np.ndarray:
     return np.cumsum(terms, axis=1)[:, -1]
 

@@ -26,16 +26,14 @@ from .windows import lengths_of
 FIRST_PREFIX = 16_384  # windows of one length in the first prefix
 GROWTH = 8  # each prefix is this many times the one before
 GROUP_ITEMS = 16_384  # uncovered windows of one length that one task settles by itself
-NUMBER_SLICES = 256  # slices of the order in which representatives are numbered
-ORDER_BITS = 60  # bits of the first order key (15 hex digits)
 
 _WINDOW = [
     ("series_id", pa.string()),
     ("length", pa.int32()),
     ("start", pa.int64()),
-    ("hi", pa.int64()),
-    ("lo", pa.int64()),
+    ("key", pa.binary()),
 ]
+_IDS = [name for name, _ in _WINDOW]
 _OPEN = pa.schema(_WINDOW + [("values", pa.list_(pa.float64()))])
 _ASSIGNED = pa.schema(
     _WINDOW
@@ -43,71 +41,70 @@ _ASSIGNED = pa.schema(
         ("dist", pa.float64()),
         ("grp", pa.int32()),
         ("rep_length", pa.int32()),
-        ("rep_hi", pa.int64()),
-        ("rep_lo", pa.int64()),
+        ("rep_key", pa.binary()),
         ("rep_no", pa.int64()),
     ]
 )
-_EDGE = pa.schema([(n, pa.int64()) for n in ("hi", "lo", "early_hi", "early_lo")])
+_EDGE = pa.schema([("key", pa.binary()), ("early_key", pa.binary())])
 
 
 def priority(seed: int, series_id: Column, start: Column, end: Column) -> Column:
-    """The place of a window in the processing order: a hash of seed and coordinates."""
+    """The place of a window in the processing order: a hash of seed and coordinates (hex)."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), series_id, start, end))
 
 
-def _order_keys(digest: Column) -> list[Column]:
-    hi = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    lo = F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
-    return [hi.alias("hi"), lo.alias("lo")]
+def _hex_bound(share: float) -> str:
+    """The hash below which the given share of all hashes lies."""
+    return f"{int(share * (1 << 52)) << 12:016x}"
 
 
-def work_rows(
-    segments: DataFrame,
-    shortest: int,
-    longest: int,
-    seed: int,
-    include_last: bool,
-    low: float = 0.0,
-    high: float = 1.0,
-) -> DataFrame:
-    """One row per segment and length with its windows whose place lies in [low, high)."""
-    rows = lengths_of(segments, shortest, longest, include_last, "values")
+def work_rows(segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool) -> DataFrame:
+    """One row per segment and length: its windows as ``items (start, key)``, and their values.
+
+    ``key`` is the 16-byte hash that orders the windows.
+    """
 
-    def digest(at):
+    def item(at: Column) -> Column:
         start = F.col("seg_start") + at
-        return F.struct(
-            start.alias("start"),
-            priority(seed, F.col("series_id"), start, start + F.col("length")).alias("digest"),
-        )
+        digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
+        return F.struct(start.alias("start"), F.unhex(digest).alias("key"))
 
-    items = F.transform(
-        F.transform(F.sequence(F.lit(0), F.col("count") - 1), digest),
-        lambda x: F.struct(x["start"].alias("start"), *_order_keys(x["digest"])),
-    )
-    bound = float(1 << ORDER_BITS)
-    if low > 0:
-        items = F.filter(items, lambda x: x["hi"] >= F.lit(int(low * bound)))
-    if high < 1:
-        items = F.filter(items, lambda x: x["hi"] < F.lit(int(high * bound)))
-    return rows.select(
+    return lengths_of(segments, shortest, longest, include_last, "values").select(
         "series_id",
         "seg_start",
         "length",
-        items.alias("items"),
+        F.transform(F.sequence(F.lit(0), F.col("count") - 1), item).alias("items"),
         F.slice("values", F.lit(1), F.col("count") + F.col("length") - 1).alias("values"),
-    ).where(F.size("items") > 0)
+    )
+
+
+def first_windows(
+    segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool, high: float
+) -> DataFrame:
+    """The windows, with values, whose place lies in the first share ``high`` of the order."""
+    start = F.col("seg_start") + F.col("at")
+    digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
+    flat = (
+        lengths_of(segments, shortest, longest, include_last, "values")
+        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+        .withColumn("digest", digest)
+    )
+    if high < 1:
+        flat = flat.where(F.col("digest") < _hex_bound(high))
+    return flat.select(
+        "series_id",
+        "length",
+        start.alias("start"),
+        F.unhex("digest").alias("key"),
+        F.slice("values", F.col("at") + 1, F.col("length")).alias("values"),
+    )
 
 
 def _flat(rows: DataFrame) -> DataFrame:
     """Work rows -> one row per window with its values."""
+    offset = (F.col("item.start") - F.col("seg_start")).cast("int") + 1
     return rows.select("*", F.explode("items").alias("item")).select(
-        "series_id",
-        "length",
-        "item.start",
-        "item.hi",
-        "item.lo",
-        F.slice("values", (F.col("item.start") - F.col("seg_start")).cast("int") + 1, F.col("length")).alias("values"),
+        "series_id", "length", "item.start", "item.key", F.slice("values", offset, F.col("length")).alias("values")
     )
 
 
@@ -117,7 +114,7 @@ def _single(rows: DataFrame) -> DataFrame:
         "series_id",
         F.col("start").alias("seg_start"),
         "length",
-        F.array(F.struct("start", "hi", "lo")).alias("items"),
+        F.array(F.struct("start", "key")).alias("items"),
         "values",
     )
 
@@ -143,14 +140,13 @@ class _Patterns:
     """Representatives of one length, sorted by mean."""
 
     def __init__(self, table: pa.Table, length: int):
-        column = {n: table[n].to_numpy() for n in ("grp", "hi", "lo", "no")}
-        _, values = K.offsets_and_values(table["values"])
-        values = values.reshape(-1, length)
+        values = K.offsets_and_values(table["values"])[1].reshape(-1, length)
         means = values.mean(axis=1)
         rank = np.argsort(means, kind="stable")
         self.length, self.values, self.means = length, values[rank], means[rank]
-        for name, data in column.items():
-            setattr(self, name, data[rank])
+        self.grp, self.no = table["grp"].to_numpy()[rank], table["no"].to_numpy()[rank]
+        self.key = table["key"].combine_chunks().take(pa.array(rank))
+        self.hi, self.lo = K.key_words(self.key)
 
     @staticmethod
     def by_length(table: pa.Table) -> dict[int, "_Patterns"]:
@@ -160,18 +156,32 @@ class _Patterns:
         }
 
 
-def _tiles(batch, rule, patterns):
-    """Yield ``(items, values, radius, pattern slices)`` for tiles of windows of one length."""
+class _Tile:
+    """Windows of one length in a batch: rows of ``items``, values, and patterns in reach."""
+
+    def __init__(self, index, hi, lo, values, length, radius, slices):
+        self.index, self.hi, self.lo = index, hi, lo
+        self.values, self.length, self.radius, self.slices = values, length, radius, slices
+
+
+def _tiles(batch, rule, patterns, low=0.0, high=1.0):
+    """Cut a batch of work rows into tiles; ``low`` and ``high`` bound the place in the order."""
     items = batch.column("items").flatten()
     row = K.owner_rows(batch.column("items"))
-    start, hi, lo = (items.field(n).to_numpy(zero_copy_only=False) for n in ("start", "hi", "lo"))
+    start = items.field("start").to_numpy(zero_copy_only=False)
+    hi, lo = K.key_words(items.field("key"))
     offsets, flat = K.offsets_and_values(batch.column("values"))
     at = offsets[row] + start - batch.column("seg_start").to_numpy()[row]
     length = batch.column("length").to_numpy()[row]
     sums = np.concatenate([[0.0], np.cumsum(flat)])
-    for n in np.unique(length):
+    inside = np.ones(len(row), dtype=bool)
+    if low > 0:
+        inside &= hi >= int(_hex_bound(low), 16)
+    if high < 1:
+        inside &= hi < int(_hex_bound(high), 16)
+    for n in np.unique(length[inside]):
         n = int(n)
-        chosen = np.nonzero(length == n)[0]
+        chosen = np.nonzero(inside & (length == n))[0]
         chosen = chosen[np.argsort(sums[at[chosen] + n] - sums[at[chosen]], kind="stable")]
         radius = rule.radius(n)
         near = [p for m, p in patterns.items() if m == n or (rule.cross_length and m < n)]
@@ -185,13 +195,20 @@ def _tiles(batch, rule, patterns):
                 a = np.searchsorted(p.means, means.min() - reach, "left")
                 b = np.searchsorted(p.means, means.max() + reach, "right")
                 slices += [(p, slice(s, min(s + K.PATTERN_TILE, b))) for s in range(a, b, K.PATTERN_TILE)]
-            yield (row[tile], start[tile], hi[tile], lo[tile]), values, n, radius, slices
+            yield _Tile(tile, hi[tile], lo[tile], values, n, radius, slices)
 
 
-def _window_columns(batch, item, n) -> list:
-    row, start, hi, lo = item
-    size = len(row)
-    return [batch.column("series_id").take(pa.array(row)), np.full(size, n, np.int32), start, hi, lo]
+def _window_columns(batch, index, length) -> list:
+    """The identifying columns of the windows at ``index`` of the batch's flattened items."""
+    items = batch.column("items").flatten()
+    row = K.owner_rows(batch.column("items"))[index]
+    index = pa.array(index)
+    return [
+        batch.column("series_id").take(pa.array(row)),
+        np.full(len(row), length, np.int32),
+        items.field("start").take(index),
+        items.field("key").take(index),
+    ]
 
 
 def _table(schema: pa.Schema, parts: list[list]) -> pa.Table:
@@ -204,36 +221,35 @@ def _table(schema: pa.Schema, parts: list[list]) -> pa.Table:
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
-def _earlier(pattern: _Patterns, part: slice, hi, lo, n: int, strict: bool) -> np.ndarray:
+def _earlier(pattern: _Patterns, part: slice, tile: _Tile, strict: bool) -> np.ndarray:
     """Which patterns existed when each window came up (a representative sees itself too)."""
-    if pattern.length < n:
-        return np.ones((len(hi), part.stop - part.start), dtype=bool)
+    if pattern.length < tile.length:
+        return np.ones((len(tile.hi), part.stop - part.start), dtype=bool)
     p_hi, p_lo = pattern.hi[part][None, :], pattern.lo[part][None, :]
-    hi, lo = hi[:, None], lo[:, None]
+    hi, lo = tile.hi[:, None], tile.lo[:, None]
     before = (p_lo < lo) if strict else (p_lo <= lo)
     return (pattern.grp[part] == 0)[None, :] | (p_hi < hi) | ((p_hi == hi) & before)
 
 
-def _prepare_open(rule: _Rule):
-    """Kernel: windows that no pattern covers, with their values."""
+def _prepare_open(rule: _Rule, low: float, high: float):
+    """Kernel: windows of a stretch of the order that no pattern covers, with their values."""
 
     def prepare(table: pa.Table):
         patterns = _Patterns.by_length(table)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts = []
-            for item, values, n, radius, slices in _tiles(batch, rule, patterns):
-                left = np.arange(len(values))
-                for pattern, part in slices:
-                    hit = K.covered(values[left], pattern.values[part], radius, rule.metric, rule.p)
+            for tile in _tiles(batch, rule, patterns, low, high):
+                left = np.arange(len(tile.values))
+                for pattern, part in tile.slices:
+                    hit = K.covered(tile.values[left], pattern.values[part], tile.radius, rule.metric, rule.p)
                     left = left[~hit]
                     if not len(left):
                         break
                 if len(left):
-                    kept = tuple(c[left] for c in item)
-                    ends = np.arange(0, (len(left) + 1) * n, n, dtype=np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[left].ravel()))
-                    parts.append(_window_columns(batch, kept, n) + [lists])
+                    ends = np.arange(0, (len(left) + 1) * tile.length, tile.length, dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tile.values[left].ravel()))
+                    parts.append(_window_columns(batch, tile.index[left], tile.length) + [lists])
             return _table(_OPEN, parts)
 
         return run
@@ -249,23 +265,26 @@ def _prepare_assign(rule: _Rule):
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts = []
-            for item, values, n, radius, slices in _tiles(batch, rule, patterns):
+            for tile in _tiles(batch, rule, patterns):
                 found = []
-                for pattern, part in slices:
-                    allowed = _earlier(pattern, part, item[2], item[3], n, strict=False)
+                for s, (pattern, part) in enumerate(tile.slices):
+                    allowed = _earlier(pattern, part, tile, strict=False)
                     keys = [pattern.grp[part], pattern.hi[part], pattern.lo[part]]
-                    i, j, d = K.nearest(values, pattern.values[part], radius, allowed, keys, rule.metric, rule.p)
-                    same = np.full(len(i), pattern.length, np.int32)
-                    found.append((i, d, keys[0][j], same, keys[1][j], keys[2][j], pattern.no[part][j]))
+                    i, j, d = K.nearest(tile.values, pattern.values[part], tile.radius, allowed, keys, rule.metric, rule.p)
+                    found.append((i, d, keys[0][j], np.full(len(i), pattern.length, np.int32), keys[1][j], keys[2][j], np.full(len(i), s), j + part.start))
                 if not found:
                     continue
-                i, d, grp, m, hi, lo, no = (np.concatenate(c) for c in zip(*found))
+                i, d, grp, m, hi, lo, where, j = (np.concatenate(c) for c in zip(*found))
                 rank = np.lexsort((lo, hi, m, grp, d, i))
                 first = rank[np.unique(i[rank], return_index=True)[1]]
-                kept = tuple(c[i[first]] for c in item)
-                parts.append(
-                    _window_columns(batch, kept, n) + [c[first] for c in (d, grp, m, hi, lo, no)]
-                )
+                for s, (pattern, _) in enumerate(tile.slices):
+                    mine = first[where[first] == s]
+                    if len(mine):
+                        at = pa.array(j[mine])
+                        parts.append(
+                            _window_columns(batch, tile.index[i[mine]], tile.length)
+                            + [d[mine], grp[mine], m[mine], pattern.key.take(at), pattern.no[j[mine]]]
+                        )
             return _table(_ASSIGNED, parts)
 
         return run
@@ -281,17 +300,19 @@ def _prepare_edges(rule: _Rule):
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts = []
-            for item, values, n, radius, slices in _tiles(batch, rule, patterns):
-                for pattern, part in slices:
-                    if pattern.length != n:
+            keys = batch.column("items").flatten().field("key")
+            for tile in _tiles(batch, rule, patterns):
+                for pattern, part in tile.slices:
+                    if pattern.length != tile.length:
                         continue
                     other = pattern.values[part]
-                    rough, error, limit = K.rough_matrix(values, other, radius, rule.metric, rule.p)
-                    rough[~_earlier(pattern, part, item[2], item[3], n, strict=True)] = np.inf
+                    rough, error, limit = K.rough_matrix(tile.values, other, tile.radius, rule.metric, rule.p)
+                    rough[~_earlier(pattern, part, tile, strict=True)] = np.inf
                     i, j = np.nonzero(rough <= limit + error)
-                    keep = K.pair_distance(values[i], other[j], rule.metric, rule.p) <= radius if len(i) else []
-                    i, j = i[keep], j[keep]
-                    parts.append([item[2][i], item[3][i], pattern.hi[part][j], pattern.lo[part][j]])
+                    if len(i):
+                        keep = K.pair_distance(tile.values[i], other[j], rule.metric, rule.p) <= tile.radius
+                        i, j = i[keep], j[keep] + part.start
+                        parts.append([keys.take(pa.array(tile.index[i])), pattern.key.take(pa.array(j))])
             return _table(_EDGE, parts)
 
         return run
@@ -303,7 +324,7 @@ def _settle_in_groups(open_: DataFrame, rule: _Rule) -> DataFrame:
     """Representatives among uncovered windows when each length's fit one task."""
 
     def settle(table: pa.Table) -> pa.Table:
-        hi, lo = table["hi"].to_numpy(), table["lo"].to_numpy()
+        hi, lo = K.key_words(table["key"].combine_chunks())
         rank = np.lexsort((lo, hi))
         n = int(table["length"][0].as_py())
         values = K.offsets_and_values(table["values"])[1].reshape(-1, n)[rank]
@@ -320,52 +341,47 @@ def _settle_in_rounds(open_: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     are covered. The prefix rule keeps the graph sparse: a window close to many others is
     covered by an earlier prefix and never gets here.
     """
-    key = ["hi", "lo"]
-    early = [F.col("hi").alias("early_hi"), F.col("lo").alias("early_lo")]
     patterns = open_.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long"))
     edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, **limits), "edges")
-    undecided = open_.select(*key)
+    undecided = open_.select("key")
     chosen = None
     while True:
-        fresh = materialise(undecided.join(edges.select(*key), key, "left_anti"), "round-reps")
+        fresh = materialise(undecided.join(edges.select("key"), "key", "left_anti"), "round-reps")
         chosen = fresh if chosen is None else chosen.unionByName(fresh)
-        beaten = edges.join(fresh.select(*early), ["early_hi", "early_lo"], "left_semi").select(*key)
+        early = F.col("key").alias("early_key")
+        beaten = edges.join(fresh.select(early), "early_key", "left_semi").select("key")
         gone = materialise(beaten.distinct().unionByName(fresh), "round-gone")
-        undecided = materialise(undecided.join(gone, key, "left_anti"), "round-open")
+        undecided = materialise(undecided.join(gone, "key", "left_anti"), "round-open")
         if undecided.isEmpty():
-            return open_.join(chosen, key, "left_semi")
+            return open_.join(chosen, "key", "left_semi").select(*_OPEN.names)
         edges = materialise(
-            edges.join(gone, key, "left_anti").join(
-                gone.select(*early), ["early_hi", "early_lo"], "left_anti"
-            ),
+            edges.join(gone, "key", "left_anti")
+            .join(gone.select(early), "early_key", "left_anti")
+            .select("key", "early_key"),
             "edges",
         )
 
 
-def _find_representatives(make_rows, most: int, rule: _Rule, seeds: DataFrame | None, sizes: dict) -> DataFrame:
-    """Written table of new representatives; ``make_rows(low, high)`` gives the work rows of a
-    stretch of the order and ``most`` is the largest number of windows of one length."""
+def _find_representatives(source, rule: _Rule, seeds: DataFrame | None, sizes: dict) -> DataFrame | None:
+    """Written table of new representatives among the windows of ``source``."""
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
     found: DataFrame | None = None
-    low, high = 0.0, min(1.0, sizes["first_prefix"] / max(1, most))
+    low, high = 0.0, min(1.0, sizes["first_prefix"] / max(1, source.most))
     while True:
         known = found if seeds is None else seeds if found is None else seeds.unionByName(found)
-        rows = make_rows(low, high)
-        if known is None and most * (high - low) <= sizes["group_items"]:
-            fresh = _settle_in_groups(_flat(rows), rule)
+        if known is None:
+            # nothing to compare with yet: the stretch competes as a whole
+            open_ = source.first(high)
+            largest = source.most * high
         else:
-            open_ = _flat(rows) if known is None else score(
-                rows, known, _prepare_open(rule), _OPEN, agree_on=_OPEN.names[:5], **limits
-            )
-            open_ = materialise(open_, "open")
-            largest = open_.groupBy("length").count().agg(F.max("count")).first()[0]
-            if not largest:
-                fresh = None
-            elif largest <= sizes["group_items"]:
+            kernel = _prepare_open(rule, low, high)
+            open_ = materialise(score(source.rows(), known, kernel, _OPEN, agree_on=_IDS, **limits), "open")
+            largest = open_.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+        if largest:
+            if largest <= sizes["group_items"]:
                 fresh = _settle_in_groups(open_, rule)
             else:
-                fresh = _settle_in_rounds(open_, rule, limits)
-        if fresh is not None:
+                fresh = _settle_in_rounds(open_ if known is not None else materialise(open_, "open"), rule, limits)
             fresh = materialise(fresh.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long")), "reps")
             found = fresh if found is None else found.unionByName(fresh)
         if high >= 1.0:
@@ -373,21 +389,20 @@ def _find_representatives(make_rows, most: int, rule: _Rule, seeds: DataFrame |
         low, high = high, min(1.0, high * GROWTH)
 
 
-def _number(reps: DataFrame, slices: int = NUMBER_SLICES) -> DataFrame:
+def _number(reps: DataFrame) -> DataFrame:
     """Fill ``no``: the creation number within the length.
 
-    The order key is a hash, so equal slices of its range hold equal shares; slices are
+    The order key is a hash, so each first byte holds an equal share; these slices are
     counted, then numbered inside, and no length is ever sorted in one task.
     """
-    width = (1 << ORDER_BITS) // slices
-    reps = reps.drop("no").withColumn("_slice", F.floor(F.col("hi") / F.lit(width)).cast("int"))
+    reps = reps.drop("no").withColumn("_slice", F.substring("key", 1, 1))
     by_length = W.partitionBy("length").orderBy("grp", "_slice").rowsBetween(W.unboundedPreceding, -1)
     before = (
         reps.groupBy("length", "grp", "_slice")
         .count()
         .select("length", "grp", "_slice", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("_before"))
     )
-    inside = F.row_number().over(W.partitionBy("length", "grp", "_slice").orderBy("hi", "lo")) - 1
+    inside = F.row_number().over(W.partitionBy("length", "grp", "_slice").orderBy("key")) - 1
     return (
         reps.withColumn("_inside", inside)
         .join(before, ["length", "grp", "_slice"])
@@ -396,47 +411,64 @@ def _number(reps: DataFrame, slices: int = NUMBER_SLICES) -> DataFrame:
     )
 
 
+def _nearest_of_blocks(found: DataFrame) -> DataFrame:
+    best = F.min(F.struct(*[n for n in _ASSIGNED.names if n not in _IDS])).alias("b")
+    return found.groupBy(*_IDS).agg(best).select(*_IDS, "b.*")
+
+
 def _assign(rows: DataFrame, reps: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     """Nearest representative of every window that has one within the radius."""
-    columns = [f.name for f in _ASSIGNED]
-    found = score(rows, reps, _prepare_assign(rule), _ASSIGNED, **limits)
-    best = columns[5:]
-    # one row per window unless the patterns came in several blocks
-    return (
-        found.groupBy("series_id", "length", "start", "hi", "lo")
-        .agg(F.min(F.struct(*best)).alias("b"))
-        .select(*columns[:5], "b.*")
-    )
+    return score(rows, reps, _prepare_assign(rule), _ASSIGNED, combine=_nearest_of_blocks, **limits)
 
 
 def _clusters(assigned: DataFrame) -> DataFrame:
-    same = (F.col("length") == F.col("rep_length")) & (F.col("hi") == F.col("rep_hi")) & (F.col("lo") == F.col("rep_lo"))
     return assigned.select(
         "length",
         F.concat_ws("_", "rep_length", "rep_no").alias("cluster_id"),
         "series_id",
         "start",
         (F.col("start") + F.col("length")).alias("end"),
-        same.alias("is_rep"),
+        (F.col("key") == F.col("rep_key")).alias("is_rep"),
         F.col("dist").alias("rep_dist"),
     )
 
 
-class _Input:
-    """Segments spread for the work ahead, and the largest number of windows of one length."""
+class _Windows:
+    """All windows of a range of lengths, spread for the work ahead.
 
-    def __init__(self, segments, shortest, longest, seed, include_last):
+    ``most`` is the largest number of windows of one length.
+    """
+
+    def __init__(self, segments, shortest, longest, seed, include_last, most=None):
         self.args = (shortest, longest, seed, include_last)
-        cores = segments.sparkSession.sparkContext.defaultParallelism
-        count = lengths_of(segments, shortest, shortest, include_last).agg(F.sum("count")).first()[0]
-        self.most = int(count or 0)
-        # little data may sit in fewer partitions than there are cores
-        self.segments = segments if self.most > cores * 1_000_000 else segments.repartition(cores)
+        if most is None:
+            count = lengths_of(segments, shortest, shortest, include_last).agg(F.sum("count")).first()[0]
+            most = int(count or 0)
+            # little data may sit in fewer partitions than there are cores
+            cores = segments.sparkSession.sparkContext.defaultParallelism
+            segments = segments if most > cores * 1_000_000 else segments.repartition(cores)
+        self.segments, self.most = segments, most
+
+    def only(self, length: int) -> "_Windows":
+        return _Windows(self.segments, length, length, *self.args[2:], most=self.most)
+
+    def rows(self) -> DataFrame:
+        return work_rows(self.segments, *self.args)
+
+    def first(self, high: float) -> DataFrame:
+        return first_windows(self.segments, *self.args, high)
 
-    def rows(self, low=0.0, high=1.0, only=None):
-        shortest, longest, seed, include_last = self.args
-        a, b = (shortest, longest) if only is None else (only, only)
-        return work_rows(self.segments, a, b, seed, include_last, low, high)
+
+class _Listed:
+    """Windows given as written work rows."""
+
+    def __init__(self, rows: DataFrame):
+        self.listed = rows
+        sizes = rows.groupBy("length").agg(F.sum(F.size("items")).alias("n"))
+        self.most = sizes.agg(F.max("n")).first()[0] or 0
+
+    def rows(self) -> DataFrame:
+        return self.listed
 
 
 def _sizes(sizes: dict) -> dict:
@@ -467,16 +499,14 @@ def leader_clusters(
     """
     rule, sizes = _Rule(st, metric, p), _sizes(sizes)
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
-    source = _Input(segments, shortest, longest, seed, include_last)
+    source = _Windows(segments, shortest, longest, seed, include_last)
     if rule.cross_length:
         reps = None
         for n in range(shortest, longest + 1):
-            fresh = _find_representatives(
-                lambda low, high: source.rows(low, high, only=n), source.most, rule, reps, sizes
-            )
+            fresh = _find_representatives(source.only(n), rule, reps, sizes)
             reps = fresh if reps is None else reps if fresh is None else reps.unionByName(fresh)
     else:
-        reps = _find_representatives(source.rows, source.most, rule, None, sizes)
+        reps = _find_representatives(source, rule, None, sizes)
     reps = materialise(_number(reps), "reps")
     return _clusters(_assign(source.rows(), reps, rule, limits))
 
@@ -499,8 +529,8 @@ def two_pass_clusters(
     if rule.cross_length:
         raise ValueError("two-pass clustering takes the metrics eu, ma and mi")
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
-    source = _Input(segments, shortest, longest, seed, include_last)
-    first = _find_representatives(source.rows, source.most, rule.times(2.0), None, sizes)
+    source = _Windows(segments, shortest, longest, seed, include_last)
+    first = _find_representatives(source, rule.times(2.0), None, sizes)
     first = materialise(_number(first), "reps")
     placed = materialise(_assign(source.rows(), first, rule.times(2.0), limits), "pass-one")
 
@@ -515,23 +545,12 @@ def two_pass_clusters(
     grouped = (
         waiting.withColumn("seg_start", segment)
         .groupBy("series_id", "seg_start", "length")
-        .agg(F.collect_list(F.struct("start", "hi", "lo")).alias("items"))
+        .agg(F.collect_list(F.struct("start", "key")).alias("items"))
         .join(source.segments.select("series_id", "seg_start", "values"), ["series_id", "seg_start"])
     )
     rows = materialise(grouped, "waiting")
-    bound = float(1 << ORDER_BITS)
-
-    def stretch(low: float, high: float) -> DataFrame:
-        kept = rows
-        if low > 0:
-            kept = kept.withColumn("items", F.filter("items", lambda x: x["hi"] >= F.lit(int(low * bound))))
-        if high < 1:
-            kept = kept.withColumn("items", F.filter("items", lambda x: x["hi"] < F.lit(int(high * bound))))
-        return kept.where(F.size("items") > 0)
-
-    most = rows.groupBy("length").agg(F.sum(F.size("items")).alias("n")).agg(F.max("n")).first()[0]
     seeds = first.withColumn("grp", F.lit(0))
-    second = _find_representatives(stretch, most, rule, seeds, sizes)
+    second = _find_representatives(_Listed(rows), rule, seeds, sizes)
     every = seeds if second is None else seeds.unionByName(second)
     every = materialise(_number(every), "reps")
     settled = _assign(rows, every, rule, limits)

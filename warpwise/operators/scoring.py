@@ -35,13 +35,15 @@ def score(
     prepare: Prepare,
     result: pa.Schema,
     agree_on: list[str] | None = None,
+    combine: Callable[[DataFrame], DataFrame] | None = None,
     broadcast_cells: int = BROADCAST_CELLS,
     block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """``prepare(patterns)`` applied to all rows, for all patterns.
 
-    ``rows`` needs columns ``series_id`` and ``values``; ``patterns`` needs ``values``. With
-    ``agree_on`` a result stays only if every pattern block gave one with the same key.
+    ``rows`` needs columns ``series_id`` and ``values``; ``patterns`` needs ``values``. When
+    the patterns come in several blocks, ``agree_on`` keeps a result only if every block gave one
+    with the same key, and ``combine`` merges what the blocks found.
     """
     schema = from_arrow_schema(result)
     size = cells(patterns)
@@ -77,6 +79,8 @@ def score(
         .cogroup(right.groupBy("_row", "_pattern"))
         .applyInArrow(over_block, schema)
     )
+    if combine is not None:
+        return combine(scored)
     if agree_on is None:
         return scored
     others = [F.first(c).alias(c) for c in scored.columns if c not in agree_on]

@@ -27,6 +27,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Write ``df``; with partition columns, rows are first gathered by them into even files.
+
+    The rebalance step splits a partition value that holds much of the data.
+    """
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -34,8 +45,5 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     joins from the real file size.
     """
     path = new_path(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    write_parquet(df, path, partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

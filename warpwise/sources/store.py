@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..runtime import write_parquet
+
 # The folders of a stored dataset.
 PARTS = ("series", "windows", "clusters")
 
@@ -61,8 +63,7 @@ def save_dataset(
     mode = "overwrite" if overwrite else "errorifexists"
     for name, part in zip(PARTS, (series, windows, clusters)):
         if part is not None:
-            writer = part.write.mode(mode)
-            (writer if name == "series" else writer.partitionBy("length")).parquet(f"{path}/{name}")
+            write_parquet(part, f"{path}/{name}", None if name == "series" else ["length"], mode)
 
 
 def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
