@@ -28,16 +28,16 @@ ROUNDS = {"first_prefix": 30, "group_items": 4}
 BLOCKS = {"first_prefix": 20, "group_items": 20, "broadcast_cells": 0, "block_cells": 1500}
 
 
-@pytest.mark.parametrize("sizes", [{}, SMALL, ROUNDS, BLOCKS], ids=["plain", "prefixes", "rounds", "blocks"])
-@pytest.mark.parametrize("st", [0.15, 0.6])
+@pytest.mark.parametrize("sizes,st", [({}, 0.6), (SMALL, 0.15), (ROUNDS, 0.15), (ROUNDS, 0.6), (BLOCKS, 0.15)])
 def test_leader_equals_loop(spark, sizes, st):
     series = make_series(6, 8, 30, seed=3)
     got = leader_clusters(segments(spark, series, 5), 3, 5, st, seed=7, **sizes)
     assert rows(got) == naive.leader(series, 3, 5, st, 7)
 
 
-@pytest.mark.parametrize("metric,p", [("ma", 2.0), ("mi", 2.0), ("mi", 3.0), ("dtw", 2.0)])
-@pytest.mark.parametrize("sizes", [{}, SMALL], ids=["plain", "prefixes"])
+@pytest.mark.parametrize(
+    "metric,p,sizes", [("ma", 2.0, SMALL), ("mi", 2.0, {}), ("mi", 3.0, SMALL), ("dtw", 2.0, {}), ("dtw", 2.0, SMALL)]
+)
 def test_metrics_equal_loop(spark, metric, p, sizes):
     series = make_series(4, 8, 20, seed=5, digits=1)
     got = rows(leader_clusters(segments(spark, series, 4), 3, 4, 0.8, 1, metric, p, **sizes))
@@ -46,8 +46,7 @@ def test_metrics_equal_loop(spark, metric, p, sizes):
     assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-12)
 
 
-@pytest.mark.parametrize("sizes", [{}, SMALL, ROUNDS, BLOCKS], ids=["plain", "prefixes", "rounds", "blocks"])
-@pytest.mark.parametrize("st", [0.2, 0.5])
+@pytest.mark.parametrize("sizes,st", [({}, 0.5), (SMALL, 0.2), (ROUNDS, 0.2), (BLOCKS, 0.2)])
 def test_two_pass_equals_loop(spark, sizes, st):
     series = make_series(6, 8, 30, seed=11)
     got = two_pass_clusters(segments(spark, series, 4), 3, 4, st, seed=2, **sizes)
