@@ -12,6 +12,7 @@ import numpy as np
 ITEM_TILE = 1024
 PATTERN_TILE = 4096
 PAIR_CHUNK = 4096
+BOUND_CELLS = 2_000_000  # cells of window pairs laid out at a time for their bounds
 SLACK = 1e-9
 
 
@@ -155,8 +156,9 @@ def rough_matrix(a, b, radius, metric, p):
         return rough, SLACK * (na.max() + nb.max()) + 1e-15, radius * radius
     if metric == "dtw":
         rough = np.full((len(a), len(b)), np.inf)
-        for i in range(0, len(a), 64):
-            tile = a[i : i + 64]
+        step = max(1, BOUND_CELLS // (len(b) * max(a.shape[1], b.shape[1])))
+        for i in range(0, len(a), step):
+            tile = a[i : i + step]
             left = np.repeat(np.arange(len(tile)), len(b))
             right = np.tile(np.arange(len(b)), len(tile))
             keep = dtw_lower(tile[left], b[right]) <= radius * (1 + SLACK) + 1e-12

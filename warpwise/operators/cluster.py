@@ -24,7 +24,8 @@ from .scoring import BLOCK_CELLS, BROADCAST_CELLS, score
 from .windows import lengths_of
 
 FIRST_PREFIX = 16_384  # windows of one length in the first prefix
-GROWTH = 8  # each prefix is this many times the one before
+GROWTH = 8  # the second prefix is this many times the first one
+MOST_GROWTH = 64  # a later prefix grows by what its predecessor left uncovered, up to this
 GROUP_ITEMS = 16_384  # uncovered windows of one length that one task settles by itself
 
 _WINDOW = [
@@ -386,7 +387,10 @@ def _find_representatives(source, rule: _Rule, seeds: DataFrame | None, sizes: d
             found = fresh if found is None else found.unionByName(fresh)
         if high >= 1.0:
             return found
-        low, high = high, min(1.0, high * GROWTH)
+        growth = GROWTH
+        if known is not None:
+            growth = min(MOST_GROWTH, max(2, sizes["group_items"] // max(1, largest)))
+        low, high = high, min(1.0, high * growth)
 
 
 def _number(reps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kernels as K
 from ..functions.warping import warping_path
+from ..runtime import materialise
 from ..sources.segments import STRIDE, with_values
 from .scoring import score
 
@@ -95,7 +96,7 @@ def best_match(
         .select("query_id", "length", "b.series_id", "b.start", F.col("b.dist").alias("distance"))
     )
     return (
-        with_values(best, segments, stride)
+        with_values(materialise(best, "best"), segments, stride)
         .join(queries.select("query_id", "q"), "query_id")
         .select(
             "query_id",

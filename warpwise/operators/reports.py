@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..runtime import materialise
 from ..sources.segments import STRIDE, with_values
 
 
@@ -18,7 +19,7 @@ def cluster_profile(
 
     The representative comes first, then by (series_id, start).
     """
-    wanted = clusters.select("length").distinct().orderBy("length").limit(lengths)
+    wanted = clusters.select("length").distinct().orderBy("length").limit(lengths)  # a few rows
     order = W.partitionBy("length", "cluster_id").orderBy(F.desc("is_rep"), "series_id", "start")
     shown = (
         clusters.join(F.broadcast(wanted), "length")
@@ -26,7 +27,7 @@ def cluster_profile(
         .where(F.col("member") <= members)
     )
     label = F.concat(F.lit("id "), F.col("cluster_id"), F.col("series_id"), F.lit("_"), F.col("start"), F.lit("_"), F.col("end"))
-    labelled = with_values(shown, segments, stride).withColumn("label", label)
+    labelled = with_values(materialise(shown, "shown"), segments, stride).withColumn("label", label)
     return _points(labelled, "length", "cluster_id", "member", "label")
 
 
@@ -37,7 +38,7 @@ def result_profile(
     label = F.concat(
         F.lit("Rank"), F.col("rank"), F.lit(" id "), F.col("series_id"), F.lit("_"), F.col("start"), F.lit("_"), F.col("end")
     )
-    matches = with_values(results, segments, stride).withColumn("label", label)
+    matches = with_values(materialise(results, "results"), segments, stride).withColumn("label", label)
     asked = queries.select(
         "query_id",
         F.lit(0).alias("length"),

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-# Patterns up to this many array cells (8 bytes each) are broadcast, and no block holds more.
-BROADCAST_CELLS = 4_000_000
-BLOCK_CELLS = 1_000_000
+# Patterns up to this many array cells (8 bytes each) are broadcast; larger sets are cut into blocks.
+BROADCAST_CELLS = 16_000_000
+BLOCK_CELLS = 2_000_000
+ROW_BLOCKS = 4  # a row block is this many times larger: patterns are copied to every row block
 ROW_CELLS = 96  # weight of a pattern's other columns
 
 Prepare = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.Table]]
@@ -58,7 +59,7 @@ def score(
         return rows.mapInArrow(over_batches, schema)
 
     pattern_blocks = math.ceil(size / block_cells)
-    row_blocks = math.ceil(max(1, cells(rows)) / block_cells)
+    row_blocks = math.ceil(max(1, cells(rows)) / (block_cells * ROW_BLOCKS))
 
     def block(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         key = F.xxhash64(*[c for c in frame.columns if not c.startswith("_")])

@@ -93,7 +93,9 @@ def nearest_representatives(
     """
     reps = in_length_range(clusters, low, high).where("is_rep")
     number = F.element_at(F.split("cluster_id", "_"), -1).cast("long")
-    rows = with_values(reps.select("series_id", "start", "length", "cluster_id", number.alias("cluster_no")), segments, stride)
+    reps = reps.select("series_id", "start", "length", "cluster_id", number.alias("cluster_no"))
+    # written first: few representatives then go to the segments, not the segments to them
+    rows = with_values(materialise(reps, "reps"), segments, stride)
     patterns = queries.select("query_id", "source_series_id", F.col("q").alias("values"))
     found = score(rows, patterns, _prepare_nearest(drop_same_id_reps), _NEAREST, **limits)
     best = F.min(F.struct("dist", "cluster_no", "cluster_id"))
@@ -119,7 +121,7 @@ def scored_members(
     members = clusters.select("length", "cluster_id", "series_id", "start", "end").join(chosen, ["length", "cluster_id"])
     if exclude_own:
         members = exclude_same_id(members)
-    return with_values(members, segments, stride).select(
+    return with_values(materialise(members, "members"), segments, stride).select(
         "query_id", "length", "series_id", "start", "end", dtw(F.col("values"), F.col("q")).alias("dist")
     )
 

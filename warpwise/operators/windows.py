@@ -100,33 +100,27 @@ def cut(segments: DataFrame, specs: DataFrame, stride: int = STRIDE) -> DataFram
     An unknown series raises; an end past the series shortens the slice. Each slice is put
     together from the segments it touches, joined on (series, segment).
     """
-    pieces = specs.withColumn(
-        "seg_start",
-        F.explode(
-            F.sequence(
-                F.col("start") - F.col("start") % stride,
-                F.greatest("start", F.col("end") - 1),
-                F.lit(stride).cast("long"),
-            )
-        ),
-    )
+    step = F.lit(stride).cast("long")
+    touched = F.sequence(F.col("start") - F.col("start") % stride, F.greatest("start", F.col("end") - 1), step)
+    # the first segment shows that the series exists
+    pieces = specs.withColumn("seg_start", F.explode(F.array_union(F.array(F.lit(0).cast("long")), touched)))
     owner = segments.select("series_id", "seg_start", F.slice("values", 1, F.col("own")).alias("owned"))
-    known = segments.where("seg_start = 0").select("series_id", F.lit(True).alias("known"))
-    offset = F.greatest(F.lit(0), F.col("start") - F.col("seg_start")).cast("int")
-    stop = F.least(F.size("owned").cast("long"), F.col("end") - F.col("seg_start")).cast("int")
-    part = F.slice("owned", offset + 1, F.greatest(F.lit(0), stop - offset))
-    message = F.concat(F.lit("series not found: "), F.col("series_id"))
-    return (
-        pieces.join(owner, ["series_id", "seg_start"], "left")
-        .groupBy("query_id", "series_id", "start", "end")
+    offset = F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("seg_start"))
+    stop = F.least(F.size("owned").cast("long"), F.col("end") - F.col("seg_start"))
+    count = F.greatest(F.lit(0).cast("long"), stop - offset).cast("int")
+    part = F.when(count > 0, F.slice("owned", offset.cast("int") + 1, count)).otherwise(F.slice("owned", 1, 0))
+    found = (
+        pieces.join(owner, ["series_id", "seg_start"])
+        .groupBy("query_id", "series_id")
         .agg(F.array_sort(F.collect_list(F.struct("seg_start", part.alias("part")))).alias("parts"))
-        .join(known, "series_id", "left")
-        .where(F.coalesce("known", F.raise_error(message).cast("boolean")))
-        .select(
-            "query_id",
-            F.col("series_id").alias("source_series_id"),
-            "start",
-            "end",
-            F.flatten(F.filter(F.transform("parts", lambda x: x["part"]), lambda x: x.isNotNull())).alias("q"),
-        )
+        .withColumn("q", F.flatten(F.transform("parts", lambda x: x["part"])))
+        .drop("parts")
+    )
+    message = F.concat(F.lit("series not found: "), F.col("series_id"))
+    return specs.join(found, ["query_id", "series_id"], "left").select(
+        "query_id",
+        F.col("series_id").alias("source_series_id"),
+        "start",
+        "end",
+        F.coalesce("q", F.raise_error(message).cast("array<double>")).alias("q"),
     )

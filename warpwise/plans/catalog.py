@@ -486,7 +486,7 @@ def cluster_profile(spark, sf_dir):
 
 
 def result_profile(spark, sf_dir):
-    results = materialise(search_results(spark, sf_dir), "results")
+    results = search_results(spark, sf_dir)
     return reports.result_profile(cut_queries(spark, sf_dir), results, raw_segments(spark, sf_dir))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import materialise
@@ -55,7 +57,8 @@ def segments_from_long(
     rows = _rows(table, id_col, order_cols, value_col)
     order = [f"o{i}" for i in range(len(order_cols))]
     counts = rows.groupBy("series_id").count()
-    huge = counts.where(F.col("count") > gather_points).select("series_id")
+    huge = counts.where(F.col("count") > gather_points)
+    huge_points = huge.agg(F.sum("count")).first()[0]
 
     def gathered(part: DataFrame) -> DataFrame:
         cells = F.array_sort(F.collect_list(F.struct(*order, "value")))
@@ -64,9 +67,10 @@ def segments_from_long(
         )
         return cut_segments(series, max_length, stride)
 
-    if huge.isEmpty():
+    if not huge_points:
         return gathered(rows)
-    points = number_points(rows.join(huge, "series_id", "left_semi"), order)
+    partitions = math.ceil(huge_points / max(1, gather_points))
+    points = number_points(rows.join(huge, "series_id", "left_semi"), order, partitions)
     return gathered(rows.join(huge, "series_id", "left_anti")).unionByName(
         segments_of_points(points, max_length, stride)
     )
