@@ -40,6 +40,15 @@ EUCLID = "list_distance({v}, {w})"
 MANHATTAN = "list_sum(list_transform({v}, lambda x, i: abs(x - {w}[i])))"
 CUBIC = "pow(list_sum(list_transform({v}, lambda x, i: pow(abs(x - {w}[i]), 3))), 1.0 / 3)"
 
+# DTW as a fold over v of a fold over w; every step is a list, so the folds keep one type.
+WARP = (
+    "list_reduce(list_prepend(list_prepend(0.0, list_transform({w}, lambda x: CAST('inf' AS DOUBLE))), "
+    "list_transform({v}, lambda x: [x])), lambda acc, x: "
+    "list_reduce(list_prepend([CAST('inf' AS DOUBLE)], list_transform(range(1, len({w}) + 1), lambda j: [CAST(j AS DOUBLE)])), "
+    "lambda cur, j: list_append(cur, abs(x[1] - {w}[CAST(j[1] AS BIGINT)]) + "
+    "least(cur[len(cur)], acc[CAST(j[1] AS BIGINT)], acc[CAST(j[1] AS BIGINT) + 1]))))[len({w}) + 1]"
+)
+
 
 def leaders(name: str, source: str, radius: str, dist: str = EUCLID) -> str:
     """Ranks of the representatives of each length in ``source (length, rk, v)``."""
@@ -121,6 +130,39 @@ clusters AS (
     )
 
 
+def cross_length(low: int, st) -> str:
+    """Leader clustering by DTW of two lengths; representatives of the shorter serve the longer."""
+    radius = f"sqrt(length) * {st} / 2"
+    dist = WARP.format(v="i.v", w="r.v")
+    return ",".join(
+        [
+            windows("w", low, low + 1),
+            items("it", "w"),
+            f"\nshort AS (SELECT * FROM it WHERE length = {low})",
+            leaders("rep1", "short", radius, WARP),
+            f"""
+near1 AS (
+  SELECT i.rk, min({dist}) AS dist FROM it i, rep1 r WHERE i.length = {low + 1} GROUP BY i.rk),
+open2 AS (SELECT i.* FROM it i JOIN near1 n USING (rk) WHERE i.length = {low + 1} AND n.dist > {radius})""",
+            leaders("rep2", "open2", radius, WARP),
+            f"""
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY length ORDER BY rk) - 1 AS no
+  FROM (SELECT length, rk, v FROM rep1 UNION ALL SELECT length, rk, v FROM rep2)),
+pairs AS (
+  SELECT i.length, i.rk, r.length AS rep_length, r.rk AS rep_rk, r.no, {dist} AS dist
+  FROM it i JOIN numbered r ON r.length < i.length OR (r.length = i.length AND r.rk <= i.rk)),
+best AS (
+  SELECT * FROM pairs WHERE dist <= {radius}
+  QUALIFY row_number() OVER (PARTITION BY length, rk ORDER BY dist, rep_length, rep_rk) = 1),
+clusters AS (
+  SELECT i.length, concat(b.rep_length, '_', b.no) AS cluster_id, i.series_id, i.start, i."end",
+         b.rep_length = i.length AND b.rep_rk = i.rk AS is_rep, b.dist AS rep_dist
+  FROM it i JOIN best b ON i.length = b.length AND i.rk = b.rk)""",
+        ]
+    )
+
+
 def warped(name: str, source: str, cost: str = "abs") -> str:
     """``name (id, dist)`` for ``source (id, a, b)``; ``name_walk`` holds every diagonal."""
     term = "abs(a[i + 1] - b[d + 2 - i])" if cost == "abs" else "pow(a[i + 1] - b[d + 2 - i], 2)"
@@ -372,6 +414,7 @@ dw AS (
         "minkowski_clusters": sql(SERIES, one_pass(6, 7, ST, CUBIC), select=CLUSTER_ROWS),
         "embedding_clusters": sql(EMBEDDED, select=CLUSTER_ROWS),
         "two_pass_clusters": sql(SERIES, two_pass(SHORTEST, LONGEST, 0.2), select=CLUSTER_ROWS),
+        "dtw_clusters": sql(SERIES, cross_length(3, ST), select=CLUSTER_ROWS),
         "cluster_counts": sql(
             SERIES, BASE, select="SELECT length, count(*) AS clusters FROM clusters WHERE is_rep GROUP BY ROLLUP (length)"
         ),
