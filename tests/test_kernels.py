@@ -63,3 +63,13 @@ def test_best_of_groups(seed, cost):
     for g in range(group.max() + 1):
         want = min((naive.dtw(list(a[r]), list(q), cost), tie[r], r) for r in range(20) if group[r] == g)
         assert (dist[g], row[g]) == (pytest.approx(want[0]), want[2])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 25))
+def test_k_nearest(seed, k):
+    rng = np.random.default_rng(seed)
+    a, q, tie = rng.integers(0, 4, (20, 4)) / 2, rng.integers(0, 4, 3) / 2, rng.permutation(20)
+    rows, dist = K.k_nearest(a, q, k, tie)
+    want = sorted((naive.dtw(list(a[r]), list(q)), tie[r], r) for r in range(20))[:k]
+    assert rows.tolist() == [w[2] for w in want] and dist.tolist() == [w[0] for w in want]

@@ -43,8 +43,8 @@ def loop_search(rows, q, source, length, k, percentage, drop_reps=False):
     return best[1], [(r[2], r[3]) for r in kept]
 
 
-@pytest.mark.parametrize("percentage,limits", [(0.5, {}), (0.0, {}), (1.0, {})])
-def test_similarity_search_equals_loop(spark, made, percentage, limits):
+@pytest.mark.parametrize("percentage", [0.5, 0.0, 1.0])
+def test_similarity_search_equals_loop(spark, made, percentage):
     parts, clusters, rows = made
     got = similarity_search(query_frame(spark), clusters, parts, 4, 5, 6, True, percentage).orderBy("rank").collect()
     for name, (source, q) in QUERIES.items():
@@ -65,6 +65,15 @@ def test_nearest_representative(spark, made, limits):
         assert got == want
 
 
+def test_nearest_members_hold_the_best(spark, made):
+    parts, clusters, _ = made
+    near = search.nearest_representatives(query_frame(spark), clusters, parts, 4, 5).cache()
+    every = search.top_k(search.scored_members(query_frame(spark), clusters, near, parts), 4).orderBy("query_id", "length", "rank")
+    for limits in ({}, {"broadcast_cells": 0, "block_cells": 300}):
+        some = search.nearest_members(query_frame(spark), clusters, near, parts, 4, **limits)
+        assert search.top_k(some, 4).select(*every.columns).orderBy("query_id", "length", "rank").collect() == every.collect()
+
+
 def test_range_guard(spark, made):
     parts, clusters, _ = made
     with pytest.raises(ValueError):

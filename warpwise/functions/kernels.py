@@ -125,6 +125,26 @@ def best_of_groups(a, q, group, tie, cost="abs"):
     return row[first], dist[first]
 
 
+def k_nearest(a, q, k: int, tie, cost="abs"):
+    """The ``k`` rows of ``a`` nearest to ``q`` by DTW: ``(rows, distances)``, nearest first."""
+    q = q[None, :]
+    low, high = dtw_lower(a, q, cost), dtw_upper(a, q, cost)
+    limit = np.partition(high, k - 1)[k - 1] if len(a) > k else np.inf
+    order = np.argsort(low, kind="stable")
+    rows, dists = np.empty(0, np.int64), np.empty(0)
+    for at in range(0, len(order), PAIR_CHUNK // 4):
+        part = order[at : at + PAIR_CHUNK // 4]
+        part = part[low[part] <= limit * (1 + SLACK) + 1e-12]
+        if not len(part):
+            break
+        rows, dists = np.concatenate([rows, part]), np.concatenate([dists, dtw_pairs(a[part], q, cost)])
+        rank = np.lexsort((tie[rows], dists))[:k]
+        rows, dists = rows[rank], dists[rank]
+        if len(rows) == k:
+            limit = min(limit, dists[-1])
+    return rows, dists
+
+
 # --- equal-length distances ------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels as K
 from ..functions.warping import dtw
-from ..runtime import materialise
+from ..runtime import materialise, spread
 from ..sources.segments import STRIDE, with_values
 from .scoring import score
 
@@ -106,6 +106,18 @@ def nearest_representatives(
     )
 
 
+def _members(queries, clusters, nearest, segments, exclude_own, stride) -> DataFrame:
+    """Members of the chosen clusters with their values: ``(query_id, length, series_id, start, end, values)``."""
+    chosen = nearest.select("query_id", "length", "cluster_id").join(
+        queries.select("query_id", "source_series_id"), "query_id"
+    )
+    members = clusters.select("length", "cluster_id", "series_id", "start", "end").join(chosen, ["length", "cluster_id"])
+    if exclude_own:
+        members = exclude_same_id(members)
+    members = spread(materialise(members.select("query_id", "length", "series_id", "start", "end"), "members"))
+    return with_values(members, segments, stride)
+
+
 def scored_members(
     queries: DataFrame,
     clusters: DataFrame,
@@ -115,17 +127,80 @@ def scored_members(
     stride: int = STRIDE,
 ) -> DataFrame:
     """DTW distance of every member of the chosen clusters: ``(query_id, length, series_id, start, end, dist)``."""
-    chosen = nearest.select("query_id", "length", "cluster_id").join(
-        queries.select("query_id", "source_series_id", "q"), "query_id"
-    )
-    members = clusters.select("length", "cluster_id", "series_id", "start", "end").join(chosen, ["length", "cluster_id"])
-    if exclude_own:
-        members = exclude_same_id(members)
-    return with_values(materialise(members, "members"), segments, stride).select(
-        "query_id", "length", "series_id", "start", "end", dtw(F.col("values"), F.col("q")).alias("dist")
+    return (
+        _members(queries, clusters, nearest, segments, exclude_own, stride)
+        .join(queries.select("query_id", "q"), "query_id")
+        .select("query_id", "length", "series_id", "start", "end", dtw(F.col("values"), F.col("q")).alias("dist"))
     )
 
 
+_HIT = pa.schema(
+    [
+        ("query_id", pa.string()),
+        ("length", pa.int32()),
+        ("series_id", pa.string()),
+        ("start", pa.int64()),
+        ("end", pa.int64()),
+        ("dist", pa.float64()),
+    ]
+)
+
+
+def _prepare_members(k: int):
+    """Kernel: the k nearest members per query and length within a batch."""
+
+    def prepare(table: pa.Table):
+        at, flat = K.offsets_and_values(table["values"])
+        queries = {name: flat[at[i] : at[i + 1]] for i, name in enumerate(table["query_id"].to_pylist())}
+
+        def run(batch: pa.RecordBatch) -> pa.Table:
+            offsets, values = K.offsets_and_values(batch.column("values"))
+            length = batch.column("length").to_numpy()
+            start = batch.column("start").to_numpy()
+            names = np.array(batch.column("query_id").to_pylist(), dtype=object)
+            owner = np.unique(np.array(batch.column("series_id").to_pylist(), dtype=object), return_inverse=True)[1]
+            place = np.empty(len(start), np.int64)
+            place[np.lexsort((start, owner))] = np.arange(len(start))
+            parts = []
+            for name in set(names) & set(queries):
+                for n in np.unique(length[names == name]):
+                    rows = np.nonzero((names == name) & (length == n))[0]
+                    windows = values[offsets[rows][:, None] + np.arange(n)]
+                    best, dist = K.k_nearest(windows, queries[name], k, place[rows])
+                    hits = batch.select(_HIT.names[:-1]).take(pa.array(rows[best]))
+                    parts.append(pa.Table.from_arrays([*hits.columns, pa.array(dist)], schema=_HIT))
+            return pa.concat_tables(parts) if parts else _HIT.empty_table()
+
+        return run
+
+    return prepare
+
+
+def nearest_members(
+    queries: DataFrame,
+    clusters: DataFrame,
+    nearest: DataFrame,
+    segments: DataFrame,
+    k: int,
+    exclude_own: bool = True,
+    stride: int = STRIDE,
+    **limits: int,
+) -> DataFrame:
+    """Scored members of the chosen clusters, at least the k nearest per query and length.
+
+    A member whose lower bound lies above the k-th best of its batch is never warped, and a
+    batch hands on k rows at most, so :func:`top_k` after it has little left to rank.
+    """
+    rows = _members(queries, clusters, nearest, segments, exclude_own, stride)
+    patterns = queries.select("query_id", F.col("q").alias("values"))
+    return score(rows, patterns, _prepare_members(k), _HIT, **limits)
+
+
+def ranks_needed(k: int, percentage: float, longest: int) -> int:
+    """How many of the nearest windows surely hold the k that :func:`top_k_without_overlap` keeps."""
+    return k * max(1, 2 * math.ceil(longest * (1 - percentage)) - 1)
+
+
 def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id", "length")) -> DataFrame:
     """The k nearest rows per key with their ``rank``; ties go by (series_id, start)."""
     order = ["dist", "series_id", "start"]
@@ -164,8 +239,7 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
     if longest is None:
         scored = materialise(scored, "scored")
         longest = scored.agg(F.max("length")).first()[0] or 1
-    share = 2 * math.ceil(longest * (1 - percentage)) - 1
-    prefix = top_k(scored, k * max(1, share)).groupBy("query_id", "length").agg(
+    prefix = top_k(scored, ranks_needed(k, percentage, longest)).groupBy("query_id", "length").agg(
         F.array_sort(F.collect_list(F.struct("dist", "series_id", "start", "end"))).alias("hits")
     )
 
@@ -184,5 +258,11 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
 
 
 def query_specs(spark, specs: list[tuple[str, str, int, int]]) -> DataFrame:
-    """Parameter rows ``(query_id, series_id, start, end)`` for :func:`warpwise.operators.windows.cut`."""
-    return spark.createDataFrame(specs, "query_id string, series_id string, start long, end long")
+    """Parameter rows ``(query_id, series_id, start, end)`` for :func:`warpwise.operators.windows.cut`.
+
+    From an Arrow table, so that Spark knows how small they are when it plans the join.
+    """
+    columns = list(zip(*specs))
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+    return spark.createDataFrame(pa.table(arrays, names=["query_id", "series_id", "start", "end"]))

@@ -62,7 +62,12 @@ def stored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return win.cut(raw_segments(spark, sf_dir), search.query_specs(spark, QUERIES))
+    return _once(
+        spark,
+        sf_dir,
+        "queries",
+        lambda: materialise(win.cut(raw_segments(spark, sf_dir), search.query_specs(spark, QUERIES)), "queries"),
+    )
 
 
 def _rounded(column, name):
@@ -373,21 +378,24 @@ def nearest_rep_other_series(spark, sf_dir):
     return _dist_rows(_nearest(spark, sf_dir, drop_same_id_reps=True))
 
 
-def _scored(spark, sf_dir):
-    return search.scored_members(
-        cut_queries(spark, sf_dir),
-        stored_clusters(spark, sf_dir),
-        materialise(_nearest(spark, sf_dir), "nearest"),
-        raw_segments(spark, sf_dir),
-    )
+def _search_parts(spark, sf_dir):
+    near = materialise(_nearest(spark, sf_dir), "nearest")
+    return cut_queries(spark, sf_dir), stored_clusters(spark, sf_dir), near, raw_segments(spark, sf_dir)
+
+
+def scored_members(spark, sf_dir):
+    """Every member of the chosen clusters with its distance."""
+    return _dist_rows(search.scored_members(*_search_parts(spark, sf_dir)))
 
 
 def ranked_members(spark, sf_dir):
-    return _dist_rows(search.top_k(_scored(spark, sf_dir), 100))
+    return _dist_rows(search.top_k(search.nearest_members(*_search_parts(spark, sf_dir), 100), 100))
 
 
 def no_overlap_topk(spark, sf_dir):
-    return _dist_rows(search.top_k_without_overlap(_scored(spark, sf_dir), 20, OVERLAP, LONGEST))
+    ranks = search.ranks_needed(20, OVERLAP, LONGEST)
+    scored = search.nearest_members(*_search_parts(spark, sf_dir), ranks)
+    return _dist_rows(search.top_k_without_overlap(scored, 20, OVERLAP, LONGEST))
 
 
 def search_results(spark, sf_dir):
@@ -540,6 +548,7 @@ QUERIES_BY_NAME = {
     "group_cluster_job": group_cluster_job,
     "nearest_rep": nearest_rep,
     "nearest_rep_other_series": nearest_rep_other_series,
+    "scored_members": scored_members,
     "ranked_members": ranked_members,
     "no_overlap_topk": no_overlap_topk,
     "similarity_search": similarity_search_rows,

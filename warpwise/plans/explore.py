@@ -9,8 +9,9 @@ from ..operators.normalize import normalise
 from ..operators.search import (
     check_query_range,
     in_length_range,
+    nearest_members,
     nearest_representatives,
-    scored_members,
+    ranks_needed,
     top_k,
     top_k_without_overlap,
 )
@@ -47,11 +48,12 @@ def similarity_search(
     raise; a length whose cluster is empty after the exclusions gives no rows.
     """
     check_query_range(clusters, low, high)
+    queries = materialise(queries.select("query_id", "source_series_id", "q"), "queries")
     near = materialise(
         nearest_representatives(queries, clusters, segments, low, high, drop_same_id_reps, stride), "nearest"
     )
-    scored = scored_members(
-        queries, in_length_range(clusters, low, high), near, segments, exclude_own, stride
-    )
+    ranks = ranks_needed(k, percentage, high) if exclude_overlap else k
+    within = in_length_range(clusters, low, high)
+    scored = nearest_members(queries, within, near, segments, ranks, exclude_own, stride)
     best = top_k_without_overlap(scored, k, percentage, high) if exclude_overlap else top_k(scored, k)
     return best.select("query_id", "length", "rank", "series_id", "start", "end", "dist")

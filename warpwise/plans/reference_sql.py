@@ -430,6 +430,10 @@ dw AS (
             SERIES, BASE, nearest("AND c.series_id <> source_series_id"),
             select="SELECT query_id, length, cluster_id, round(dist, 6) AS dist FROM nearest",
         ),
+        "scored_members": sql(
+            SERIES, BASE, scored(),
+            select='SELECT query_id, length, series_id, start, "end", round(dist, 6) AS dist FROM scored',
+        ),
         "ranked_members": sql(
             SERIES, BASE, scored(),
             select='SELECT query_id, length, series_id, start, "end", round(dist, 6) AS dist, CAST(place AS INTEGER) AS rank FROM scored WHERE place <= 100',

@@ -47,3 +47,12 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = new_path(df.sparkSession, name)
     write_parquet(df, path, partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table over at least as many partitions as there are cores.
+
+    For steps that compute much on few bytes, which Spark would pack into few tasks.
+    """
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
