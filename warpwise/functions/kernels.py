@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 ITEM_TILE = 1024
+TILE_CELLS = 4_000_000
 PATTERN_TILE = 4096
 PAIR_CHUNK = 4096
 BOUND_CELLS = 2_000_000  # cells of window pairs laid out at a time for their bounds
@@ -24,6 +25,11 @@ def offsets_and_values(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
+def tile_rows(length: int) -> int:
+    """Windows of one length laid out at a time."""
+    return max(16, min(ITEM_TILE, TILE_CELLS // length))
+
+
 def owner_rows(column) -> np.ndarray:
     """For each item of an Arrow list column, the row it belongs to."""
     return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))

@@ -26,7 +26,8 @@ from .windows import lengths_of
 FIRST_PREFIX = 16_384  # windows of one length in the first prefix
 GROWTH = 8  # the second prefix is this many times the first one
 MOST_GROWTH = 64  # a later prefix grows by what its predecessor left uncovered, up to this
-GROUP_ITEMS = 16_384  # uncovered windows of one length that one task settles by itself
+GROUP_ITEMS = 16_384  # uncovered windows of one length that one task settles by itself ...
+GROUP_CELLS = 16_000_000  # ... and the points these may have together
 
 _WINDOW = [
     ("series_id", pa.string()),
@@ -186,8 +187,9 @@ def _tiles(batch, rule, patterns, low=0.0, high=1.0):
         chosen = chosen[np.argsort(sums[at[chosen] + n] - sums[at[chosen]], kind="stable")]
         radius = rule.radius(n)
         near = [p for m, p in patterns.items() if m == n or (rule.cross_length and m < n)]
-        for first in range(0, len(chosen), K.ITEM_TILE):
-            tile = chosen[first : first + K.ITEM_TILE]
+        size = K.tile_rows(n)
+        for first in range(0, len(chosen), size):
+            tile = chosen[first : first + size]
             values = flat[at[tile][:, None] + np.arange(n)]
             means = values.mean(axis=1)
             reach = K.mean_reach(radius, n, rule.metric, rule.p) + 1e-12 * np.abs(means).max()
@@ -475,10 +477,11 @@ class _Listed:
         return self.listed
 
 
-def _sizes(sizes: dict) -> dict:
+def _sizes(sizes: dict, longest: int) -> dict:
+    fit = max(1, GROUP_CELLS // max(1, longest))
     base = {
-        "first_prefix": FIRST_PREFIX,
-        "group_items": GROUP_ITEMS,
+        "first_prefix": min(FIRST_PREFIX, fit),
+        "group_items": min(GROUP_ITEMS, fit),
         "broadcast_cells": BROADCAST_CELLS,
         "block_cells": BLOCK_CELLS,
     }
@@ -501,7 +504,7 @@ def leader_clusters(
 
     With ``metric='dtw'`` representatives are shared across lengths, shorter ones first.
     """
-    rule, sizes = _Rule(st, metric, p), _sizes(sizes)
+    rule, sizes = _Rule(st, metric, p), _sizes(sizes, longest)
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
     source = _Windows(segments, shortest, longest, seed, include_last)
     if rule.cross_length:
@@ -529,7 +532,7 @@ def two_pass_clusters(
 ) -> DataFrame:
     """Two-pass variant: in the first pass only a window beyond twice the radius becomes a
     representative, and one between the radius and its double waits for the second pass."""
-    rule, sizes = _Rule(st, metric, p), _sizes(sizes)
+    rule, sizes = _Rule(st, metric, p), _sizes(sizes, longest)
     if rule.cross_length:
         raise ValueError("two-pass clustering takes the metrics eu, ma and mi")
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
