@@ -75,6 +75,8 @@ def test_counts_and_errors(spark):
     want = [r for r in naive.leader(series, 2, 3, 0.3, 0) if r[4]]
     counts = {r["length"]: r["clusters"] for r in cluster_counts(got).collect()}
     assert counts == {2: sum(r[0] == 2 for r in want), 3: sum(r[0] == 3 for r in want), None: len(want)}
+    assert leader_clusters(segments(spark, series, 50), 40, 41, 0.3).count() == 0
+    assert two_pass_clusters(segments(spark, series, 50), 40, 41, 0.3).count() == 0
     with pytest.raises(ValueError):
         leader_clusters(segments(spark, series, 3), 2, 3, 0.3, metric="xx")
     with pytest.raises(ValueError):

@@ -439,6 +439,11 @@ def _clusters(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _no_clusters(segments: DataFrame) -> DataFrame:
+    """The result when no series has a window of the lengths asked for."""
+    return _clusters(segments.sparkSession.createDataFrame([], from_arrow_schema(_ASSIGNED)))
+
+
 class _Windows:
     """All windows of a range of lengths, spread for the work ahead.
 
@@ -514,6 +519,8 @@ def leader_clusters(
             reps = fresh if reps is None else reps if fresh is None else reps.unionByName(fresh)
     else:
         reps = _find_representatives(source, rule, None, sizes)
+    if reps is None:
+        return _no_clusters(segments)
     reps = materialise(_number(reps), "reps")
     return _clusters(_assign(source.rows(), reps, rule, limits))
 
@@ -538,6 +545,8 @@ def two_pass_clusters(
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
     source = _Windows(segments, shortest, longest, seed, include_last)
     first = _find_representatives(source, rule.times(2.0), None, sizes)
+    if first is None:
+        return _no_clusters(segments)
     first = materialise(_number(first), "reps")
     placed = materialise(_assign(source.rows(), first, rule.times(2.0), limits), "pass-one")
 

@@ -32,10 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
     """A stored artefact is made once per session and data set and then reused."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, what)
     if key not in _made:
-        _made[key] = make()
-    return _made[key]
+        # the session is kept too, so that its id stays its own
+        _made[key] = (spark, make())
+    return _made[key][1]
 
 
 def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
