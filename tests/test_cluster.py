@@ -25,7 +25,7 @@ def rows(frame):
 
 SMALL = {"first_prefix": 20, "group_items": 20}
 ROUNDS = {"first_prefix": 30, "group_items": 4}
-BLOCKS = {"first_prefix": 20, "group_items": 20, "broadcast_cells": 0, "block_cells": 1500}
+BLOCKS = {"first_prefix": 20, "group_items": 20, "broadcast_cells": 0, "block_cells": 500}
 
 
 @pytest.mark.parametrize("sizes,st", [({}, 0.6), (SMALL, 0.15), (ROUNDS, 0.15), (ROUNDS, 0.6), (BLOCKS, 0.15)])

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-ITEM_TILE = 1024
+# Tiles of distances small enough to stay in the processor's cache.
+ITEM_TILE = 512
 TILE_CELLS = 4_000_000
-PATTERN_TILE = 4096
+PATTERN_TILE = 1024
 PAIR_CHUNK = 4096
 BOUND_CELLS = 2_000_000  # cells of window pairs laid out at a time for their bounds
 SLACK = 1e-9
@@ -178,7 +179,9 @@ def rough_matrix(a, b, radius, metric, p):
     """
     if metric == "euclid":
         na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        rough = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+        # |a|^2 + |b|^2 - 2ab as one product
+        left = np.column_stack([-2.0 * a, na, np.ones(len(a))])
+        rough = left @ np.column_stack([b, np.ones(len(b)), nb]).T
         return rough, SLACK * (na.max() + nb.max()) + 1e-15, radius * radius
     if metric == "dtw":
         rough = np.full((len(a), len(b)), np.inf)
@@ -207,9 +210,10 @@ def covered(a, b, radius, metric, p) -> np.ndarray:
         tile = b[at : at + PATTERN_TILE]
         rough, error, limit = rough_matrix(a, tile, radius, metric, p)
         found |= (rough <= limit - error).any(axis=1)
-        open_ = ~found[:, None] & (rough <= limit + error)
-        i, j = np.nonzero(open_)
+        unsure = np.nonzero(~found)[0]
+        i, j = np.nonzero(rough[unsure] <= limit + error)
         if len(i):
+            i = unsure[i]
             hit = pair_distance(a[i], tile[j], metric, p) <= radius
             found[i[hit]] = True
     return found
@@ -233,15 +237,16 @@ def leaders(x: np.ndarray, radius: float, metric: str, p: float, block: int = 25
 
 
 def nearest(a, b, radius, allowed, keys, metric, p):
-    """Nearest allowed row of ``b`` within ``radius`` for each row of ``a``.
+    """Nearest allowed row of ``b`` within ``radius`` for each row of ``a`` (all, if ``allowed`` is None).
 
     Returns ``(rows of a, rows of b, distances)`` for the rows that have one; equal distances
     go to the smallest ``keys`` (a list of arrays over ``b``, most significant first).
     """
     rough, error, limit = rough_matrix(a, b, radius, metric, p)
-    rough[~allowed] = np.inf
+    if allowed is not None:
+        np.putmask(rough, ~allowed, np.inf)
     best = np.minimum(rough.min(axis=1) + 2 * error, limit + error)
-    i, j = np.nonzero((rough <= best[:, None]) & np.isfinite(rough))
+    i, j = np.nonzero(rough <= best[:, None])
     d = pair_distance(a[i], b[j], metric, p)
     keep = d <= radius
     i, j, d = i[keep], j[keep], d[keep]

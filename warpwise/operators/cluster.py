@@ -149,6 +149,7 @@ class _Patterns:
         self.grp, self.no = table["grp"].to_numpy()[rank], table["no"].to_numpy()[rank]
         self.key = table["key"].combine_chunks().take(pa.array(rank))
         self.hi, self.lo = K.key_words(self.key)
+        self.seeds = bool((self.grp == 0).any())
 
     @staticmethod
     def by_length(table: pa.Table) -> dict[int, "_Patterns"]:
@@ -166,17 +167,36 @@ class _Tile:
         self.values, self.length, self.radius, self.slices = values, length, radius, slices
 
 
-def _tiles(batch, rule, patterns, low=0.0, high=1.0):
+class _Batch:
+    """The windows of an Arrow batch of work rows."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column("items")
+        items = lists.flatten()
+        self.row = K.owner_rows(lists)
+        self.series, self.start, self.key = batch.column("series_id"), items.field("start"), items.field("key")
+        self.hi, self.lo = K.key_words(self.key)
+        offsets, self.flat = K.offsets_and_values(batch.column("values"))
+        first = batch.column("seg_start").to_numpy()[self.row]
+        self.at = offsets[self.row] + self.start.to_numpy(zero_copy_only=False) - first
+        self.length = batch.column("length").to_numpy()[self.row]
+
+    def identify(self, index: np.ndarray, length: int) -> list:
+        """The identifying columns of the windows at ``index``."""
+        at = pa.array(index)
+        return [
+            self.series.take(pa.array(self.row[index])),
+            np.full(len(index), length, np.int32),
+            self.start.take(at),
+            self.key.take(at),
+        ]
+
+
+def _tiles(batch: _Batch, rule, patterns, low=0.0, high=1.0):
     """Cut a batch of work rows into tiles; ``low`` and ``high`` bound the place in the order."""
-    items = batch.column("items").flatten()
-    row = K.owner_rows(batch.column("items"))
-    start = items.field("start").to_numpy(zero_copy_only=False)
-    hi, lo = K.key_words(items.field("key"))
-    offsets, flat = K.offsets_and_values(batch.column("values"))
-    at = offsets[row] + start - batch.column("seg_start").to_numpy()[row]
-    length = batch.column("length").to_numpy()[row]
+    at, flat, hi, lo, length = batch.at, batch.flat, batch.hi, batch.lo, batch.length
     sums = np.concatenate([[0.0], np.cumsum(flat)])
-    inside = np.ones(len(row), dtype=bool)
+    inside = np.ones(len(at), dtype=bool)
     if low > 0:
         inside &= hi >= int(_hex_bound(low), 16)
     if high < 1:
@@ -201,19 +221,6 @@ def _tiles(batch, rule, patterns, low=0.0, high=1.0):
             yield _Tile(tile, hi[tile], lo[tile], values, n, radius, slices)
 
 
-def _window_columns(batch, index, length) -> list:
-    """The identifying columns of the windows at ``index`` of the batch's flattened items."""
-    items = batch.column("items").flatten()
-    row = K.owner_rows(batch.column("items"))[index]
-    index = pa.array(index)
-    return [
-        batch.column("series_id").take(pa.array(row)),
-        np.full(len(row), length, np.int32),
-        items.field("start").take(index),
-        items.field("key").take(index),
-    ]
-
-
 def _table(schema: pa.Schema, parts: list[list]) -> pa.Table:
     tables = [
         pa.Table.from_arrays(
@@ -224,14 +231,20 @@ def _table(schema: pa.Schema, parts: list[list]) -> pa.Table:
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
-def _earlier(pattern: _Patterns, part: slice, tile: _Tile, strict: bool) -> np.ndarray:
+def _earlier(pattern: _Patterns, part: slice, tile: _Tile, strict: bool) -> np.ndarray | None:
     """Which patterns existed when each window came up (a representative sees itself too)."""
     if pattern.length < tile.length:
-        return np.ones((len(tile.hi), part.stop - part.start), dtype=bool)
-    p_hi, p_lo = pattern.hi[part][None, :], pattern.lo[part][None, :]
-    hi, lo = tile.hi[:, None], tile.lo[:, None]
-    before = (p_lo < lo) if strict else (p_lo <= lo)
-    return (pattern.grp[part] == 0)[None, :] | (p_hi < hi) | ((p_hi == hi) & before)
+        return None
+    p_hi = pattern.hi[part]
+    before = p_hi[None, :] < tile.hi[:, None]
+    # the second word of the order key decides where the first is shared, as by a window and itself
+    shared = np.nonzero(np.isin(tile.hi, p_hi))[0]
+    if len(shared):
+        p_lo, lo = pattern.lo[part][None, :], tile.lo[shared][:, None]
+        before[shared] |= (p_hi[None, :] == tile.hi[shared][:, None]) & ((p_lo < lo) if strict else (p_lo <= lo))
+    if pattern.seeds:
+        before |= (pattern.grp[part] == 0)[None, :]
+    return before
 
 
 def _prepare_open(rule: _Rule, low: float, high: float):
@@ -241,7 +254,7 @@ def _prepare_open(rule: _Rule, low: float, high: float):
         patterns = _Patterns.by_length(table)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
-            parts = []
+            parts, batch = [], _Batch(batch)
             for tile in _tiles(batch, rule, patterns, low, high):
                 left = np.arange(len(tile.values))
                 for pattern, part in tile.slices:
@@ -252,7 +265,7 @@ def _prepare_open(rule: _Rule, low: float, high: float):
                 if len(left):
                     ends = np.arange(0, (len(left) + 1) * tile.length, tile.length, dtype=np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tile.values[left].ravel()))
-                    parts.append(_window_columns(batch, tile.index[left], tile.length) + [lists])
+                    parts.append(batch.identify(tile.index[left], tile.length) + [lists])
             return _table(_OPEN, parts)
 
         return run
@@ -267,27 +280,27 @@ def _prepare_assign(rule: _Rule):
         patterns = _Patterns.by_length(table)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
-            parts = []
+            parts, batch = [], _Batch(batch)
             for tile in _tiles(batch, rule, patterns):
                 found = []
                 for s, (pattern, part) in enumerate(tile.slices):
                     allowed = _earlier(pattern, part, tile, strict=False)
                     keys = [pattern.grp[part], pattern.hi[part], pattern.lo[part]]
                     i, j, d = K.nearest(tile.values, pattern.values[part], tile.radius, allowed, keys, rule.metric, rule.p)
-                    found.append((i, d, keys[0][j], np.full(len(i), pattern.length, np.int32), keys[1][j], keys[2][j], np.full(len(i), s), j + part.start))
+                    same, number = np.full(len(i), pattern.length, np.int32), pattern.no[part][j]
+                    found.append((i, d, keys[0][j], same, keys[1][j], keys[2][j], number, np.full(len(i), s), j + part.start))
                 if not found:
                     continue
-                i, d, grp, m, hi, lo, where, j = (np.concatenate(c) for c in zip(*found))
+                i, d, grp, m, hi, lo, no, where, j = (np.concatenate(c) for c in zip(*found))
                 rank = np.lexsort((lo, hi, m, grp, d, i))
                 first = rank[np.unique(i[rank], return_index=True)[1]]
-                for s, (pattern, _) in enumerate(tile.slices):
-                    mine = first[where[first] == s]
-                    if len(mine):
-                        at = pa.array(j[mine])
-                        parts.append(
-                            _window_columns(batch, tile.index[i[mine]], tile.length)
-                            + [d[mine], grp[mine], m[mine], pattern.key.take(at), pattern.no[j[mine]]]
-                        )
+                i, where, j = i[first], where[first], j[first]
+                keys = pa.concat_arrays([p.key.take(pa.array(j[where == s])) for s, (p, _) in enumerate(tile.slices)])
+                # keys stand slice by slice; put them back in the order of the windows
+                keys = keys.take(pa.array(np.argsort(np.argsort(where, kind="stable"), kind="stable")))
+                parts.append(
+                    batch.identify(tile.index[i], tile.length) + [d[first], grp[first], m[first], keys, no[first]]
+                )
             return _table(_ASSIGNED, parts)
 
         return run
@@ -302,8 +315,7 @@ def _prepare_edges(rule: _Rule):
         patterns = _Patterns.by_length(table)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
-            parts = []
-            keys = batch.column("items").flatten().field("key")
+            parts, batch = [], _Batch(batch)
             for tile in _tiles(batch, rule, patterns):
                 for pattern, part in tile.slices:
                     if pattern.length != tile.length:
@@ -315,7 +327,7 @@ def _prepare_edges(rule: _Rule):
                     if len(i):
                         keep = K.pair_distance(tile.values[i], other[j], rule.metric, rule.p) <= tile.radius
                         i, j = i[keep], j[keep] + part.start
-                        parts.append([keys.take(pa.array(tile.index[i])), pattern.key.take(pa.array(j))])
+                        parts.append([batch.key.take(pa.array(tile.index[i])), pattern.key.take(pa.array(j))])
             return _table(_EDGE, parts)
 
         return run

@@ -17,9 +17,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 # Patterns up to this many array cells (8 bytes each) are broadcast; larger sets are cut into blocks.
 BROADCAST_CELLS = 16_000_000
-BLOCK_CELLS = 2_000_000
-ROW_BLOCKS = 4  # a row block is this many times larger: patterns are copied to every row block
-ROW_CELLS = 96  # weight of a pattern's other columns
+BLOCK_CELLS = 8_000_000
+ROW_CELLS = 16  # weight of a row's other columns
 
 Prepare = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.Table]]
 
@@ -54,12 +53,15 @@ def score(
         def over_batches(batches):
             function = prepare(_from_bytes(shared.value))
             for batch in batches:
-                yield from function(batch).to_batches()
+                # one batch out per batch in: results come as many small pieces
+                yield from function(batch).combine_chunks().to_batches()
 
         return rows.mapInArrow(over_batches, schema)
 
     pattern_blocks = math.ceil(size / block_cells)
-    row_blocks = math.ceil(max(1, cells(rows)) / (block_cells * ROW_BLOCKS))
+    # enough groups for every core, at least
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    row_blocks = max(math.ceil(cells(rows) / block_cells), math.ceil(2 * cores / pattern_blocks))
 
     def block(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         key = F.xxhash64(*[c for c in frame.columns if not c.startswith("_")])
@@ -73,7 +75,7 @@ def score(
     def over_block(some: pa.Table, against: pa.Table) -> pa.Table:
         function = prepare(against)
         parts = [function(batch) for batch in some.combine_chunks().to_batches()]
-        return pa.concat_tables(parts) if parts else result.empty_table()
+        return pa.concat_tables(parts).combine_chunks() if parts else result.empty_table()
 
     scored = (
         left.groupBy("_row", "_pattern")
