@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sentencepiece_bpe
+from ..runtime import new_path
+from . import personal_data, sentencepiece_bpe, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +31,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece}
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-orc")
+    token_orc.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_orc.checksums(token_orc.read(spark, path))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def joined(kinds):
+        chosen = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+        return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in personal_data.BASE_KINDS],
+        F.sha2(joined(personal_data.BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
+        joined(personal_data.KINDS).alias("spans"),
+    )
+
+
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op5_token_orc": op5_token_orc, "op10_personal_data": op10_personal_data}
 ORACLE_SQL: dict[str, str] = {}

@@ -18,16 +18,15 @@ import codecs
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from .columns import append_columns, texts_of
+from .words import WordIds, id_lists, spans
 
 SPACE = "▁"
-CACHED_WORDS = 400_000  # words a task remembers between slices; then it starts afresh
 _NONE = np.int64(1) << 60
 
 
@@ -38,13 +37,6 @@ def _bytewise(error):
 codecs.register_error("wp_bytewise", _bytewise)
 
 
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of each span, one span after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
-
-
 class PieceModel:
     """Pieces, pair ranks and byte pieces of one model file."""
 
@@ -230,52 +222,19 @@ class PieceModel:
         return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
-class Encoder:
-    """Encodes slices of texts, remembering the ids of words it has met."""
-
-    pattern = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
-    def __init__(self, model: PieceModel):
-        self.model = model
-        self._forget()
-
-    def _forget(self):
-        self.words = _Numbers()
-        self.flat = np.zeros(0, np.int32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text."""
-        words, counts = [], []
-        for text in texts:
-            if not text:
-                found = []
-            elif "  " in text or SPACE in text or text[0] == " ":
-                found = self.pattern.findall(SPACE + text.replace(" ", SPACE))
-            else:  # the same words without a pattern, and empty ones
-                found = (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
-            counts.append(len(found))
-            words += found
-        if len(self.words) > CACHED_WORDS:
-            self._forget()
-        known = len(self.words)
-        code = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if len(self.words) > known:
-            ids, lengths = self.model.merge(list(islice(self.words, known, None)))
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, ids.astype(np.int32))
-        lengths = self.lengths[code]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[spans(self.starts[code], lengths)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+
+def spaced(text: str) -> str:
+    """A text as words between single blanks, its spaces as U+2581 and a leading one added.
+
+    A word begins at a run of spaces or a line end; no piece goes on from one word into the next.
+    """
+    if not text:
+        return ""
+    if "  " in text or SPACE in text or text[0] == " ":
+        return " ".join(WORDS.findall(SPACE + text.replace(" ", SPACE)))
+    return SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")
 
 
 @lru_cache(maxsize=2)
@@ -288,9 +247,10 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def id_lists(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
+@lru_cache(maxsize=1)
+def encoder_of(proto: bytes) -> WordIds:
+    """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
+    return WordIds(model_of(proto).merge)
 
 
 def encode(
@@ -307,11 +267,10 @@ def encode(
         fields = fields.add(decoded, T.StringType())
 
     def make() -> Callable:
-        model = model_of(proto.value)
-        encoder = Encoder(model)
+        model, encoder = model_of(proto.value), encoder_of(proto.value)
 
         def work(batch):
-            flat, lengths = encoder(texts_of(batch, "text"))
+            flat, lengths = encoder([spaced(t) for t in texts_of(batch, "text")])
             out = [id_lists(flat, lengths)]
             return [*out, model.decode(flat, lengths)] if decoded else out
 
