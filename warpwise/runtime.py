@@ -40,6 +40,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
         df.write.mode(mode).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``new_path`` named and nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
