@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import personal_data, sentencepiece_bpe, token_orc
+from . import personal_data, sentencepiece_bpe, simhash, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read(spark, path))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -55,5 +60,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op5_token_orc": op5_token_orc, "op10_personal_data": op10_personal_data}
+QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op5_token_orc": op5_token_orc,
+    "op8_simhash": op8_simhash,
+    "op10_personal_data": op10_personal_data,
+}
 ORACLE_SQL: dict[str, str] = {}
