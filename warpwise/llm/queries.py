@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import personal_data, sentencepiece_bpe, simhash, token_orc
+from . import personal_data, quality_trees, sentencepiece_bpe, simhash, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured, forest = quality_trees.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_trees.scored(featured, forest)
+    return scored.select(
+        "doc_id",
+        quality_trees.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality_trees.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -64,6 +75,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_token_orc": op5_token_orc,
     "op8_simhash": op8_simhash,
+    "op9_quality_trees": op9_quality_trees,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {}
