@@ -44,51 +44,89 @@ def tokenizer_of(definition: str):
     return Tokenizer.from_str(definition)
 
 
-# ASCII letters and the marks after them are separate for this kind of tokenizer, and case is dropped
-_SPLIT = re.compile(r"([A-Za-z]+)([!\"#$%&()*+,./:;=?@|~-]+)", re.ASCII)
+# a run of letters and the marks after it; both are words of their own to this kind of tokenizer
+_SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=?@|~-]*)")
 END = "\n"  # stands for the end id; no word holds a line end
+JOINED = 50  # letter runs per text handed to the library
 
 
 class StretchEncoder:
     """Ids of the stretches between blanks, from the tokenizer's own library.
 
-    For tokenizers that split at white space and drop it, lower-case, and keep runs of letters apart
-    from runs of marks. A word in ASCII letters and the marks after it are encoded apart, so that
-    the library sees each of them once in a call.
+    For tokenizers that split at white space and drop it, lower-case, keep runs of letters apart from
+    runs of marks, and close every word by a token that ends in their word-end suffix. Lower-case runs of
+    Latin letters are left as they are by normalising, so they go to the library's model many at a
+    time, split at blanks only; all else takes the tokenizer's whole way.
     """
 
-    def __init__(self, tokenizer, end_id: int):
-        self.tokenizer = tokenizer
+    def __init__(self, definition: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = tokenizer_of(definition)
+        self.letters = Tokenizer.from_str(definition)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix = self.whole.model.end_of_word_suffix
+        self.closes = np.zeros(self.whole.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.whole.get_vocab().items() if token.endswith(suffix)]] = True
         self.end_id = end_id
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        flat = np.fromiter((i for x in ids for i in x), np.int32)
+        return flat, np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _letter_runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        none = np.zeros(0, np.int32)
+        flat = np.concatenate([none, *(np.array(e.ids, np.int32) for e in self.letters.encode_batch_fast(joined, add_special_tokens=False))])
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(words):  # not a tokenizer of this kind
+            return self._each(words)
+        return flat, np.diff(ends, prepend=0)
+
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, owner, number = [], [], Numbers()
+        letters, others = Numbers(), Numbers()
+        parts, owner = [], []  # letter runs count from 0 up, other parts from -1 down
         for i, word in enumerate(words):
             if word == END:
                 continue
             split = _SPLIT.fullmatch(word)
-            for part in (split[1].lower(), split[2]) if split else (word.lower() if word.isascii() else word,):
-                parts.append(number[part])
+            if split:
+                parts.append(letters[split[1].lower()])
+                owner.append(i)
+                word = split[2]
+            if word:
+                parts.append(-1 - others[word])
                 owner.append(i)
-        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = self._letter_runs(list(letters))
+        more, more_sizes = self._each(list(others))
+        starts = np.cumsum(sizes) - sizes
+        more_starts = len(flat) + np.cumsum(more_sizes) - more_sizes
         part, owner = np.array(parts, np.int64), np.array(owner, np.int64)
-        lengths = np.bincount(owner, weights=sizes[part], minlength=len(words)).astype(np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])[spans((np.cumsum(sizes) - sizes)[part], sizes[part])]
+        # the other parts stand at the end in reverse, so that -1 is the first of them
+        starts, sizes = np.concatenate([starts, more_starts[::-1]])[part], np.concatenate([sizes, more_sizes[::-1]])[part]
+        lengths = np.bincount(owner, weights=sizes, minlength=len(words)).astype(np.int64)
+        out = np.concatenate([flat, more])[spans(starts, sizes)]
         if END in words:
             at = words.index(END)
-            flat = np.insert(flat, int(lengths[:at].sum()), self.end_id)
+            out = np.insert(out, int(lengths[:at].sum()), self.end_id)
             lengths[at] = 1
-        return flat, lengths
+        return out, lengths
 
 
 @lru_cache(maxsize=1)
 def encoder_of(definition: str, end_id: int) -> WordIds:
     """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
-    return WordIds(StretchEncoder(tokenizer_of(definition), end_id))
+    return WordIds(StretchEncoder(definition, end_id))
 
 
 def stretches(text: str) -> str:
+    """A text as stretches between blanks, closed by END; A-Z in lower case unless special tokens may be meant."""
+    if "<|" not in text:
+        text = text.encode().lower().decode()
     return text.replace("\n", " ") + " " + END
 
 
