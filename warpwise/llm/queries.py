@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import personal_data, quality_trees, sentencepiece_bpe, simhash, token_orc
+from . import personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judged(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = tokenizer_path("piece_bpe_32k.model")
@@ -72,6 +77,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_token_orc": op5_token_orc,
     "op8_simhash": op8_simhash,
