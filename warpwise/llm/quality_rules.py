@@ -25,7 +25,7 @@ from .columns import column
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-THRESHOLD = -0.1  # least mean log ratio of a kept document
+THRESHOLD = -0.15  # least mean log ratio of a kept document
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
