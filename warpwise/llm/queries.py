@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
+from . import decontamination, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
     token_orc.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -79,6 +83,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_decontamination": op4_decontamination,
     "op5_token_orc": op5_token_orc,
     "op8_simhash": op8_simhash,
     "op9_quality_trees": op9_quality_trees,
