@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import decontamination, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
+from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,41 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read(spark, path))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, text, md5(text) AS tie FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT DISTINCT doc_id, tie, i, l.line, md5(l.line) AS d,
+         len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, tie, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) l
+),
+flagged AS (
+  SELECT *, md5(coalesce(lag(d) OVER p, '') || d) AS r, coalesce(lead(w) OVER p, 0) AS next_w
+  FROM lines WINDOW p AS (PARTITION BY doc_id, tie ORDER BY i)
+),
+cuts AS (
+  SELECT *, coalesce(sum(CASE WHEN substr(r, 32, 1) IN ('0','2','4','6','8','a','c','e') OR w >= 50 OR next_w >= 50 THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY doc_id, tie ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM flagged
+),
+chunks AS (
+  SELECT doc_id, tie, k, min(i) AS first_line, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM cuts GROUP BY doc_id, tie, k HAVING sum(w) > 0 AND (count(*) >= 2 OR max(w) >= 50)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, tie, first_line) AS place FROM chunks),
+kept AS (
+  SELECT c.doc_id, c.tie, count(*) AS n_lines, count(*) FILTER (WHERE p.place > 1) AS n_removed,
+         coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE p.place IS NULL OR p.place = 1), '') AS text
+  FROM cuts c LEFT JOIN placed p USING (doc_id, tie, k) GROUP BY c.doc_id, c.tie
+)
+SELECT o.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents o LEFT JOIN kept k ON o.doc_id = k.doc_id AND md5(o.text) = k.tie
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -85,8 +120,9 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_token_orc": op5_token_orc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_trees": op9_quality_trees,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
