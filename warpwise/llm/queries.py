@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc
+from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,67 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read(spark, path))
 
 
+# The rules of the registered query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    judged = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE
+rules(rule_host, rule_path, action) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+located AS (
+  SELECT page_id, html,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+tags AS (
+  SELECT host, path, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag FROM located
+  UNION ALL SELECT host, path, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) FROM located),
+targets AS (
+  SELECT host, path, CASE
+    WHEN regexp_matches(tag, '(?i)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>;]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
+    ELSE '' END AS target
+  FROM tags),
+absolute AS (
+  SELECT host, path, CASE WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || host || target
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || target END AS url
+  FROM targets WHERE target <> '' AND host <> ''),
+edges AS (
+  SELECT host || path AS u, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS v FROM absolute),
+both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+nodes AS (SELECT DISTINCT host || path AS node, host, path FROM located WHERE host <> ''
+  UNION SELECT v, split_part(v, '/', 1), substr(v, strpos(v || '/', '/')) FROM edges),
+ruled AS (
+  SELECT n.node, arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule,
+         arg_max(r.action, length(r.rule_host || r.rule_path)) AS action
+  FROM nodes n JOIN rules r ON (n.host = r.rule_host OR ends_with(n.host, '.' || r.rule_host)) AND starts_with(n.path, r.rule_path)
+  GROUP BY n.node),
+blocked(node) AS (
+  SELECT node FROM ruled WHERE action = 'block'
+  UNION SELECT b.v FROM blocked k JOIN both_ways b ON k.node = b.u)
+SELECT l.page_id, l.host, l.path, r.rule,
+       coalesce(r.action, CASE WHEN k.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM located l LEFT JOIN ruled r ON l.host || l.path = r.node AND l.host <> ''
+LEFT JOIN blocked k ON l.host || l.path = k.node AND l.host <> ''
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -120,9 +181,10 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_token_orc": op5_token_orc,
+    "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_trees": op9_quality_trees,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL}
