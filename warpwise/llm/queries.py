@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_orc, url_filter
+from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_counts, token_orc, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), path, tokenizer_path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_tokens")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -179,6 +185,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_token_orc": op5_token_orc,
     "op6_url_filter": op6_url_filter,
