@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .columns import append_columns, column, texts_of
+from .columns import append_columns, column
 from .words import Numbers, WordIds, id_lists, spans
 
 ORC_OPTIONS = {
@@ -123,11 +124,11 @@ def encoder_of(definition: str, end_id: int) -> WordIds:
     return WordIds(StretchEncoder(definition, end_id))
 
 
-def stretches(text: str) -> str:
-    """A text as stretches between blanks, closed by END; A-Z in lower case unless special tokens may be meant."""
-    if "<|" not in text:
-        text = text.encode().lower().decode()
-    return text.replace("\n", " ") + " " + END
+def stretches(texts: pa.Array) -> pa.Array:
+    """Texts as stretches between blanks, closed by END; A-Z in lower case unless special tokens may be meant."""
+    texts = pc.fill_null(texts, "")
+    lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    return pc.binary_join_element_wise(pc.replace_substring(lowered, "\n", " "), END, " ")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -150,7 +151,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text
 
         def work(batch):
             nonlocal before
-            flat, lengths = encoder([stretches(t) for t in texts_of(batch, "text")])
+            flat, lengths = encoder(stretches(batch.column(batch.schema.get_field_index("text"))))
             offsets = before + np.cumsum(lengths) - lengths
             before += len(flat)
             return [pa.array(np.full(len(lengths), number, np.int32)), pa.array(offsets), pa.array(lengths), id_lists(flat, lengths)]

@@ -43,12 +43,12 @@ class WordIds:
         self.flat = np.zeros(0, np.int32)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
         if len(self.words) > CACHED_WORDS:
             self._forget()
         known = len(self.words)
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        lists = pc.split_pattern(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), " ")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
