@@ -261,12 +261,11 @@ def links(prints: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     return plain.unionByName(_linked(pairs, ["key", "i", "j"])).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable through links)."""
-    chosen = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
-    printed = materialise(fingerprints(chosen, keep=["doc_id"]), "fingerprints")
+def _grouped(docs: DataFrame, text: str, doc_id: str, hot_key: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tie (a hash of the text), fp, root (a fingerprint of the component)
+    and component_id."""
+    chosen = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    printed = materialise(fingerprints(chosen, keep=["doc_id", "tie"]), "fingerprints")
     firsts = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     parts = materialise(connected_components(links(firsts, hot_key), "fp", "root"), "fingerprint-components")
     # only fingerprints with links need the join; the others name their own smallest document
@@ -274,6 +273,28 @@ def near_duplicates(
     named = (
         firsts.join(parts, "fp", "left")
         .join(least, "root", "left")
-        .select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select(
+            "fp",
+            F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
     )
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return printed.join(named, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable through links)."""
+    return _grouped(docs, text, doc_id, hot_key).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Between rows of one id a hash of the text decides; rows without id stay only where no other row does.
+    """
+    found = _grouped(docs, text, doc_id, hot_key)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))
+    stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__stay"))
+    marked = docs.withColumn("__tie", F.xxhash64(column(text)))
+    same = column(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__stay"))
+    return marked.join(stay, same, "left_semi").dropDuplicates([doc_id, "__tie"]).drop("__tie")
