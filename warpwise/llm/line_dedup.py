@@ -96,13 +96,17 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return again.groupBy("id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, and the columns n_lines and n_removed (lines)."""
-    ranges = repeated_lines(docs, text, doc_id)
+def deduplicated(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lines_as: str = "n_lines", removed_as: str = "n_removed"
+) -> DataFrame:
+    """``docs`` with repeated chunks cut out of ``text``, and the counts of its lines and of those removed."""
+    ranges = repeated_lines(docs, text, doc_id).select(
+        F.col("id").alias("__id"), F.col("tie").alias("__digest"), F.col("removed").alias("__removed")
+    )
     marked = docs.withColumn("__tie", F.md5(column(text).cast("binary")))
-    joined = marked.join(ranges, column(doc_id).eqNullSafe(ranges["id"]) & (F.col("__tie") == ranges["tie"]), "left")
+    joined = marked.join(ranges, column(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__digest")), "left")
     lines = F.split(column(text), "\n")
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,size:int>>"))
+    removed = F.coalesce("__removed", F.array().cast("array<struct<start:int,size:int>>"))
 
     def rest(x):
         def kept(k):  # the lines between one removed range and the next
@@ -112,11 +116,11 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["r"])), kept)), "\n")
 
-    cut = F.when(F.col("removed").isNull(), column(text)).otherwise(let(F.struct(lines.alias("l"), removed.alias("r")), rest))
+    cut = F.when(F.col("__removed").isNull(), column(text)).otherwise(let(F.struct(lines.alias("l"), removed.alias("r")), rest))
     gone = F.aggregate(removed, F.lit(0).cast("bigint"), lambda n, r: n + r["size"])
-    carried = without(docs, ["n_lines", "n_removed"])
+    carried = without(docs, [lines_as, removed_as])
     return joined.select(
         *[cut.alias(text) if c == text else column(c) for c in carried],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        gone.alias("n_removed"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias(lines_as),
+        gone.alias(removed_as),
     )

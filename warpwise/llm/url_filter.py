@@ -109,6 +109,9 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "ht
     blocked = ruled.where("action = 'block'").select(node.alias("node")).join(parts, "node").select("component").distinct()
     aliases = parts.join(blocked, "component", "left_semi").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
 
-    rest = located.drop("__html").join(ruled, ["host", "path"], "left").withColumn("__node", node)
-    verdict = F.coalesce("action", F.when(F.col("__blocked"), "block"), F.lit("allow"))
-    return rest.join(aliases, "__node", "left").select(*[column(c) for c in carried], "host", "path", "rule", verdict.alias("verdict"))
+    own = ruled.select("host", "path", F.col("rule").alias("__rule"), F.col("action").alias("__action"))
+    rest = located.drop("__html").join(own, ["host", "path"], "left").withColumn("__node", node)
+    verdict = F.coalesce("__action", F.when(F.col("__blocked"), "block"), F.lit("allow"))
+    return rest.join(aliases, "__node", "left").select(
+        *[column(c) for c in carried], "host", "path", F.col("__rule").alias("rule"), verdict.alias("verdict")
+    )
