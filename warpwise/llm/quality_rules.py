@@ -124,8 +124,9 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
     """(bucket, weight) for all BUCKETS: log of the smoothed share in trusted over that in all documents."""
     ids = trusted.select(column(doc_id).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(column(doc_id).alias("id"), ngram_buckets(column(text)).alias("buckets")).join(ids, "id", "left")
-    grams = rows.select("trusted", F.explode("buckets").alias("bucket"))
+    rows = docs.select(column(doc_id).alias("id"), column(text).alias("text")).join(ids, "id", "left")
+    # exploding an expression, not a column: of a column Spark would also test the size, by computing it again
+    grams = rows.select("trusted", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
     counts = materialise(
         grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")), "ngram-counts"
     )
@@ -143,9 +144,9 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
 
 def ratio_scores(docs: DataFrame, weighted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, tie, score) of all documents with n-grams; id and tie, a hash of the text, name rows of ``docs``."""
-    grams = docs.select(
-        column(doc_id).alias("id"), F.xxhash64(column(text)).alias("tie"), F.explode(ngram_buckets(column(text))).alias("bucket")
-    )
+    # the hash of the text is a column before the text is exploded, else it would be taken for every n-gram
+    named = docs.select(column(doc_id).alias("id"), F.xxhash64(column(text)).alias("tie"), column(text).alias("text"))
+    grams = named.select("id", "tie", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
     scored = grams.join(F.broadcast(weighted), "bucket")  # always BUCKETS rows
     return scored.groupBy("id", "tie").agg(F.avg("weight").alias("score"))
 
