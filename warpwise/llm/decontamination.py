@@ -12,23 +12,24 @@ hash of every document, in numpy over whole slices of text; a hit makes a candid
 without one. Candidates are verified by comparing the shingles themselves.
 
 The benchmark is a query set: it is taken in blocks of at most BLOCK_BYTES of text, measured first, and
-each block is broadcast and searched for in one pass over all documents.
+each block is broadcast and searched for in one pass over all documents (one block is the usual case).
 
 Defined cases: a text with fewer than five words has one shingle, its whole word sequence; a text
 without words has none, and an item without shingles matches nothing; null texts are empty; repeated
-items and documents each get their own matches; of further columns only their names matter: ``matches`` is replaced.
+items and documents each get their own matches; a further column named ``matches`` is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .columns import append_columns, column, texts_of, without
+from ..runtime import materialise
+from .columns import append_columns, column, texts_of
 
 WORDS = 5
 CONTAINMENT = (4, 5)  # at least 4 of 5 shingles
@@ -169,50 +170,59 @@ MATCHES = T.ArrayType(
 )
 
 
-def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "matches", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the array ``out`` of the ``items`` (item_id, text) that each document holds."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame):
+    """The broadcast index of each block of ``items`` (item_id, text); one after the other comes to the driver."""
     asked = items.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // (BLOCK_BYTES // 2)) + 1 if size > BLOCK_BYTES else 1
-    carried = without(docs, [out]) if keep is None else keep
-    work = list(dict.fromkeys([*carried, text]))
-    found = docs.select(*[column(c) for c in work], F.array().cast(MATCHES).alias("__found"))
+    blocks = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1  # half full on average, as a hash deals them out
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else asked.collect()
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+        own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else asked
+        rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield items.sparkSession.sparkContext.broadcast(Index(rows))
 
-        def make(index=index):
-            items = index.value
 
-            def search(batch):
-                ids, sizes, shared, offsets = [], [], [], [0]
-                for matched in items.matches(texts_of(batch, "text")):
-                    for item, common in matched:
-                        ids.append(items.ids[item])
-                        sizes.append(len(items.shingles[item]))
-                        shared.append(common)
-                    offsets.append(len(ids))
-                values = pa.StructArray.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (ids, sizes, shared)], ["item_id", "n_shingles", "n_shared"]
-                )
-                return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+def with_matches(docs: DataFrame, index, text: str = "text", out: str = "matches", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the array ``out`` of the items of a broadcast index that each document holds."""
 
-            return search
+    def make():
+        items = index.value
 
-        found = append_columns(found, text, T.StructType([T.StructField("__block", MATCHES)]), make)
-        found = found.select(*[column(c) for c in work], F.concat("__found", "__block").alias("__found"))
-    return found.select(*[column(c) for c in carried], F.col("__found").alias(out))
+        def search(batch):
+            ids, sizes, shared, offsets = [], [], [], [0]
+            for matched in items.matches(texts_of(batch, "text")):
+                for item, common in matched:
+                    ids.append(items.ids[item])
+                    sizes.append(len(items.shingles[item]))
+                    shared.append(common)
+                offsets.append(len(ids))
+            values = pa.StructArray.from_arrays(
+                [pa.array(x, pa.int64()) for x in (ids, sizes, shared)], ["item_id", "n_shingles", "n_shared"]
+            )
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+
+        return search
+
+    return append_columns(docs, text, T.StructType([T.StructField(out, MATCHES)]), make, keep)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) of all documents and the items they hold."""
-    found = with_matches(docs, items, text, keep=[doc_id])
-    pairs = found.select(column(doc_id).alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.*")
+    """(doc_id, item_id, n_shingles, n_shared, containment) of all documents and the items they hold.
+
+    Each block of items is one pass over the documents.
+    """
+    chosen = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    passes = [
+        with_matches(chosen, index, keep=["doc_id"]).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+        for index in indexes(items)
+    ]
+    pairs = reduce(DataFrame.unionByName, passes)
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold no item, with their columns."""
-    mark = "__matches"
-    return with_matches(docs, items, text, out=mark).where(F.size(mark) == 0).drop(mark)
+    """The documents that hold no item, with their columns; what one block of items leaves is written for the next."""
+    mark, left = "__matches", docs
+    for number, index in enumerate(indexes(items)):
+        left = materialise(left, "decontaminated") if number else left
+        left = with_matches(left, index, text, out=mark).where(F.size(mark) == 0).drop(mark)
+    return left
