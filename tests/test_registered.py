@@ -11,8 +11,9 @@ SF_DIR = "/root/testdata/sf0.001"
 NAMES = ["csv_source", "group_sizes", "leader_clusters", "two_pass_clusters", "similarity_search", "best_match_path"]
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_series_query_has_sql():
+    named = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
+    assert named <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
