@@ -103,6 +103,15 @@ def test_containment(spark, monkeypatch, block_bytes):
     assert by_row((r["doc_id"],) for r in kept.collect()) == by_row((d,) for d, _ in rows if d not in held)
 
 
+def test_hashes_do_not_depend_on_the_pieces(monkeypatch):
+    texts = [("word " * 30 + "x" * 90 + " end ") * 5, "", "a", "tail é " * 40, "y" * 200]
+    whole = decontamination.shingle_hashes(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(decontamination, "PIECE_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, decontamination.shingle_hashes(texts)))
+    assert decontamination.shingle_hashes([])[0].size == 0
+
+
 def test_containment_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(plain.table(spark), none).count() == 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task; one longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # text handled at once inside a task; one longer text is a slice of its own
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
@@ -48,7 +48,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def append_columns(
-    df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None
+    df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """``df`` with the columns ``fields`` computed from column ``text``.
 
@@ -67,7 +67,7 @@ def append_columns(
     def run(batches):
         work = make()
         out_schema = None
-        for part in slices(batches, source):
+        for part in slices(batches, source, slice_bytes):
             made = work(part.rename_columns([*part.schema.names[:width], "text"]))
             arrays = [part.column(i) for i in range(width)] + list(made)
             names = [*part.schema.names[:width], *fields.names]

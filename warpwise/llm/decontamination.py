@@ -34,6 +34,7 @@ from .columns import append_columns, column, texts_of
 WORDS = 5
 CONTAINMENT = (4, 5)  # at least 4 of 5 shingles
 BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
+PIECE_BYTES = 1 << 20  # text whose bytes are hashed at once
 
 _RUN = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240607
@@ -70,15 +71,25 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     numbers, inside = _tables()
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = inside[data]
-    edges = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    size = 1 << int(len(data)).bit_length()  # few different tables
-    up, down = _powers(max(size, 1 << 22))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers[data] * up[: len(data)], dtype=np.uint64)])
-    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
+    all_starts, all_hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    at = 0
+    while at < len(data):
+        piece = data[at : at + PIECE_BYTES]
+        if at + len(piece) < len(data):  # end at a gap between words; a longer word is a piece of its own
+            gaps = np.flatnonzero(~inside[piece])
+            if len(gaps):
+                piece = piece[: gaps[-1] + 1]
+            else:
+                piece = data[at : at + len(piece) + int(np.argmin(inside[data[at + len(piece) :]])) + 1]
+        word = inside[piece]
+        edges = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        up, down = _powers(1 << max(20, (len(piece) - 1).bit_length()))  # few different tables
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers[piece] * up[: len(piece)], dtype=np.uint64)])
+        all_hashes.append(_mixed((sums[ends] - sums[starts]) * down[starts]))
+        all_starts.append(starts + at)
+        at += len(piece)
+    starts, hashes = np.concatenate(all_starts), np.concatenate(all_hashes)
     limits = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1)
     owner = np.searchsorted(limits, starts, side="right")
     # runs of five words; a text with fewer has the run of all its words
@@ -202,7 +213,7 @@ def with_matches(docs: DataFrame, index, text: str = "text", out: str = "matches
 
         return search
 
-    return append_columns(docs, text, T.StructType([T.StructField(out, MATCHES)]), make, keep)
+    return append_columns(docs, text, T.StructType([T.StructField(out, MATCHES)]), make, keep, PIECE_BYTES)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

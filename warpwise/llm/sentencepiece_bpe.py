@@ -247,12 +247,6 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-@lru_cache(maxsize=1)
-def encoder_of(proto: bytes) -> WordIds:
-    """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
-    return WordIds(model_of(proto).merge)
-
-
 def encode(
     docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None
 ) -> DataFrame:
@@ -267,7 +261,8 @@ def encode(
         fields = fields.add(decoded, T.StringType())
 
     def make() -> Callable:
-        model, encoder = model_of(proto.value), encoder_of(proto.value)
+        model = model_of(proto.value)
+        encoder = WordIds(model.merge)  # lives as long as the task
 
         def work(batch):
             flat, lengths = encoder([spaced(t) for t in texts_of(batch, "text")])
