@@ -65,7 +65,7 @@ def test_long_series_across_segments(spark):
     series = make_series(2, 60, 70, seed=1)
     got = leader_clusters(segments(spark, series, 6, stride=8), 5, 6, 0.4, 3)
     assert rows(got) == naive.leader(series, 5, 6, 0.4, 3)
-    two = two_pass_clusters(segments(spark, series, 6, stride=8), 5, 6, 0.4, 3, stride=8)
+    two = two_pass_clusters(segments(spark, series, 6, stride=8), 5, 6, 0.4, 3)
     assert rows(two) == naive.two_pass(series, 5, 6, 0.4, 3)
 
 

@@ -100,7 +100,7 @@ def test_deep_top_k_and_overlap(spark):
 @pytest.mark.parametrize("limits", [{}, {"broadcast_cells": 0, "block_cells": 300}], ids=["broadcast", "blocks"])
 def test_exact_search(spark, cost, limits):
     parts = segments(spark, SERIES, 6, stride=7)
-    best = {r["query_id"]: r for r in exact.best_match(query_frame(spark), parts, cost, stride=7, **limits).collect()}
+    best = {r["query_id"]: r for r in exact.best_match(query_frame(spark), parts, cost, **limits).collect()}
     each = exact.best_per_series(query_frame(spark), parts, cost, **limits).collect()
     for name, (_, q) in QUERIES.items():
         m = len(q)
@@ -146,7 +146,7 @@ def test_sampled_queries(spark):
     specs = exact.sample_queries(parts, 3, seed=5).collect()
     assert [r["start"] for r in sorted(specs, key=lambda r: r["query_id"])] == [2, 4, 6]
     assert all(r["start"] + 5 <= r["end"] < 20 for r in specs)
-    cut = win.cut(parts, exact.sample_queries(parts, 3, seed=5), 16).collect()
+    cut = win.cut(parts, exact.sample_queries(parts, 3, seed=5)).collect()
     assert all(list(r["q"]) == [float(j) for j in range(r["start"], r["end"])] for r in cut)
 
 

@@ -152,7 +152,7 @@ def test_windows(spark, stride, last):
     assert sizes == {n: sum(w[0] == n for w in want) for n in {w[0] for w in want}}
     members = win.grouped_windows(segments, 2, 6, last).select("length", F.explode("members").alias("m"))
     assert sorted(tuple(r) for r in members.select("length", "m.series_id", "m.start", "m.end").collect()) == want
-    valued = with_values(win.windows(segments, 2, 6, last), segments, stride).collect()
+    valued = with_values(win.windows(segments, 2, 6, last), segments).collect()
     assert all(list(r["values"]) == series[r["series_id"]][r["start"] : r["end"]] for r in valued)
     assert len(valued) == len(want)
     assert win.max_length(segments).first()[0] == 6
@@ -179,10 +179,10 @@ def test_fixed_windows(spark):
 def test_cut(spark, stride):
     specs = spark.createDataFrame([("a", "id2", 2, 4), ("b", "id3", 1, 99), ("c", "id1", 3, 3)], "query_id string, series_id string, start long, end long")
     segments = cut_segments(three(spark), 4, stride)
-    got = {r["query_id"]: list(r["q"]) for r in win.cut(segments, specs, stride).collect()}
+    got = {r["query_id"]: list(r["q"]) for r in win.cut(segments, specs).collect()}
     assert got == {"a": [3.0, 2.0], "b": [7.0, 8.0, 9.0, 0.0, 3.0], "c": []}
     with pytest.raises(PySparkException):
-        win.cut(segments, specs.withColumn("series_id", F.lit("nope")), stride).collect()
+        win.cut(segments, specs.withColumn("series_id", F.lit("nope"))).collect()
 
 
 def test_length_check(spark):

@@ -5,6 +5,9 @@ within the radius and becomes a representative itself otherwise. The representat
 found over growing prefixes of the order: a prefix is compared with the representatives so
 far, spread over all tasks, and only the few windows left uncovered compete with each other.
 One last pass assigns every window. The result is that of the sequential loop.
+
+A window with a value that is not finite is within no radius of any window: it becomes a representative
+of its own, at distance 0, and is kept apart from the distances of all others.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from ..functions import kernels as K
 from ..functions.distance import metric_name
 from ..runtime import materialise
-from ..sources.segments import STRIDE
+from ..sources.segments import layout
 from .scoring import BLOCK_CELLS, BROADCAST_CELLS, score
 from .windows import lengths_of
 
@@ -60,23 +63,85 @@ def _hex_bound(share: float) -> str:
     return f"{int(share * (1 << 52)) << 12:016x}"
 
 
-def work_rows(segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool) -> DataFrame:
+def _finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
+def with_bad_points(segments: DataFrame) -> DataFrame:
+    """Segments with ``bad``, the places of values that are not finite, which are set to zero."""
+    marked = F.transform("values", lambda v, i: F.when(~_finite(v), i))
+    bad = F.when(F.forall("values", _finite), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda i: i.isNotNull()))
+    zeroed = F.when(F.size("bad") == 0, F.col("values")).otherwise(
+        F.transform("values", lambda v: F.when(_finite(v), v).otherwise(0.0))
+    )
+    return segments.withColumn("bad", bad).withColumn("values", zeroed)
+
+
+def _places(good: bool) -> Column:
+    """Places in a segment where the windows of ``length`` begin that hold no bad point, or one."""
+    every = F.sequence(F.lit(0), F.col("count") - 1)
+
+    def spoilt(at: Column) -> Column:
+        return F.exists("bad", lambda b: (b >= at) & (b < at + F.col("length")))
+
+    if good:
+        return F.when(F.size("bad") == 0, every).otherwise(F.filter(every, lambda at: ~spoilt(at)))
+    return F.filter(every, spoilt)
+
+
+def work_rows(
+    segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool, low: float = 0.0, high: float = 1.0
+) -> DataFrame:
     """One row per segment and length: its windows as ``items (start, key)``, and their values.
 
-    ``key`` is the 16-byte hash that orders the windows.
+    ``key`` is the 16-byte hash that orders the windows. Only windows whose place in the order lies
+    between the shares ``low`` and ``high`` are listed, and only rows that list some.
     """
 
     def item(at: Column) -> Column:
         start = F.col("seg_start") + at
         digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
-        return F.struct(start.alias("start"), F.unhex(digest).alias("key"))
+        return F.struct(start.alias("start"), digest.alias("key"))
+
+    def inside(x: Column) -> Column:
+        above = x["key"] >= _hex_bound(low) if low > 0 else F.lit(True)
+        return above & (x["key"] < _hex_bound(high)) if high < 1 else above
+
+    items = F.transform(_places(True), item)
+    if low > 0 or high < 1:
+        items = F.filter(items, inside)
+    items = F.transform(items, lambda x: F.struct(x["start"], F.unhex(x["key"]).alias("key")))
+    # exploding a list of one drops the rows without windows; a filter would compute the items twice
+    listed = F.explode(F.filter(F.array(items), lambda x: F.size(x) > 0))
+    return (
+        lengths_of(segments, shortest, longest, include_last, "values", "bad")
+        .select("series_id", "seg_start", "length", "count", "values", listed.alias("items"))
+        .select(
+            "series_id",
+            "seg_start",
+            "length",
+            "items",
+            F.slice("values", F.lit(1), F.col("count") + F.col("length") - 1).alias("values"),
+        )
+    )
 
-    return lengths_of(segments, shortest, longest, include_last, "values").select(
-        "series_id",
-        "seg_start",
-        "length",
-        F.transform(F.sequence(F.lit(0), F.col("count") - 1), item).alias("items"),
-        F.slice("values", F.lit(1), F.col("count") + F.col("length") - 1).alias("values"),
+
+def lone_windows(segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool) -> DataFrame:
+    """Windows with a value that is not finite, as representatives without values."""
+    start = F.col("seg_start") + F.col("at")
+    digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
+    return (
+        lengths_of(segments.where(F.size("bad") > 0), shortest, longest, include_last, "bad")
+        .withColumn("at", F.explode(_places(False)))
+        .select(
+            "series_id",
+            "length",
+            start.alias("start"),
+            F.unhex(digest).alias("key"),
+            F.lit(None).cast("array<double>").alias("values"),
+            F.lit(1).alias("grp"),
+            F.lit(0).cast("long").alias("no"),
+        )
     )
 
 
@@ -87,8 +152,8 @@ def first_windows(
     start = F.col("seg_start") + F.col("at")
     digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
     flat = (
-        lengths_of(segments, shortest, longest, include_last, "values")
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+        lengths_of(segments, shortest, longest, include_last, "values", "bad")
+        .withColumn("at", F.explode(_places(True)))
         .withColumn("digest", digest)
     )
     if high < 1:
@@ -390,7 +455,7 @@ def _find_representatives(source, rule: _Rule, seeds: DataFrame | None, sizes: d
             largest = source.most * high
         else:
             kernel = _prepare_open(rule, low, high)
-            open_ = materialise(score(source.rows(), known, kernel, _OPEN, agree_on=_IDS, **limits), "open")
+            open_ = materialise(score(source.rows(low, high), known, kernel, _OPEN, agree_on=_IDS, **limits), "open")
             largest = open_.groupBy("length").count().agg(F.max("count")).first()[0] or 0
         if largest:
             if largest <= sizes["group_items"]:
@@ -451,6 +516,23 @@ def _clusters(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _with_lone(reps: DataFrame | None, lone: DataFrame | None) -> DataFrame | None:
+    if lone is None:
+        return reps
+    return lone if reps is None else reps.unionByName(lone)
+
+
+def _comparable(reps: DataFrame) -> DataFrame:
+    return reps.where(F.col("values").isNotNull())
+
+
+def _on_its_own(reps: DataFrame) -> DataFrame:
+    """Lone windows of numbered representatives, assigned to themselves."""
+    return reps.where(F.col("values").isNull()).select(
+        *_IDS, F.lit(0.0).alias("dist"), "grp", F.col("length").alias("rep_length"), F.col("key").alias("rep_key"), F.col("no").alias("rep_no")
+    )
+
+
 def _no_clusters(segments: DataFrame) -> DataFrame:
     """The result when no series has a window of the lengths asked for."""
     return _clusters(segments.sparkSession.createDataFrame([], from_arrow_schema(_ASSIGNED)))
@@ -465,8 +547,10 @@ class _Windows:
     def __init__(self, segments, shortest, longest, seed, include_last, most=None):
         self.args = (shortest, longest, seed, include_last)
         if most is None:
-            count = lengths_of(segments, shortest, shortest, include_last).agg(F.sum("count")).first()[0]
-            most = int(count or 0)
+            segments = with_bad_points(segments)
+            sums = F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max(F.size("bad")), F.lit(0))
+            most, bad = lengths_of(segments, shortest, shortest, include_last, "bad").agg(*sums).first()
+            self.some_bad = bad > 0
             # little data may sit in fewer partitions than there are cores
             cores = segments.sparkSession.sparkContext.defaultParallelism
             segments = segments if most > cores * 1_000_000 else segments.repartition(cores)
@@ -475,8 +559,12 @@ class _Windows:
     def only(self, length: int) -> "_Windows":
         return _Windows(self.segments, length, length, *self.args[2:], most=self.most)
 
-    def rows(self) -> DataFrame:
-        return work_rows(self.segments, *self.args)
+    def rows(self, low: float = 0.0, high: float = 1.0) -> DataFrame:
+        return work_rows(self.segments, *self.args, low, high)
+
+    def lone(self) -> DataFrame | None:
+        """Windows that no distance reaches, written; None when all values are finite."""
+        return materialise(lone_windows(self.segments, *self.args), "lone") if self.some_bad else None
 
     def first(self, high: float) -> DataFrame:
         return first_windows(self.segments, *self.args, high)
@@ -490,7 +578,7 @@ class _Listed:
         sizes = rows.groupBy("length").agg(F.sum(F.size("items")).alias("n"))
         self.most = sizes.agg(F.max("n")).first()[0] or 0
 
-    def rows(self) -> DataFrame:
+    def rows(self, low: float = 0.0, high: float = 1.0) -> DataFrame:
         return self.listed
 
 
@@ -531,10 +619,13 @@ def leader_clusters(
             reps = fresh if reps is None else reps if fresh is None else reps.unionByName(fresh)
     else:
         reps = _find_representatives(source, rule, None, sizes)
+    lone = source.lone()
+    reps = _with_lone(reps, lone)
     if reps is None:
         return _no_clusters(segments)
     reps = materialise(_number(reps), "reps")
-    return _clusters(_assign(source.rows(), reps, rule, limits))
+    assigned = _assign(source.rows(), _comparable(reps), rule, limits)
+    return _clusters(assigned if lone is None else assigned.unionByName(_on_its_own(reps)))
 
 
 def two_pass_clusters(
@@ -546,7 +637,6 @@ def two_pass_clusters(
     metric: str = "eu",
     p: float = 2.0,
     include_last: bool = False,
-    stride: int = STRIDE,
     **sizes: int,
 ) -> DataFrame:
     """Two-pass variant: in the first pass only a window beyond twice the radius becomes a
@@ -556,11 +646,13 @@ def two_pass_clusters(
         raise ValueError("two-pass clustering takes the metrics eu, ma and mi")
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
     source = _Windows(segments, shortest, longest, seed, include_last)
-    first = _find_representatives(source, rule.times(2.0), None, sizes)
+    lone = source.lone()
+    first = _with_lone(_find_representatives(source, rule.times(2.0), None, sizes), lone)
     if first is None:
         return _no_clusters(segments)
     first = materialise(_number(first), "reps")
-    placed = materialise(_assign(source.rows(), first, rule.times(2.0), limits), "pass-one")
+    placed = _assign(source.rows(), _comparable(first), rule.times(2.0), limits)
+    placed = materialise(placed if lone is None else placed.unionByName(_on_its_own(first)), "pass-one")
 
     def radius(length: Column) -> Column:
         return F.sqrt(length.cast("double")) * F.lit(float(st)) / 2
@@ -569,7 +661,7 @@ def two_pass_clusters(
     waiting = placed.where(~near)
     if waiting.isEmpty():
         return _clusters(placed)
-    segment = F.col("start") - F.col("start") % stride
+    segment = F.col("start") - F.col("start") % layout(segments)[0]
     grouped = (
         waiting.withColumn("seg_start", segment)
         .groupBy("series_id", "seg_start", "length")
@@ -578,10 +670,10 @@ def two_pass_clusters(
     )
     rows = materialise(grouped, "waiting")
     seeds = first.withColumn("grp", F.lit(0))
-    second = _find_representatives(_Listed(rows), rule, seeds, sizes)
+    second = _find_representatives(_Listed(rows), rule, _comparable(seeds), sizes)
     every = seeds if second is None else seeds.unionByName(second)
     every = materialise(_number(every), "reps")
-    settled = _assign(rows, every, rule, limits)
+    settled = _assign(rows, _comparable(every), rule, limits)
     return _clusters(placed.where(near).unionByName(settled))
 
 

@@ -1,4 +1,8 @@
-"""Exhaustive search: every window of the query's length in every series."""
+"""Exhaustive search: every window of the query's length in every series.
+
+Windows with a value that is not finite match nothing; such a query raises, and so does one longer
+than the windows that the segments were cut for.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import kernels as K
 from ..functions.warping import warping_path
 from ..runtime import materialise
-from ..sources.segments import STRIDE, with_values
+from ..sources.segments import layout, with_values
 from .scoring import score
 
 TILE_CELLS = 4_000_000  # window cells held at a time inside a task
@@ -26,15 +30,20 @@ _BEST = pa.schema(
 )
 
 
-def _prepare(cost: str, per_series: bool):
+def _prepare(cost: str, per_series: bool, most: int):
     def prepare(table: pa.Table):
         names = table["query_id"].to_pylist()
         at, flat = K.offsets_and_values(table["values"])
         queries = [(name, flat[at[i] : at[i + 1]]) for i, name in enumerate(names)]
+        if not np.isfinite(flat).all():
+            raise ValueError("a query holds a value that is not finite")
+        longest = max((len(q) for _, q in queries), default=0)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             offsets, values = K.offsets_and_values(batch.column("values"))
             ids = batch.column("series_id")
+            if longest > most and not all(batch.column("whole").to_pylist()):
+                raise ValueError(f"a query of {longest} points does not fit segments cut for {most}")
             order = np.unique(np.array(ids.to_pylist(), dtype=object), return_inverse=True)[1]
             first = batch.column("seg_start").to_numpy()
             own = batch.column("own").to_numpy()
@@ -48,6 +57,11 @@ def _prepare(cost: str, per_series: bool):
                     inside = np.arange(len(row)) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
                     windows = values[(offsets[row] + inside)[:, None] + np.arange(len(q))]
                     tie = (order[row] << START_BITS) + first[row] + inside
+                    finite = np.isfinite(windows).all(axis=1)
+                    if not finite.all():
+                        row, inside, windows, tie = row[finite], inside[finite], windows[finite], tie[finite]
+                        if not len(row):
+                            continue
                     group = np.unique(order[row], return_inverse=True)[1] if per_series else np.zeros(len(row), np.int64)
                     best, dist = K.best_of_groups(windows, q, group, tie, cost)
                     size = len(best)
@@ -73,7 +87,7 @@ def _prepare(cost: str, per_series: bool):
 def best_per_series(queries: DataFrame, segments: DataFrame, cost: str = "sq", **limits: int) -> DataFrame:
     """Nearest window of every series to every query: ``(query_id, series_id, start, length, dist)``."""
     patterns = queries.select("query_id", F.col("q").alias("values"))
-    found = score(segments, patterns, _prepare(cost, True), _BEST, **limits)
+    found = score(segments, patterns, _prepare(cost, True, layout(segments)[1]), _BEST, **limits)
     return (
         found.groupBy("query_id", "series_id", "length")
         .agg(F.min(F.struct("dist", "start")).alias("b"))
@@ -82,21 +96,21 @@ def best_per_series(queries: DataFrame, segments: DataFrame, cost: str = "sq", *
 
 
 def best_match(
-    queries: DataFrame, segments: DataFrame, cost: str = "sq", stride: int = STRIDE, **limits: int
+    queries: DataFrame, segments: DataFrame, cost: str = "sq", **limits: int
 ) -> DataFrame:
     """The nearest window of all, with its values, distance and warping path.
 
     Ties go by (series_id, start). The path is traced for the returned rows alone.
     """
     patterns = queries.select("query_id", F.col("q").alias("values"))
-    found = score(segments, patterns, _prepare(cost, False), _BEST, **limits)
+    found = score(segments, patterns, _prepare(cost, False, layout(segments)[1]), _BEST, **limits)
     best = (
         found.groupBy("query_id", "length")
         .agg(F.min(F.struct("dist", "series_id", "start")).alias("b"))
         .select("query_id", "length", "b.series_id", "b.start", F.col("b.dist").alias("distance"))
     )
     return (
-        with_values(materialise(best, "best"), segments, stride)
+        with_values(materialise(best, "best"), segments)
         .join(queries.select("query_id", "q"), "query_id")
         .select(
             "query_id",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import materialise
-from ..sources.segments import STRIDE, with_values
+from ..sources.segments import with_values
+from .cluster import priority
 
 
 def _points(frame: DataFrame, *keep: str) -> DataFrame:
@@ -13,32 +14,32 @@ def _points(frame: DataFrame, *keep: str) -> DataFrame:
 
 
 def cluster_profile(
-    clusters: DataFrame, segments: DataFrame, lengths: int, members: int, stride: int = STRIDE
+    clusters: DataFrame, segments: DataFrame, lengths: int, members: int, seed: int = 0
 ) -> DataFrame:
     """The first ``members`` windows of every cluster of the first ``lengths`` lengths.
 
-    The representative comes first, then by (series_id, start).
+    They come in the order in which clustering with ``seed`` met them, the representative first.
     """
     wanted = clusters.select("length").distinct().orderBy("length").limit(lengths)  # a few rows
-    order = W.partitionBy("length", "cluster_id").orderBy(F.desc("is_rep"), "series_id", "start")
+    order = W.partitionBy("length", "cluster_id").orderBy(F.desc("is_rep"), priority(seed, F.col("series_id"), F.col("start"), F.col("end")))
     shown = (
         clusters.join(F.broadcast(wanted), "length")
         .withColumn("member", F.row_number().over(order))
         .where(F.col("member") <= members)
     )
     label = F.concat(F.lit("id "), F.col("cluster_id"), F.col("series_id"), F.lit("_"), F.col("start"), F.lit("_"), F.col("end"))
-    labelled = with_values(materialise(shown, "shown"), segments, stride).withColumn("label", label)
+    labelled = with_values(materialise(shown, "shown"), segments).withColumn("label", label)
     return _points(labelled, "length", "cluster_id", "member", "label")
 
 
 def result_profile(
-    queries: DataFrame, results: DataFrame, segments: DataFrame, stride: int = STRIDE
+    queries: DataFrame, results: DataFrame, segments: DataFrame
 ) -> DataFrame:
     """Curves of the ranked matches and, under rank 0 and length 0, of the queries."""
     label = F.concat(
-        F.lit("Rank"), F.col("rank"), F.lit(" id "), F.col("series_id"), F.lit("_"), F.col("start"), F.lit("_"), F.col("end")
+        F.lit("Rank"), F.col("rank"), F.lit(" id "), F.col("cluster_id"), F.col("series_id"), F.lit("_"), F.col("start"), F.lit("_"), F.col("end")
     )
-    matches = with_values(materialise(results, "results"), segments, stride).withColumn("label", label)
+    matches = with_values(materialise(results, "results"), segments).withColumn("label", label)
     asked = queries.select(
         "query_id",
         F.lit(0).alias("length"),

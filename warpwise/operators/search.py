@@ -1,4 +1,7 @@
-"""Best matches of many queries at once, through the clusters."""
+"""Best matches of many queries at once, through the clusters.
+
+Windows with a value that is not finite are never near a query.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import kernels as K
 from ..functions.warping import dtw
 from ..runtime import materialise, spread
-from ..sources.segments import STRIDE, with_values
+from ..sources.segments import with_values
 from .scoring import score
+from .windows import fixed_windows
 
 # Spark prunes a ranked window before its shuffle up to this rank (the default threshold).
 PRUNED_RANK = 1000
@@ -61,8 +65,9 @@ def _prepare_nearest(drop_same: bool):
             for n in np.unique(length):
                 rows = np.nonzero(length == n)[0]
                 matrix = values[offsets[rows][:, None] + np.arange(n)]
+                finite = np.isfinite(matrix).all(axis=1)
                 for name, source, q in zip(names, sources, queries):
-                    pick = owner[rows] != source if drop_same else np.ones(len(rows), dtype=bool)
+                    pick = finite & (owner[rows] != source) if drop_same else finite
                     if not pick.any():
                         continue
                     chosen = rows[pick]
@@ -84,7 +89,6 @@ def nearest_representatives(
     low: int,
     high: int,
     drop_same_id_reps: bool = False,
-    stride: int = STRIDE,
     **limits: int,
 ) -> DataFrame:
     """Per query and length the cluster whose representative is nearest by DTW.
@@ -95,7 +99,7 @@ def nearest_representatives(
     number = F.element_at(F.split("cluster_id", "_"), -1).cast("long")
     reps = reps.select("series_id", "start", "length", "cluster_id", number.alias("cluster_no"))
     # written first: few representatives then go to the segments, not the segments to them
-    rows = with_values(materialise(reps, "reps"), segments, stride)
+    rows = with_values(materialise(reps, "reps"), segments)
     patterns = queries.select("query_id", "source_series_id", F.col("q").alias("values"))
     found = score(rows, patterns, _prepare_nearest(drop_same_id_reps), _NEAREST, **limits)
     best = F.min(F.struct("dist", "cluster_no", "cluster_id"))
@@ -106,16 +110,16 @@ def nearest_representatives(
     )
 
 
-def _members(queries, clusters, nearest, segments, exclude_own, stride) -> DataFrame:
-    """Members of the chosen clusters with their values: ``(query_id, length, series_id, start, end, values)``."""
+def _members(queries, clusters, nearest, segments, exclude_own) -> DataFrame:
+    """Members of the chosen clusters with their values: ``(query_id, length, cluster_id, series_id, start, end, values)``."""
     chosen = nearest.select("query_id", "length", "cluster_id").join(
         queries.select("query_id", "source_series_id"), "query_id"
     )
     members = clusters.select("length", "cluster_id", "series_id", "start", "end").join(chosen, ["length", "cluster_id"])
     if exclude_own:
         members = exclude_same_id(members)
-    members = spread(materialise(members.select("query_id", "length", "series_id", "start", "end"), "members"))
-    return with_values(members, segments, stride)
+    members = spread(materialise(members.select("query_id", "length", "cluster_id", "series_id", "start", "end"), "members"))
+    return with_values(members, segments)
 
 
 def scored_members(
@@ -124,13 +128,12 @@ def scored_members(
     nearest: DataFrame,
     segments: DataFrame,
     exclude_own: bool = True,
-    stride: int = STRIDE,
 ) -> DataFrame:
-    """DTW distance of every member of the chosen clusters: ``(query_id, length, series_id, start, end, dist)``."""
+    """DTW distance of every member of the chosen clusters: ``(query_id, length, cluster_id, series_id, start, end, dist)``."""
     return (
-        _members(queries, clusters, nearest, segments, exclude_own, stride)
+        _members(queries, clusters, nearest, segments, exclude_own)
         .join(queries.select("query_id", "q"), "query_id")
-        .select("query_id", "length", "series_id", "start", "end", dtw(F.col("values"), F.col("q")).alias("dist"))
+        .select("query_id", "length", "cluster_id", "series_id", "start", "end", dtw(F.col("values"), F.col("q")).alias("dist"))
     )
 
 
@@ -138,6 +141,7 @@ _HIT = pa.schema(
     [
         ("query_id", pa.string()),
         ("length", pa.int32()),
+        ("cluster_id", pa.string()),
         ("series_id", pa.string()),
         ("start", pa.int64()),
         ("end", pa.int64()),
@@ -166,6 +170,10 @@ def _prepare_members(k: int):
                 for n in np.unique(length[names == name]):
                     rows = np.nonzero((names == name) & (length == n))[0]
                     windows = values[offsets[rows][:, None] + np.arange(n)]
+                    finite = np.isfinite(windows).all(axis=1)
+                    rows, windows = rows[finite], windows[finite]
+                    if not len(rows):
+                        continue
                     best, dist = K.k_nearest(windows, queries[name], k, place[rows])
                     hits = batch.select(_HIT.names[:-1]).take(pa.array(rows[best]))
                     parts.append(pa.Table.from_arrays([*hits.columns, pa.array(dist)], schema=_HIT))
@@ -183,7 +191,6 @@ def nearest_members(
     segments: DataFrame,
     k: int,
     exclude_own: bool = True,
-    stride: int = STRIDE,
     **limits: int,
 ) -> DataFrame:
     """Scored members of the chosen clusters, at least the k nearest per query and length.
@@ -191,11 +198,29 @@ def nearest_members(
     A member whose lower bound lies above the k-th best of its batch is never warped, and a
     batch hands on k rows at most, so :func:`top_k` after it has little left to rank.
     """
-    rows = _members(queries, clusters, nearest, segments, exclude_own, stride)
+    rows = _members(queries, clusters, nearest, segments, exclude_own)
     patterns = queries.select("query_id", F.col("q").alias("values"))
     return score(rows, patterns, _prepare_members(k), _HIT, **limits)
 
 
+def nearest_windows(queries: DataFrame, segments: DataFrame, length: int, k: int, **limits: int) -> DataFrame:
+    """Scored windows of one length, at least the k nearest to each query, without clusters.
+
+    Bounded as in :func:`nearest_members`: every batch hands on k rows a query at most.
+    """
+    coordinates = fixed_windows(segments, length, include_last=False).select(
+        F.lit(length).alias("length"),
+        F.lit(None).cast("string").alias("cluster_id"),
+        "series_id",
+        "start",
+        (F.col("start") + length).alias("end"),
+        "values",
+    )
+    asked = queries.select("query_id", F.col("q").alias("values"))
+    rows = coordinates.withColumn("query_id", F.explode(F.lit([r[0] for r in asked.select("query_id").distinct().collect()])))
+    return score(rows.select("query_id", *coordinates.columns), asked, _prepare_members(k), _HIT, **limits)
+
+
 def ranks_needed(k: int, percentage: float, longest: int) -> int:
     """How many of the nearest windows surely hold the k that :func:`top_k_without_overlap` keeps."""
     return k * max(1, 2 * math.ceil(longest * (1 - percentage)) - 1)
@@ -239,8 +264,9 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
     if longest is None:
         scored = materialise(scored, "scored")
         longest = scored.agg(F.max("length")).first()[0] or 1
+    more = [c for c in scored.columns if c not in ("query_id", "length", "series_id", "start", "end", "dist")]
     prefix = top_k(scored, ranks_needed(k, percentage, longest)).groupBy("query_id", "length").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "series_id", "start", "end"))).alias("hits")
+        F.array_sort(F.collect_list(F.struct("dist", "series_id", "start", "end", *more))).alias("hits")
     )
 
     def keep(kept, hit):
@@ -254,7 +280,9 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
     none = F.slice("hits", 1, 0)
     return prefix.select(
         "query_id", "length", F.posexplode(F.aggregate("hits", none, keep)).alias("at", "hit")
-    ).select("query_id", "length", "hit.series_id", "hit.start", "hit.end", "hit.dist", (F.col("at") + 1).alias("rank"))
+    ).select(
+        "query_id", "length", "hit.series_id", "hit.start", "hit.end", "hit.dist", *[f"hit.{c}" for c in more], (F.col("at") + 1).alias("rank")
+    )
 
 
 def query_specs(spark, specs: list[tuple[str, str, int, int]]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.segments import STRIDE, window_values
+from ..sources.segments import layout, window_values, with_room
 
 
 def window_count(length: Column, include_last: bool = False) -> Column:
@@ -23,8 +23,12 @@ def check_range(shortest: int, longest: int) -> None:
 
 
 def lengths_of(segments: DataFrame, shortest: int, longest: int, include_last: bool, *keep: str) -> DataFrame:
-    """One row per segment and length with ``count`` > 0 windows starting in it."""
+    """One row per segment and length with ``count`` > 0 windows starting in it.
+
+    Segments too short for the longest windows raise when run.
+    """
     check_range(shortest, longest)
+    segments = with_room(segments, longest)
     room = F.least(F.lit(longest), F.size("values") - (0 if include_last else 1))
     return (
         segments.where(room >= shortest)
@@ -94,12 +98,13 @@ def fixed_windows(segments: DataFrame, length: int, include_last: bool = True) -
     )
 
 
-def cut(segments: DataFrame, specs: DataFrame, stride: int = STRIDE) -> DataFrame:
+def cut(segments: DataFrame, specs: DataFrame) -> DataFrame:
     """Slices ``[start, end)`` named by ``specs (query_id, series_id, start, end)``.
 
     An unknown series raises; an end past the series shortens the slice. Each slice is put
     together from the segments it touches, joined on (series, segment).
     """
+    stride, _ = layout(segments)
     step = F.lit(stride).cast("long")
     touched = F.sequence(F.col("start") - F.col("start") % stride, F.greatest("start", F.col("end") - 1), step)
     # the first segment shows that the series exists

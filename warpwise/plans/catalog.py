@@ -10,7 +10,7 @@ from ..operators import cluster, exact, normalize, reports, search, windows as w
 from ..runtime import materialise, new_path
 from ..sources import store, wide_csv
 from ..sources.long_table import segments_from_long
-from ..sources.segments import points_of_segments, with_values
+from ..sources.segments import cut_segments, points_of_segments, with_values
 from .explore import group_and_cluster, similarity_search
 
 # Parameters of the registered queries.
@@ -22,6 +22,8 @@ OVERLAP = 0.5
 TAIL = 64  # longest window any registered query cuts from events
 QUERIES = [("q1", "1", 5, 15), ("q2", "3", 10, 19), ("q3", "7", 20, 28)]
 EXACT_LENGTH = 20
+LONG_WINDOW = 40
+LONG_GATHER = 5_000  # series of more points are numbered in ranges
 
 _made: dict = {}
 
@@ -125,9 +127,7 @@ def row_extract(spark, sf_dir):
 
     def make():
         path = new_path(spark, "suppliers")
-        table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name").coalesce(1).write.csv(
-            path, header=True
-        )
+        table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name").write.csv(path, header=True)
         return path
 
     source = _once(spark, sf_dir, "suppliers", make)
@@ -149,7 +149,7 @@ def repeated_ids(spark, sf_dir):
 def series_status(spark, sf_dir):
     """Status when the lengths 60..64 are grouped and nothing is clustered."""
     series = raw_segments(spark, sf_dir)
-    return store.series_status(series, win.windows(series, 60, 64))
+    return store.series_status(series, win.lengths_of(series, 60, 64, False))
 
 
 def save_reload(spark, sf_dir):
@@ -173,6 +173,35 @@ def cleaned_cells(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(cells).alias("pos", "cell"))
 
 
+# --- series longer than one segment ---------------------------------------------------------------
+
+
+def _long_segments(spark, sf_dir):
+    """All order lines as three series, by return flag: many segments each, numbered in ranges."""
+
+    def make():
+        lines = table(spark, sf_dir, "lineitem")
+        order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+        return materialise(
+            segments_from_long(lines, "l_returnflag", order, "l_quantity", LONG_WINDOW, gather_points=LONG_GATHER), "long-series"
+        )
+
+    return _once(spark, sf_dir, "long", make)
+
+
+def long_series_windows(spark, sf_dir):
+    """Sum and first value of every window of 40 points of the long series."""
+    rows = win.fixed_windows(_long_segments(spark, sf_dir), LONG_WINDOW, include_last=False)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("series_id", "start", F.col("values")[0].alias("first"), total.alias("total"))
+
+
+def long_series_best_match(spark, sf_dir):
+    series = normalize.normalise(_long_segments(spark, sf_dir))
+    found = exact.best_match(_foreign_queries(spark, sf_dir), series)
+    return found.select("query_id", "series_id", "start", _rounded("distance", "distance"))
+
+
 # --- bounds and scaling ------------------------------------------------------------------------
 
 
@@ -285,7 +314,8 @@ def pair_minkowski(spark, sf_dir):
 
 
 def similarity_radii(spark, sf_dir):
-    sizes = win.group_sizes(raw_segments(spark, sf_dir), 1, TAIL)
+    longest = win.max_length(raw_segments(spark, sf_dir)).first()["max_length"]
+    sizes = win.group_sizes(_tails(spark, sf_dir, longest), 1, longest)
     return sizes.select("length", _rounded(similarity_radius(F.col("length"), ST), "radius"))
 
 
@@ -326,12 +356,7 @@ def minkowski_clusters(spark, sf_dir):
 
 def embedding_clusters(spark, sf_dir):
     """Ready-made windows: every embedding is one series of one full-length window."""
-    series = _vectors(spark, sf_dir).select(
-        F.col("vec_id").cast("string").alias("series_id"),
-        F.lit(0).cast("long").alias("seg_start"),
-        F.lit(1).alias("own"),
-        F.col("v").alias("values"),
-    )
+    series = cut_segments(_vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("series_id"), F.col("v").alias("values")), 64)
     found = cluster.leader_clusters(materialise(series, "vectors"), 64, 64, 0.3, SEED, include_last=True)
     return _cluster_rows(found)
 
@@ -422,11 +447,11 @@ def length_filter(spark, sf_dir):
 
 
 def excluded_own_series(spark, sf_dir):
-    """Windows left for each query when its own series is excluded."""
-    specs = search.query_specs(spark, QUERIES).select("query_id", F.col("series_id").alias("source_series_id"), "start")
-    rows = win.windows(raw_segments(spark, sf_dir), SHORTEST, SHORTEST).join(specs, "start")
-    kept = search.exclude_same_id(rows)
-    return kept.select("query_id", "series_id", "start", "end")
+    """Members of the chosen clusters that are left when each query's own series is excluded."""
+    queries, clusters, near, _ = _search_parts(spark, sf_dir)
+    chosen = near.select("query_id", "length", "cluster_id").join(queries.select("query_id", "source_series_id"), "query_id")
+    kept = search.exclude_same_id(clusters.join(chosen, ["length", "cluster_id"]))
+    return kept.select("query_id", "length", "cluster_id", "series_id", "start", "end")
 
 
 def overlap_fractions(spark, sf_dir):
@@ -491,7 +516,7 @@ def sampled_best_match(spark, sf_dir):
 
 
 def cluster_profile(spark, sf_dir):
-    return reports.cluster_profile(stored_clusters(spark, sf_dir), raw_segments(spark, sf_dir), 2, 3)
+    return reports.cluster_profile(stored_clusters(spark, sf_dir), raw_segments(spark, sf_dir), 2, 3, SEED)
 
 
 def result_profile(spark, sf_dir):
@@ -502,11 +527,8 @@ def result_profile(spark, sf_dir):
 def windows_like_user_7(spark, sf_dir):
     """The five windows of 20 points most like points 5..25 of user 7, over all users."""
     series = scaled_segments(spark, sf_dir)
-    query = win.cut(series, search.query_specs(spark, [("q", "7", 5, 25)])).select("q").scalar()
-    rows = win.fixed_windows(series, 20, include_last=False).withColumn("q", query)
-    scored = rows.select(
-        F.lit("q").alias("query_id"), F.lit(20).alias("length"), "series_id", "start", dtw(F.col("values"), F.col("q")).alias("dist")
-    )
+    query = win.cut(series, search.query_specs(spark, [("q", "7", 5, 25)]))
+    scored = search.nearest_windows(query, series, 20, 5)
     return search.top_k(scored, 5).select("rank", "series_id", "start", _rounded("dist", "dist"))
 
 
@@ -517,6 +539,8 @@ QUERIES_BY_NAME = {
     "keyed_source": keyed_source,
     "row_extract": row_extract,
     "cleaned_cells": cleaned_cells,
+    "long_series_windows": long_series_windows,
+    "long_series_best_match": long_series_best_match,
     "duplicate_ids": duplicate_ids,
     "repeated_ids": repeated_ids,
     "series_status": series_status,

@@ -17,7 +17,6 @@ from ..operators.search import (
 )
 from ..operators.windows import windows
 from ..runtime import materialise
-from ..sources.segments import STRIDE
 
 
 def group_and_cluster(
@@ -40,9 +39,8 @@ def similarity_search(
     percentage: float = 1.0,
     exclude_own: bool = True,
     drop_same_id_reps: bool = False,
-    stride: int = STRIDE,
 ) -> DataFrame:
-    """The k best matches per query and length: ``(query_id, length, rank, series_id, start, end, dist)``.
+    """The k best matches per query and length: ``(query_id, length, rank, cluster_id, series_id, start, end, dist)``.
 
     Only the cluster of the nearest representative is ranked. Lengths outside what was grouped
     raise; a length whose cluster is empty after the exclusions gives no rows.
@@ -50,10 +48,10 @@ def similarity_search(
     check_query_range(clusters, low, high)
     queries = materialise(queries.select("query_id", "source_series_id", "q"), "queries")
     near = materialise(
-        nearest_representatives(queries, clusters, segments, low, high, drop_same_id_reps, stride), "nearest"
+        nearest_representatives(queries, clusters, segments, low, high, drop_same_id_reps), "nearest"
     )
     ranks = ranks_needed(k, percentage, high) if exclude_overlap else k
     within = in_length_range(clusters, low, high)
-    scored = nearest_members(queries, within, near, segments, ranks, exclude_own, stride)
+    scored = nearest_members(queries, within, near, segments, ranks, exclude_own)
     best = top_k_without_overlap(scored, k, percentage, high) if exclude_overlap else top_k(scored, k)
-    return best.select("query_id", "length", "rank", "series_id", "start", "end", "dist")
+    return best.select("query_id", "length", "rank", "cluster_id", "series_id", "start", "end", "dist")

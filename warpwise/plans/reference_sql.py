@@ -6,7 +6,7 @@ neighbours", one recursion step per representative; warping walks the anti-diago
 
 from __future__ import annotations
 
-from .catalog import EXACT_LENGTH, K_BEST, LONGEST, OVERLAP, QUERIES, SEED, SHORTEST, ST
+from .catalog import EXACT_LENGTH, K_BEST, LONG_WINDOW, LONGEST, OVERLAP, QUERIES, SEED, SHORTEST, ST
 
 SERIES = """
 pts AS (
@@ -218,7 +218,7 @@ def scored() -> str:
             nearest(),
             """
 mb AS (
-  SELECT row_number() OVER (ORDER BY query_id, c.length, c.series_id, c.start) AS id, query_id, c.length, c.series_id,
+  SELECT row_number() OVER (ORDER BY query_id, c.length, c.series_id, c.start) AS id, query_id, c.length, c.cluster_id, c.series_id,
          c.start, c."end", w.raw AS a, q AS b
   FROM nearest n JOIN queries USING (query_id) JOIN clusters c ON c.length = n.length AND c.cluster_id = n.cluster_id
   JOIN w ON w.length = c.length AND w.series_id = c.series_id AND w.start = c.start
@@ -226,7 +226,7 @@ mb AS (
             warped("mbd", "mb"),
             """
 scored AS (
-  SELECT query_id, length, series_id, start, "end", dist,
+  SELECT query_id, length, cluster_id, series_id, start, "end", dist,
          row_number() OVER (PARTITION BY query_id, length ORDER BY dist, series_id, start) AS place
   FROM mb JOIN mbd USING (id))""",
         ]
@@ -239,14 +239,14 @@ def greedy(k: int) -> str:
 pick_left AS (
   SELECT 1 AS step, * FROM scored
   UNION ALL
-  SELECT step + 1, query_id, length, series_id, start, "end", dist, place FROM (
+  SELECT step + 1, query_id, length, cluster_id, series_id, start, "end", dist, place FROM (
     SELECT *, first_value(series_id) OVER f AS bid, first_value(start) OVER f AS bs,
            first_value("end") OVER f AS be, min(place) OVER (PARTITION BY query_id, length) AS bp
     FROM pick_left WINDOW f AS (PARTITION BY query_id, length ORDER BY place))
   WHERE step < {k} AND place > bp
     AND NOT (series_id = bid AND (least(be, "end") - greatest(bs, start)) / CAST(be - bs AS DOUBLE) > {OVERLAP})),
 picked AS (
-  SELECT query_id, length, series_id, start, "end", dist, CAST(step AS INTEGER) AS rank FROM pick_left
+  SELECT query_id, length, cluster_id, series_id, start, "end", dist, CAST(step AS INTEGER) AS rank FROM pick_left
   QUALIFY row_number() OVER (PARTITION BY query_id, length, step ORDER BY place) = 1)"""
 
 
@@ -264,7 +264,7 @@ wide AS (
 
 SUPPLIERS = f"""
 sp AS (
-  SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS pos,
+  SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) - 1 AS pos,
          (l_quantity - lo) / (hi - lo) AS value
   FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)),
 fq AS (
@@ -283,6 +283,10 @@ sample AS (
   FROM drawn)"""
 
 
+LONG_POINTS = """SELECT l_returnflag AS series_id, l_quantity AS value,
+  row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) - 1 AS pos FROM lineitem"""
+
+
 def exact(queries: str, cost: str = "sq") -> str:
     """``hits (query_id, length, series_id, start, v, dist)``: all windows of each query's length."""
     return ",".join(
@@ -341,9 +345,8 @@ def statements() -> dict[str, str]:
 dw AS (
   SELECT row_number() OVER (ORDER BY w.series_id, w.start) AS id, w.series_id, w.start, w.raw AS a, q.raw[{q1[2]} + 1 : {q1[3]}] AS b
   FROM w, s q WHERE q.series_id = '{q1[1]}')"""
-    search_rows = "SELECT query_id, length, rank, series_id, start, \"end\", round(dist, 6) AS dist FROM picked"
+    search_rows = "SELECT query_id, length, rank, cluster_id, series_id, start, \"end\", round(dist, 6) AS dist FROM picked"
     fixed = 'SELECT series_id, start, CAST(pos AS INTEGER) AS pos, value FROM (SELECT series_id, start, unnest(range(0, length)) AS pos, unnest(raw) AS value FROM w)'
-    specs = ", ".join(f"('{q}', '{s}', {a})" for q, s, a, _ in QUERIES)
     return {
         "series_from_events": sql(SERIES, select="SELECT series_id, pos, value FROM pts"),
         "csv_source": sql(SERIES, WIDE, select=unnest_cells.format("SELECT series_id, cells[1 : n - 1] AS v FROM wide")),
@@ -359,6 +362,17 @@ dw AS (
         "cleaned_cells": """SELECT doc_id, CAST(pos AS INTEGER) AS pos, cell FROM (
             SELECT doc_id, unnest([0, 1, 2, 3]) AS pos,
                    unnest([trim(source), NULL, NULL, trim(lang)]) AS cell FROM documents)""",
+        "long_series_windows": f"""SELECT series_id, pos AS start, value AS first, total FROM (
+            SELECT *, sum(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {LONG_WINDOW - 1} FOLLOWING) AS total
+            FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ({LONG_POINTS}))) WHERE pos + {LONG_WINDOW} < n""",
+        "long_series_best_match": sql(
+            SUPPLIERS,
+            f"""
+s AS (
+  SELECT series_id, list((value - lo) / (hi - lo) ORDER BY pos) AS norm, count(*) AS n
+  FROM ({LONG_POINTS}), (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) GROUP BY series_id)""",
+            exact("fq"), TOP, select="SELECT query_id, series_id, start, round(dist, 6) AS distance FROM top",
+        ),
         "duplicate_ids": """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS series_id FROM orders
             WHERE o_custkey IN (SELECT user_id FROM events)""",
         "repeated_ids": """SELECT CAST(o_custkey AS VARCHAR) AS series_id, count(*) AS "rows" FROM orders
@@ -399,7 +413,7 @@ dw AS (
         "similarity_radii": sql(
             SERIES,
             select=f"""SELECT DISTINCT CAST(length AS INTEGER) AS length, round(sqrt(length) * {ST} / 2, 6) AS radius
-              FROM (SELECT unnest(range(1, least(n - 1, 64) + 1)) AS length FROM s)""",
+              FROM (SELECT unnest(range(1, n)) AS length FROM s)""",
         ),
         "dtw_scores": sql(
             SERIES, windows("w", 12, 12), dtw_source, warped("dd", "dw"),
@@ -432,19 +446,19 @@ dw AS (
         ),
         "scored_members": sql(
             SERIES, BASE, scored(),
-            select='SELECT query_id, length, series_id, start, "end", round(dist, 6) AS dist FROM scored',
+            select='SELECT query_id, length, cluster_id, series_id, start, "end", round(dist, 6) AS dist FROM scored',
         ),
         "ranked_members": sql(
             SERIES, BASE, scored(),
-            select='SELECT query_id, length, series_id, start, "end", round(dist, 6) AS dist, CAST(place AS INTEGER) AS rank FROM scored WHERE place <= 100',
+            select='SELECT query_id, length, cluster_id, series_id, start, "end", round(dist, 6) AS dist, CAST(place AS INTEGER) AS rank FROM scored WHERE place <= 100',
         ),
         "no_overlap_topk": sql(SERIES, BASE, scored(), greedy(20), select=search_rows),
         "similarity_search": sql(SERIES, BASE, scored(), greedy(K_BEST), select=search_rows),
         "length_filter": sql(SERIES, windows("w", 9, 10), select='SELECT length, series_id, start, "end" FROM w'),
         "excluded_own_series": sql(
-            SERIES, windows("w", SHORTEST, SHORTEST),
-            select=f"""SELECT query_id, series_id, w.start, "end" FROM w
-              JOIN (VALUES {specs}) t(query_id, source, start) ON t.start = w.start WHERE series_id <> source""",
+            SERIES, BASE, nearest(),
+            select="""SELECT query_id, n.length, n.cluster_id, c.series_id, c.start, c."end" FROM nearest n JOIN queries USING (query_id)
+              JOIN clusters c ON c.length = n.length AND c.cluster_id = n.cluster_id WHERE c.series_id <> source_series_id""",
         ),
         "overlap_fractions": sql(
             SERIES, BASE,
@@ -474,9 +488,10 @@ dw AS (
         ),
         "cluster_profile": sql(
             SERIES, BASE,
-            """
+            f"""
 shown AS (
-  SELECT *, row_number() OVER (PARTITION BY length, cluster_id ORDER BY is_rep DESC, series_id, start) AS member
+  SELECT *, row_number() OVER (PARTITION BY length, cluster_id ORDER BY is_rep DESC,
+    md5(concat_ws('|', '{SEED}', series_id, start, "end"))) AS member
   FROM clusters WHERE length IN (SELECT DISTINCT length FROM clusters ORDER BY length LIMIT 2)
   QUALIFY member <= 3)""",
             select="""SELECT length, cluster_id, CAST(member AS INTEGER) AS member, label, CAST(pos AS INTEGER) AS pos, value FROM (
@@ -487,7 +502,7 @@ shown AS (
         "result_profile": sql(
             SERIES, BASE, scored(), greedy(K_BEST),
             select="""SELECT query_id, CAST(length AS INTEGER) AS length, rank, label, CAST(pos AS INTEGER) AS pos, value FROM (
-              SELECT query_id, p.length, rank, concat('Rank', rank, ' id ', p.series_id, '_', p.start, '_', p."end") AS label,
+              SELECT query_id, p.length, rank, concat('Rank', rank, ' id ', p.cluster_id, p.series_id, '_', p.start, '_', p."end") AS label,
                      unnest(range(0, p.length)) AS pos, unnest(w.raw) AS value
               FROM picked p JOIN w ON w.length = p.length AND w.series_id = p.series_id AND w.start = p.start
               UNION ALL

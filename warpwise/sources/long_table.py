@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import materialise
-from .segments import STRIDE, cut_segments, points_of_segments, segments_of_points
+from .segments import STRIDE, cut_segments, points_of_segments, segments_of_points, with_layout
 
 # A series up to this many points is gathered in one group; a longer one is numbered in ranges.
-GATHER_POINTS = 2_000_000
+GATHER_POINTS = 50_000
 
 
 def _rows(table: DataFrame, id_col: str, order_cols: list[str], value_col: str) -> DataFrame:
@@ -25,8 +25,8 @@ def _rows(table: DataFrame, id_col: str, order_cols: list[str], value_col: str)
 def number_points(rows: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """``(series_id, pos, value)`` for series of any size.
 
-    Rows are range-partitioned by (series, order), so a huge series covers many partitions;
-    its rows are numbered inside each, and the counts of the earlier ones are added.
+    Rows are range-partitioned by (series, order), so a huge series covers many partitions (rows that
+    agree in all of these lie together); its rows are numbered inside each, and the counts of the earlier ones are added.
     """
     ranged = rows.repartitionByRange(*([partitions] if partitions else []), "series_id", *order)
     parts = materialise(ranged.withColumn("part", F.spark_partition_id()), "ranges")
@@ -55,13 +55,14 @@ def segments_from_long(
 ) -> DataFrame:
     """Segment rows of every series of ``table``."""
     rows = _rows(table, id_col, order_cols, value_col)
-    order = [f"o{i}" for i in range(len(order_cols))]
-    counts = rows.groupBy("series_id").count()
+    # points of equal order are taken by value, whichever way a series goes
+    order = [*[f"o{i}" for i in range(len(order_cols))], "value"]
+    counts = materialise(rows.groupBy("series_id").count(), "series-sizes")
     huge = counts.where(F.col("count") > gather_points)
     huge_points = huge.agg(F.sum("count")).first()[0]
 
     def gathered(part: DataFrame) -> DataFrame:
-        cells = F.array_sort(F.collect_list(F.struct(*order, "value")))
+        cells = F.array_sort(F.collect_list(F.struct(*order)))
         series = part.groupBy("series_id").agg(
             F.transform(cells, lambda c: c["value"]).alias("values")
         )
@@ -71,9 +72,8 @@ def segments_from_long(
         return gathered(rows)
     partitions = math.ceil(huge_points / max(1, gather_points))
     points = number_points(rows.join(huge, "series_id", "left_semi"), order, partitions)
-    return gathered(rows.join(huge, "series_id", "left_anti")).unionByName(
-        segments_of_points(points, max_length, stride)
-    )
+    short = gathered(rows.join(huge, "series_id", "left_anti"))
+    return with_layout(short.unionByName(segments_of_points(points, max_length, stride)), stride, max_length)
 
 
 def points_from_long(

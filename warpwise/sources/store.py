@@ -80,9 +80,14 @@ def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return parts
 
 
-def to_map(series: DataFrame) -> DataFrame:
-    """``(series_id, values)`` rows -> one single-entry map per row, ``{series_id: values}``."""
-    return series.select(F.create_map("series_id", "values").alias("entry"))
+def to_map(series: DataFrame, entries: int = 256) -> DataFrame:
+    """``(series_id, values)`` rows -> maps ``{series_id: values}`` of about ``entries`` series each.
+
+    Series are dealt to maps by a hash of their id; an id that comes twice raises.
+    """
+    maps = F.lit(max(1, -(-series.count() // entries)))
+    bucket = F.pmod(F.xxhash64("series_id"), maps).alias("bucket")
+    return series.groupBy(bucket).agg(F.map_from_entries(F.collect_list(F.struct("series_id", "values"))).alias("entry")).select("entry")
 
 
 def from_map(maps: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Series from wide CSV text: one series per line, label cells first."""
+"""Series from wide CSV text: one series per line, label cells first.
+
+The header is the first line of each file, whatever it says; a later line that equals it is data.
+"""
 
 from __future__ import annotations
 
@@ -41,17 +44,31 @@ def _feature_cells(line: Column) -> Column:
     return clean_cells(F.split(F.substring(stripped, F.lit(1), F.length(stripped) - 1), ",", -1))
 
 
+MANY_FILES = 100_000  # first places of so many files are broadcast; beyond that Spark chooses the join
+
+
 def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """``(line, file, place)`` of every line, and the first line of the first file by name."""
     text = spark.read.text(path)
-    head = text.first()
+    files = sorted(text.inputFiles())
+    head = spark.read.text(files[0]).first() if files else None
     if head is None:
         raise ValueError(f"no header line in {path}")
-    return text.withColumnRenamed("value", "line"), head["value"]
+    # order of the lines of a file: split within the file, line within the split
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"))
+    return text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place")), head["value"]
+
+
+def _data_lines(lines: DataFrame) -> DataFrame:
+    """All lines but the first of each file."""
+    heads = lines.groupBy("file").agg(F.min("place").alias("head"))
+    heads = F.broadcast(heads) if len(lines.inputFiles()) <= MANY_FILES else heads
+    return lines.join(heads, "file").where(F.col("place") > F.col("head")).select("line")
 
 
 def _parsed(spark: SparkSession, path: str, features: list[int], trim: str) -> DataFrame:
     """Line, label, values and, for lines that cannot be read, the reason."""
-    lines, head = _lines(spark, path)
+    lines, _ = _lines(spark, path)
     raw = F.split("line", ",", -1)
     count = len(features)
     data = F.col("cells")
@@ -62,7 +79,7 @@ def _parsed(spark: SparkSession, path: str, features: list[int], trim: str) -> D
     )
     # a number has passed the pattern, so the cast below only runs on readable cells
     return (
-        lines.where(F.col("line") != head)
+        _data_lines(lines)
         .withColumn("cells", trim_padding(F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0))), trim))
         .withColumn("reason", reason)
         .withColumn("series_id", label(data, count))
@@ -105,10 +122,7 @@ def read_keyed_csv(spark: SparkSession, path: str, features: list[int]) -> DataF
     width = F.size(_feature_cells(F.lit(head)))
     raw = F.split("line", ",", -1)
     cells = trim_padding(F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0))))
-    # order of the lines: file, split within the file, line within the split
-    place = F.struct(
-        F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line_no")
-    )
+    place = F.struct("file", "place")
     message = F.concat(F.lit("label cells missing: "), F.col("line"))
     wide = F.when(F.size("cells") >= len(features) - 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return (
@@ -126,8 +140,11 @@ def read_keyed_csv(spark: SparkSession, path: str, features: list[int]) -> DataF
 
 
 def extract_rows(spark: SparkSession, source: str, rows: int, target: str | None = None) -> DataFrame:
-    """The first ``rows`` data rows of a CSV file, also written to ``target`` when given."""
-    part = spark.read.csv(source, header=True).limit(rows)
+    """The first ``rows`` data rows of a CSV file, or of a folder of them in the order of their names, also
+    written to ``target`` when given."""
+    table = spark.read.csv(source, header=True)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    part = table.select("*", place.alias("_place")).orderBy("_place").limit(rows).drop("_place")
     if target is not None:
         part.write.mode("overwrite").csv(target, header=True)
         return spark.read.csv(target, header=True)
