@@ -63,7 +63,9 @@ def _data_lines(lines: DataFrame) -> DataFrame:
     """All lines but the first of each file."""
     heads = lines.groupBy("file").agg(F.min("place").alias("head"))
     heads = F.broadcast(heads) if len(lines.inputFiles()) <= MANY_FILES else heads
-    return lines.join(heads, "file").where(F.col("place") > F.col("head")).select("line")
+    # the header becomes a null line by a value from the join, so that no later check of lines is made before it
+    data = lines.join(heads, "file").select(F.when(F.col("place") > F.col("head"), F.col("line")).alias("line"))
+    return data.where(F.col("line").isNotNull())
 
 
 def _parsed(spark: SparkSession, path: str, features: list[int], trim: str) -> DataFrame:
@@ -73,7 +75,8 @@ def _parsed(spark: SparkSession, path: str, features: list[int], trim: str) -> D
     count = len(features)
     data = F.col("cells")
     reason = (
-        F.when(F.size(_feature_cells(F.col("line"))) <= max(features), "feature cells missing")
+        F.when(F.col("line").isNull(), None)
+        .when(F.size(_feature_cells(F.col("line"))) <= max(features), "feature cells missing")
         .when(F.size(data) < count, "label cells missing")
         .when(F.exists(F.slice(data, count + 1, F.size(data)), lambda c: ~c.rlike(NUMBER)), "not a number")
     )
