@@ -23,7 +23,7 @@ from ..functions import kernels as K
 from ..functions.distance import metric_name
 from ..runtime import materialise
 from ..sources.segments import layout
-from .scoring import BLOCK_CELLS, BROADCAST_CELLS, score
+from .scoring import BLOCK_CELLS, BROADCAST_CELLS, Block, cells, score
 from .windows import lengths_of
 
 FIRST_PREFIX = 16_384  # windows of one length in the first prefix
@@ -39,6 +39,7 @@ _WINDOW = [
     ("key", pa.binary()),
 ]
 _IDS = [name for name, _ in _WINDOW]
+_COVERED = pa.schema(_WINDOW)
 _OPEN = pa.schema(_WINDOW + [("values", pa.list_(pa.float64()))])
 _ASSIGNED = pa.schema(
     _WINDOW
@@ -51,6 +52,16 @@ _ASSIGNED = pa.schema(
     ]
 )
 _EDGE = pa.schema([("key", pa.binary()), ("early_key", pa.binary())])
+_ROUTED = pa.schema(
+    [
+        ("_block", pa.int32()),
+        ("series_id", pa.string()),
+        ("seg_start", pa.int64()),
+        ("length", pa.int32()),
+        ("items", pa.list_(pa.struct([("start", pa.int64()), ("key", pa.binary())]))),
+        ("values", pa.list_(pa.float64())),
+    ]
+)
 
 
 def priority(seed: int, series_id: Column, start: Column, end: Column) -> Column:
@@ -338,6 +349,105 @@ def _prepare_open(rule: _Rule, low: float, high: float):
     return prepare
 
 
+def _prepare_covered(rule: _Rule, low: float, high: float):
+    """Kernel: windows of a stretch of the order that some pattern covers."""
+
+    def prepare(table: pa.Table):
+        patterns = _Patterns.by_length(table)
+
+        def run(batch: pa.RecordBatch) -> pa.Table:
+            parts, batch = [], _Batch(batch)
+            for tile in _tiles(batch, rule, patterns, low, high):
+                hit = np.zeros(len(tile.values), bool)
+                for pattern, part in tile.slices:
+                    left = np.flatnonzero(~hit)
+                    hit[left] = K.covered(tile.values[left], pattern.values[part], tile.radius, rule.metric, rule.p)
+                    if hit.all():
+                        break
+                if hit.any():
+                    parts.append(batch.identify(tile.index[hit], tile.length))
+            return _table(_COVERED, parts)
+
+        return run
+
+    return prepare
+
+
+def _router(rule: _Rule):
+    """Sends the windows of work rows to the blocks of patterns whose means they reach; None for warping.
+
+    A row that goes to a block lists only the windows that reach it, and the values these need.
+    """
+    if rule.cross_length:
+        return None
+
+    def route(rows: DataFrame, blocks: list[Block]) -> DataFrame:
+        by_length: dict[int, list[Block]] = {}
+        for block in blocks:
+            by_length.setdefault(block[1], []).append(block)
+        fields = from_arrow_schema(_ROUTED)
+
+        def run(batches):
+            for whole in batches:
+                batch = _Batch(whole)
+                items = whole.column("items").flatten()
+                offsets = K.offsets_and_values(whole.column("values"))[0]
+                seg_start = whole.column("seg_start").to_numpy()
+                for n in np.unique(batch.length).tolist():
+                    chosen = np.flatnonzero(batch.length == n)
+                    size = K.tile_rows(n)
+                    tiles = [chosen[i : i + size] for i in range(0, len(chosen), size)]
+                    means = np.concatenate([batch.flat[batch.at[t][:, None] + np.arange(n)].mean(axis=1) for t in tiles])
+                    reach = K.mean_reach(rule.radius(n), n, rule.metric, rule.p) + 1e-9 * (1 + np.abs(means).max())
+                    for number, _, low, high in by_length.get(n, ()):
+                        index = chosen[(means >= low - reach) & (means < high + reach)]
+                        if not len(index):
+                            continue
+                        row = batch.row[index]
+                        cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                        at = batch.at[index]
+                        first, last = np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut)
+                        lengths = last - first + n
+                        ends = np.cumsum(lengths)
+                        places = np.repeat(first - (ends - lengths), lengths) + np.arange(int(ends[-1]))
+                        owner = row[cut]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(cut), number, np.int32)),
+                                whole.column("series_id").take(pa.array(owner)),
+                                pa.array(seg_start[owner] + first - offsets[owner]),
+                                pa.array(np.full(len(cut), n, np.int32)),
+                                pa.ListArray.from_arrays(
+                                    pa.array(np.append(cut, len(index)).astype(np.int32)), items.take(pa.array(index))
+                                ),
+                                pa.ListArray.from_arrays(
+                                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(batch.flat[places])
+                                ),
+                            ],
+                            names=_ROUTED.names,
+                        )
+
+        return rows.select(*_ROUTED.names[1:]).mapInArrow(run, fields)
+
+    return route
+
+
+def _uncovered(source, known: DataFrame, rule: _Rule, low: float, high: float, limits: dict) -> DataFrame:
+    """Windows of a stretch of the order that no pattern covers, with their values."""
+    if cells(known) <= limits["broadcast_cells"]:
+        return score(source.rows(low, high), known, _prepare_open(rule, low, high), _OPEN, **limits)
+    rows = source.rows(low, high)
+    covered = score(rows, known, _prepare_covered(rule, low, high), _COVERED, router=_router(rule), **limits)
+    digest = F.lower(F.hex("key"))
+    stretch = _flat(rows)
+    if low > 0:
+        stretch = stretch.where(digest >= _hex_bound(low))
+    if high < 1:
+        stretch = stretch.where(digest < _hex_bound(high))
+    ids = ["series_id", "length", "start"]
+    return stretch.join(covered.select(*ids), ids, "left_anti").select(*_OPEN.names)
+
+
 def _prepare_assign(rule: _Rule):
     """Kernel: the nearest pattern within the radius among those that existed."""
 
@@ -422,7 +532,7 @@ def _settle_in_rounds(open_: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     covered by an earlier prefix and never gets here.
     """
     patterns = open_.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long"))
-    edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, **limits), "edges")
+    edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, router=_router(rule), **limits), "edges")
     undecided = open_.select("key")
     chosen = None
     while True:
@@ -454,8 +564,7 @@ def _find_representatives(source, rule: _Rule, seeds: DataFrame | None, sizes: d
             open_ = source.first(high)
             largest = source.most * high
         else:
-            kernel = _prepare_open(rule, low, high)
-            open_ = materialise(score(source.rows(low, high), known, kernel, _OPEN, agree_on=_IDS, **limits), "open")
+            open_ = materialise(_uncovered(source, known, rule, low, high, limits), "open")
             largest = open_.groupBy("length").count().agg(F.max("count")).first()[0] or 0
         if largest:
             if largest <= sizes["group_items"]:
@@ -501,7 +610,7 @@ def _nearest_of_blocks(found: DataFrame) -> DataFrame:
 
 def _assign(rows: DataFrame, reps: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     """Nearest representative of every window that has one within the radius."""
-    return score(rows, reps, _prepare_assign(rule), _ASSIGNED, combine=_nearest_of_blocks, **limits)
+    return score(rows, reps, _prepare_assign(rule), _ASSIGNED, combine=_nearest_of_blocks, router=_router(rule), **limits)
 
 
 def _clusters(assigned: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 ``prepare(patterns)`` turns an Arrow table of patterns into a function from an Arrow batch of
 rows to an Arrow table of results. Patterns of a measured, bounded size travel to the rows and
-the rows are not shuffled. Larger pattern sets are cut into blocks: every (row block, pattern
-block) pair is one bounded group, and results of different blocks are combined by the caller.
+the rows are not shuffled. Larger pattern sets are cut into blocks by length and mean; a router sends
+every row only to the blocks that its windows' means reach, and the caller combines what the blocks
+find. Without a router (warping has no bound on means) every row block meets every pattern block.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 BROADCAST_CELLS = 16_000_000
 BLOCK_CELLS = 8_000_000
 ROW_CELLS = 16  # weight of a row's other columns
+FINEST = 10_000  # cuts of one length's means that are asked for at most; more blocks come from salt
 
 Prepare = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.Table]]
 
@@ -29,21 +31,82 @@ def cells(frame: DataFrame, values: str = "values") -> int:
     return frame.agg(F.coalesce(weight, F.lit(0)).alias("n")).first()["n"]
 
 
+# Block number, length, and the range of means [low, high) of a block of patterns.
+Block = tuple[int, int, float, float]
+Router = Callable[[DataFrame, list[Block]], DataFrame]
+
+
+def _blocks_of(patterns: DataFrame, block_cells: int) -> list[Block]:
+    """Ranges of length and mean that hold about ``block_cells`` of the patterns each."""
+    weight = F.sum(F.size("values").cast("long") + ROW_CELLS)
+    sizes = {r["length"]: r["n"] for r in patterns.groupBy("length").agg(weight.alias("n")).collect()}
+    wanted = {n: min(FINEST, math.ceil(size / block_cells)) for n, size in sizes.items()}
+    finest = max(wanted.values())
+    cuts: dict[int, list[float]] = {}
+    if finest > 1:
+        grid = F.percentile_approx("_mean", [i / finest for i in range(1, finest)], 10 * finest)
+        large = patterns.where(F.col("length").isin([n for n, k in wanted.items() if k > 1]))
+        for r in large.groupBy("length").agg(grid.alias("cuts")).collect():
+            k = wanted[r["length"]]
+            cuts[r["length"]] = sorted({r["cuts"][round(i * finest / k) - 1] for i in range(1, k)})
+    blocks: list[Block] = []
+    for n in sorted(sizes):
+        ends = [-math.inf, *cuts.get(n, []), math.inf]
+        blocks += [(len(blocks) + i, n, low, high) for i, (low, high) in enumerate(zip(ends, ends[1:]))]
+    return blocks
+
+
+def _score_routed(rows, patterns, over_block, schema, router: Router, block_cells: int) -> DataFrame:
+    """Each row against the blocks of patterns it can reach.
+
+    Blocks that are too heavy because many patterns share a mean, and the rows of a block, are dealt to
+    salted groups, so that a group stays bounded; the weights are counted first.
+    """
+    spark = rows.sparkSession
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    patterns = patterns.withColumn("_mean", mean)
+    blocks = _blocks_of(patterns, block_cells)
+    ranges = spark.createDataFrame([(b, n, low, high) for b, n, low, high in blocks], "_block int, _length int, _low double, _high double")
+    inside = (F.col("length") == F.col("_length")) & (F.col("_mean") >= F.col("_low")) & (F.col("_mean") < F.col("_high"))
+    placed = patterns.join(F.broadcast(ranges), inside).drop("_mean", "_length", "_low", "_high")
+    routed = router(rows, blocks)
+
+    def weights(frame: DataFrame, name: str) -> DataFrame:
+        heavy = F.sum(F.size("values").cast("long") + ROW_CELLS)
+        return frame.groupBy("_block").agg(F.ceil(heavy / block_cells).cast("int").alias(name))
+
+    # one row per block that both sides have
+    parts = F.broadcast(spark.createDataFrame(weights(placed, "_pattern_parts").join(weights(routed, "_row_parts"), "_block").toArrow()))
+
+    def dealt(frame: DataFrame, own: str, other: str) -> DataFrame:
+        key = F.xxhash64(*[c for c in frame.columns if not c.startswith("_")])
+        return (
+            frame.join(parts, "_block")
+            .withColumn(own, F.pmod(key, F.col(f"{own}_parts")).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
+            .drop("_row_parts", "_pattern_parts")
+        )
+
+    group = ["_block", "_row", "_pattern"]
+    left = dealt(routed, "_row", "_pattern").groupBy(*group)
+    return left.cogroup(dealt(placed, "_pattern", "_row").groupBy(*group)).applyInArrow(over_block, schema)
+
+
 def score(
     rows: DataFrame,
     patterns: DataFrame,
     prepare: Prepare,
     result: pa.Schema,
-    agree_on: list[str] | None = None,
     combine: Callable[[DataFrame], DataFrame] | None = None,
+    router: Router | None = None,
     broadcast_cells: int = BROADCAST_CELLS,
     block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """``prepare(patterns)`` applied to all rows, for all patterns.
 
     ``rows`` needs columns ``series_id`` and ``values``; ``patterns`` needs ``values``. When
-    the patterns come in several blocks, ``agree_on`` keeps a result only if every block gave one
-    with the same key, and ``combine`` merges what the blocks found.
+    the patterns come in several blocks, ``combine`` merges what the blocks found, and ``router`` adds
+    ``_block`` to rows, once for each block that a row is to meet (patterns need ``length`` then).
     """
     schema = from_arrow_schema(result)
     size = cells(patterns)
@@ -58,6 +121,17 @@ def score(
 
         return rows.mapInArrow(over_batches, schema)
 
+    def over_block(some: pa.Table, against: pa.Table) -> pa.Table:
+        if not len(some) or not len(against):
+            return result.empty_table()
+        function = prepare(against)
+        parts = [function(batch) for batch in some.combine_chunks().to_batches()]
+        return pa.concat_tables(parts).combine_chunks() if parts else result.empty_table()
+
+    if router is not None:
+        scored = _score_routed(rows, patterns, over_block, schema, router, block_cells)
+        return scored if combine is None else combine(scored)
+
     pattern_blocks = math.ceil(size / block_cells)
     # enough groups for every core, at least
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -72,27 +146,12 @@ def score(
     left = block(rows, "_row", row_blocks, "_pattern", pattern_blocks)
     right = block(patterns, "_pattern", pattern_blocks, "_row", row_blocks)
 
-    def over_block(some: pa.Table, against: pa.Table) -> pa.Table:
-        function = prepare(against)
-        parts = [function(batch) for batch in some.combine_chunks().to_batches()]
-        return pa.concat_tables(parts).combine_chunks() if parts else result.empty_table()
-
     scored = (
         left.groupBy("_row", "_pattern")
         .cogroup(right.groupBy("_row", "_pattern"))
         .applyInArrow(over_block, schema)
     )
-    if combine is not None:
-        return combine(scored)
-    if agree_on is None:
-        return scored
-    others = [F.first(c).alias(c) for c in scored.columns if c not in agree_on]
-    return (
-        scored.groupBy(*agree_on)
-        .agg(F.count(F.lit(1)).alias("_blocks"), *others)
-        .where(F.col("_blocks") == pattern_blocks)
-        .select(*scored.columns)
-    )
+    return scored if combine is None else combine(scored)
 
 
 def _to_bytes(table: pa.Table) -> bytes:
