@@ -23,4 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from warpwise.runtime import clean_up
+
+    clean_up(session)
     session.stop()
