@@ -27,6 +27,7 @@ from .columns import append_columns, texts_of
 from .words import WordIds, id_lists, spans
 
 SPACE = "▁"
+CACHED_WORDS = 200_000  # words a task remembers
 _NONE = np.int64(1) << 60
 
 
@@ -262,7 +263,7 @@ def encode(
 
     def make() -> Callable:
         model = model_of(proto.value)
-        encoder = WordIds(model.merge)  # lives as long as the task
+        encoder = WordIds(model.merge, CACHED_WORDS)  # lives as long as the task
 
         def work(batch):
             flat, lengths = encoder([spaced(t) for t in texts_of(batch, "text")])

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .columns import append_columns, column, texts_of
-from .sentencepiece_bpe import model_of, read_model, spaced
+from .sentencepiece_bpe import CACHED_WORDS, model_of, read_model, spaced
 from .words import WordIds
 
 BLOCK_TOKENS = 1 << 19
-FILE_ROWS = 20_000  # documents of one file at most, so that a reader can hold it
+FILE_ROWS = 10_000  # documents of one file at most, so that a reader can hold it
 
 
 def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int = 2, text: str = "text") -> None:
@@ -33,7 +33,7 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int =
     proto = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def make():
-        encoder = WordIds(model_of(proto.value).merge)
+        encoder = WordIds(model_of(proto.value).merge, CACHED_WORDS)
 
         def work(batch):
             flat, lengths = encoder([spaced(t) for t in texts_of(batch, "text")])

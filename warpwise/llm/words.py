@@ -34,8 +34,8 @@ class WordIds:
     that is not remembered, so what it returns may depend on the word only.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_words = encode_words
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cached: int = CACHED_WORDS):
+        self.encode_words, self.cached = encode_words, cached
         self._forget()
 
     def _forget(self):
@@ -45,7 +45,7 @@ class WordIds:
 
     def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > self.cached:
             self._forget()
         known = len(self.words)
         lists = pc.split_pattern(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), " ")
