@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .columns import append_columns, column
 from .words import Numbers, WordIds, id_lists, spans
 
+SLICE_BYTES = 4 << 20  # larger slices repeat more of their words
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -158,7 +159,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text
 
         return work
 
-    return append_columns(docs, text, fields, make, keep)
+    return append_columns(docs, text, fields, make, keep, SLICE_BYTES)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
