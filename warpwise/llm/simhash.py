@@ -287,14 +287,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return _grouped(docs, text, doc_id, hot_key).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Between rows of one id a hash of the text decides; rows without id stay only where no other row does.
-    """
-    found = _grouped(docs, text, doc_id, hot_key)
+def first_rows(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` that come first in their root, as ``found`` (doc_id, tie, root) names it."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))
     stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__stay"))
     marked = docs.withColumn("__tie", F.xxhash64(column(text)))
     same = column(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__stay"))
     return marked.join(stay, same, "left_semi").dropDuplicates([doc_id, "__tie"]).drop("__tie")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Between rows of one id a hash of the text decides; rows without id stay only where no other row does.
+    """
+    return first_rows(docs, _grouped(docs, text, doc_id, hot_key), text, doc_id)
