@@ -6,6 +6,13 @@ SMOOTHING counts a bucket. A document's score is the sum of log(target / raw) ov
 their number; documents that pass the base rules are kept from the threshold on, without any drawing of
 lots.
 
+``judged`` does so with one target and a given threshold, whose meaning moves with the size of the corpus.
+``judged_by_trusted``, which the query runs, has a scale of its own: documents are dealt to FOLDS folds by a hash of
+the id and scored with the counts of the other folds, so no document meets its own n-grams. A weight is
+log((t + 1) / (r T / R + 1)) for t of T target and r of R raw counts: an n-gram unseen elsewhere weighs nothing, at
+any size. The threshold is the score that CUT of the trusted documents with n-grams lie below, on a grid of
+0.0001; without trusted words there is none.
+
 Everything is DataFrame functions: per-document counts come from array functions inside the row, the
 corpus counts from one aggregation over buckets (combined before its shuffle), the scores from a join
 with the table of weights, which always has BUCKETS rows, and a sum per document that is combined before
@@ -26,6 +33,9 @@ from .columns import column
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.15  # least mean log ratio of a kept document
+FOLDS = 5  # of judged_by_trusted
+CUT = 0.05  # share of trusted documents below its threshold
+GRID = 10_000  # steps of a score of one
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
@@ -165,3 +175,65 @@ def judged(
         score.alias("score"),
         (~F.col("base_failed") & (score >= threshold)).alias("kept"),
     )
+
+
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def fold_weights(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(code, weight) for all folds and buckets, code = fold * BUCKETS + bucket, from the counts of the other folds.
+
+    ``docs`` has id and text; ``ids`` the distinct trusted ids and a column ``trusted``.
+    """
+    rows = docs.join(ids, "id", "left").withColumn("fold", fold_of(F.col("id")))
+    grams = rows.select("trusted", "fold", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
+    counts = materialise(
+        grams.groupBy((F.col("fold") * BUCKETS + F.col("bucket")).alias("code")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target")),
+        "fold-counts",
+    )
+    every = docs.sparkSession.range(FOLDS * BUCKETS).select(F.col("id").cast("int").alias("code"))
+    known = every.join(counts, "code", "left").na.fill(0, ["raw", "target"])
+    known = known.withColumn("fold", F.floor(F.col("code") / BUCKETS)).withColumn("bucket", F.col("code") % BUCKETS)
+    by_fold = known.groupBy("fold").agg(F.sum("raw").alias("fold_raw"), F.sum("target").alias("fold_target"))
+    by_bucket = known.groupBy("bucket").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    totals = by_fold.agg(F.sum("fold_raw").alias("sum_raw"), F.sum("fold_target").alias("sum_target"))
+    joined = known.join(by_bucket, "bucket").join(F.broadcast(by_fold), "fold").crossJoin(F.broadcast(totals))
+    r, t = F.col("all_raw") - F.col("raw"), F.col("all_target") - F.col("target")
+    whole_r, whole_t = F.col("sum_raw") - F.col("fold_raw"), F.col("sum_target") - F.col("fold_target")
+    weight = F.log((t + SMOOTHING) / (r * whole_t / whole_r + SMOOTHING))
+    return joined.select("code", F.when(whole_t > 0, weight).otherwise(0.0).alias("weight"))
+
+
+def lower_cut(scores: DataFrame) -> float:
+    """The score, down to the grid, that at most CUT of the rows lie below; minus infinity for no rows."""
+    steps = scores.groupBy(F.floor(F.col("score") * GRID).alias("step")).count().orderBy("step").collect()  # bounded by the range of scores
+    skip = int(CUT * sum(r["count"] for r in steps))
+    for row in steps:
+        if skip < row["count"]:
+            return row["step"] / GRID
+        skip -= row["count"]
+    return float("-inf")
+
+
+def judged_by_trusted(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Like ``judged``, with scores free of a document's own n-grams and the threshold taken from the trusted scores."""
+    ids = trusted.select(column(doc_id).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    named = docs.select(column(doc_id).alias("id"), column(text).alias("text"))
+    weighted = materialise(fold_weights(named, ids), "fold-weights")
+    # the hash of the text is a column before the text is exploded, else it would be taken for every n-gram
+    rows = named.select("id", F.xxhash64("text").alias("tie"), fold_of(F.col("id")).alias("fold"), "text")
+    grams = rows.select("id", "tie", "fold", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
+    codes = grams.select("id", "tie", (F.col("fold") * BUCKETS + F.col("bucket")).alias("code"))
+    summed = codes.join(F.broadcast(weighted), "code").groupBy("id", "tie").agg(F.avg("weight").alias("score"))
+    scores = materialise(summed.withColumn("score", F.round("score", 9)), "ratio-scores")  # sums come in any order
+    least = lower_cut(scores.join(ids, "id"))
+    based = base_counts(named.withColumnRenamed("id", "doc_id")).withColumn("tie", F.xxhash64("text")).drop("text")
+    same = based["doc_id"].eqNullSafe(scores["id"]) & (based["tie"] == scores["tie"])
+    score = F.coalesce("score", F.lit(0.0))
+    return based.join(scores, same, "left").select(
+        *[based[c] for c in based.columns if c != "tie"],
+        score.alias("score"),
+        (~F.col("base_failed") & (score >= least)).alias("kept"),
+    )

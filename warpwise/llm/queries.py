@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.judged(table(spark, sf_dir, "documents"), trusted)
+    return quality_rules.judged_by_trusted(table(spark, sf_dir, "documents"), trusted)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
