@@ -181,14 +181,16 @@ def held_out(doc_id: str):
 def fit(featured: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Train on the labelled rows of ``featured`` (doc_id, statistics) that are not held out.
 
-    About ``rows`` of them are brought to the driver; which ones, a hash of the id decides.
+    About ``rows`` of them are brought to the driver; which ones, a hash of the id decides. An id is one
+    row, however many documents have it: the one with the smallest statistics.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out("doc_id"))
     spread = 1 << 30
     share = min(1.0, rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(share * spread))
-    found = featured.select("doc_id", "statistics").join(chosen, "doc_id").select("doc_id", "statistics", "quality").toArrow()
+    joined = featured.select("doc_id", "statistics").join(chosen, "doc_id")
+    found = joined.groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.min("quality").alias("quality")).toArrow()
     x = np.asarray(found["statistics"].combine_chunks().flatten(), np.float32).reshape(-1, len(STATISTICS)).astype(np.float64)
     y = np.asarray(found["quality"].combine_chunks(), np.float64)
     order = np.lexsort([*x.T, y, np.asarray(found["doc_id"].combine_chunks())])  # the same trees however rows arrive
