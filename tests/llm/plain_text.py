@@ -68,6 +68,17 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def word_runs(text, n):
+    """The set of runs of n words, A-Z lower-cased; fewer words are one run."""
+    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def similar(a, b):
+    """A Jaccard similarity of 0.8 or more; empty sets are alike."""
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def components(nodes, edges):
     parent = {n: n for n in nodes}
 

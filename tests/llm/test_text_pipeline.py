@@ -29,9 +29,9 @@ def plain_pipeline(documents, labels, items):
     scores = dict(zip(values, forest.scores(np.stack(list(values.values())))))
     rows = [(d, t) for d, t in documents if scores[d] >= quality_trees.THRESHOLD]
     rows = [(d, t) for d, t, n, gone in deduplicated(rows) if gone == 0 or gone < n]
-    prints = {d: plain.fingerprint(t) for d, t in rows}
-    ids = sorted(prints)
-    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    runs = {d: plain.word_runs(t, 5) for d, t in rows}
+    ids = sorted(runs)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if plain.similar(runs[a], runs[b])]
     first = plain.components(ids, near)
     rows = [(d, t) for d, t in rows if first[d] == d]
     passages = [s for s in (plain.shingles(t) for _, t in items) if s]

@@ -49,6 +49,32 @@ def test_pieces_equal_the_library(model, library):
     assert decoded == [library.decode(ids) for ids in library.encode(texts)]
 
 
+def check_ids(model, library, texts):
+    flat, lengths = words.WordIds(model.merge)([sentencepiece_bpe.spaced(t) for t in texts])
+    wrong = [t for t, own, ids in zip(texts, cut(flat, lengths), library.encode(texts)) if own != ids]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+@pytest.fixture(scope="module")
+def repeated(library):
+    """Characters of which several in a row are a piece."""
+    pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+    return sorted({p[0].replace("▁", " ") for p in pieces if len(p) > 1 and len(set(p)) == 1})
+
+
+def test_runs_of_one_character_equal_the_library(model, library, repeated):
+    assert " " in repeated and len(repeated) > 50
+    check_ids(model, library, [t for c in repeated for n in range(301) for t in (c * n, f"x{c * n}y", f"x {c * n}")])
+
+
+def test_texts_made_of_runs_equal_the_library(model, library, repeated):
+    rng = random.Random(11)
+    alphabet = [*repeated, *"aex \n"]
+    runs = ["".join(rng.choice(alphabet) * rng.choice([1, 1, 2, 3, 4, 8, 16, 17, 31, 40]) for _ in range(rng.randint(1, 12))) for _ in range(17_000)]
+    mixed = ["".join(rng.choice(pair) for _ in range(rng.randint(1, 80))) for pair in ["ab", "-=", "#*", "./", "  -", "aab", "=="] for _ in range(500)]
+    check_ids(model, library, runs + mixed)
+
+
 @pytest.mark.parametrize("ids", [[1, 306, 2], [3, 200, 201, 5], [0, 0, 306], [231, 187], [259, 259, 306], [], [2]])
 def test_any_ids_decode_as_in_the_library(model, library, ids):
     assert model.decode(np.array(ids, np.int64), np.array([len(ids)])).to_pylist() == [library.decode(ids)]

@@ -6,7 +6,8 @@ rank of every word by a segmented minimum, merges that pair at its leftmost plac
 once, compacts the arrays and sets aside the words that have no pair left.
 
 A word may merge all places of its best pair in one round unless that creates a pair that ranks as
-good or better; then only the leftmost place is merged, which is what one merge at a time would do.
+good or better, also between a merged symbol and its right neighbour as it was before the round; then only
+the leftmost place is merged, which is what one merge at a time would do.
 
 Defined cases: a null text is empty and has no ids; characters without a piece become byte pieces; a
 literal U+2581 is a space, as in the library; columns named like the outputs are replaced.
@@ -161,6 +162,10 @@ class PieceModel:
         """The arrays after merging the pairs that begin at ``at``; last, the segments in which that
         made a pair at least as good as the merged one although they had several places."""
         level = rank[at]
+        # where the next place touches, the merged symbol meets its right neighbour before that is merged
+        touching = np.flatnonzero((at[1:] == at[:-1] + 2) & (segment[at[1:]] == segment[at[:-1]]))
+        early, _ = self._pairs(merged[at[touching]], symbol[at[touching + 1]])
+        early = segment[at[touching]][early <= level[touching]]
         symbol, rank, merged = symbol.copy(), rank.copy(), merged.copy()
         symbol[at] = merged[at]
         keep = np.ones(len(symbol), bool)
@@ -182,7 +187,7 @@ class PieceModel:
         limit = np.full(of[-1] + 2, -1)
         limit[several] = level[1:][of[1:] == of[:-1]]
         owners = np.minimum(segment[touched], of[-1] + 1)
-        return symbol, place, segment, rank, merged, owners[fresh <= limit[owners]]
+        return symbol, place, segment, rank, merged, np.concatenate([early, owners[fresh <= limit[owners]]])
 
     def _with_bytes(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, those without a piece as their UTF-8 bytes, and the ids of each symbol."""
