@@ -23,6 +23,14 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free(df: DataFrame | Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column has it; Spark compares names without case."""
+    taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with about ``limit`` bytes in column ``name``."""
     for batch in batches:
@@ -57,9 +65,7 @@ def append_columns(
     ``keep`` names the columns to carry on (default: all).
     """
     carried = without(df.select(*[column(c) for c in keep]) if keep is not None else df, fields.names)
-    source = "__text"
-    while source in df.columns:
-        source += "_"
+    source = free([*df.columns, *fields.names], "__text")
     chosen = df.select(*[column(c) for c in carried], column(text).cast("string").alias(source))
     schema = T.StructType([chosen.schema[c] for c in carried] + fields.fields)
     width = len(carried)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_counts, token_orc, url_filter
+from . import chunk_bpe, cross_tokenizer, decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_counts, token_orc, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,6 +184,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = chunk_bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), decoded="decoded", keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cross_tokenizer.counted(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -195,5 +211,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_trees": op9_quality_trees,
     "op10_personal_data": op10_personal_data,
+    "op11_chunk_bpe": op11_chunk_bpe,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL}

@@ -125,10 +125,14 @@ def encoder_of(definition: str, end_id: int) -> WordIds:
     return WordIds(StretchEncoder(definition, end_id))
 
 
+# special tokens are told apart by case, and a letter and its mark may be composed in one case only
+_CASED = "<\\||[\u0300-\u036f]"
+
+
 def stretches(texts: pa.Array) -> pa.Array:
-    """Texts as stretches between blanks, closed by END; A-Z in lower case unless special tokens may be meant."""
+    """Texts as stretches between blanks, closed by END; A-Z in lower case unless their case may matter."""
     texts = pc.fill_null(texts, "")
-    lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    lowered = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.ascii_lower(texts))
     return pc.binary_join_element_wise(pc.replace_substring(lowered, "\n", " "), END, " ")
 
 
