@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import new_path
-from . import chunk_bpe, cross_tokenizer, decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_counts, token_orc, url_filter
+from . import chunk_bpe, cross_tokenizer, decontamination, line_dedup, personal_data, quality_rules, quality_trees, sentencepiece_bpe, simhash, token_counts, token_orc, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +195,11 @@ def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors), keep=["vec_id"])
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return cross_tokenizer.counted(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
@@ -212,6 +217,7 @@ QUERIES = {
     "op9_quality_trees": op9_quality_trees,
     "op10_personal_data": op10_personal_data,
     "op11_chunk_bpe": op11_chunk_bpe,
+    "op12_whitening": op12_whitening,
     "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL}
