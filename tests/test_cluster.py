@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from warpwise.operators.cluster import cluster_counts, leader_clusters, two_pass_clusters
 from warpwise.sources.segments import cut_segments
@@ -36,7 +37,7 @@ def test_leader_equals_loop(spark, sizes, st):
 
 
 @pytest.mark.parametrize(
-    "metric,p,sizes", [("ma", 2.0, SMALL), ("mi", 2.0, {}), ("mi", 3.0, SMALL), ("dtw", 2.0, {}), ("dtw", 2.0, SMALL)]
+    "metric,p,sizes", [("ma", 2.0, SMALL), ("mi", 2.0, {}), ("mi", 3.0, SMALL), ("mi", 3.0, BLOCKS), ("dtw", 2.0, {}), ("dtw", 2.0, SMALL), ("dtw", 2.0, BLOCKS)]
 )
 def test_metrics_equal_loop(spark, metric, p, sizes):
     series = make_series(4, 8, 20, seed=5, digits=1)
@@ -81,3 +82,36 @@ def test_counts_and_errors(spark):
         leader_clusters(segments(spark, series, 3), 2, 3, 0.3, metric="xx")
     with pytest.raises(ValueError):
         leader_clusters(segments(spark, series, 3), 0, 3, 0.3)
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL, BLOCKS])
+def test_warping_over_many_lengths(spark, sizes):
+    series = make_series(4, 8, 16, seed=6)
+    got = rows(leader_clusters(segments(spark, series, 6), 1, 6, 0.3, 2, "dtw", **sizes))
+    want = naive.leader(series, 1, 6, 0.3, 2, "dtw")
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["dtw", "eu", "ma", "mi"])
+def test_windows_meet_the_blocks_in_reach_only(spark, metric):
+    """The grid keeps every pair within the radius and leaves out most others."""
+    from warpwise.operators import cluster, scoring
+
+    series = make_series(30, 40, 40, seed=9)
+    rule = cluster._Rule(0.08, metric, 3.0)
+    source = cluster._Windows(segments(spark, series, 4), 3, 4, 1, False)
+    flat = [(n, v) for n, name, start, v in naive.windows(series, 3, 4)]
+    patterns = cluster._flat(source.rows()).where("length = 3 or start % 2 = 0")
+    placed, blocks = scoring._in_blocks(patterns, cluster._routing(rule), 1500)
+    assert placed.count() == patterns.count() and len(blocks) >= 16
+    routed = cluster._routing(rule).route(source.rows(), blocks)
+    meetings = routed.select("_block", F.explode("items").alias("i"), "length", "series_id").select("_block", "length", "series_id", "i.start")
+    together = {(r["_block"], r["length"], r["series_id"], r["start"]) for r in meetings.collect()}
+    assert len(together) < 0.5 * len(flat) * len(blocks)
+    held = [(r["_block"], r["length"], list(r["values"])) for r in placed.collect()][::7]
+    windows = list(naive.windows(series, 3, 4))[::5]
+    for n, name, start, v in windows:
+        for block, m, p in held:
+            if (m == n or (metric == "dtw" and m < n)) and naive.distance(v, p, metric, 3.0) <= rule.radius(n):
+                assert (block, n, name, start) in together

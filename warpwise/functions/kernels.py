@@ -185,15 +185,18 @@ def rough_matrix(a, b, radius, metric, p):
         return rough, SLACK * (na.max() + nb.max()) + 1e-15, radius * radius
     if metric == "dtw":
         rough = np.full((len(a), len(b)), np.inf)
-        step = max(1, BOUND_CELLS // (len(b) * max(a.shape[1], b.shape[1])))
-        for i in range(0, len(a), step):
-            tile = a[i : i + step]
-            left = np.repeat(np.arange(len(tile)), len(b))
-            right = np.tile(np.arange(len(b)), len(tile))
-            keep = dtw_lower(tile[left], b[right]) <= radius * (1 + SLACK) + 1e-12
-            left, right = left[keep], right[keep]
-            if len(left):
-                rough[left + i, right] = dtw_pairs(tile[left], b[right])
+        reach = radius * (1 + SLACK) + 1e-12
+        ends = np.abs(a[:, 0, None] - b[None, :, 0])
+        if max(a.shape[1], b.shape[1]) > 1:
+            ends += np.abs(a[:, -1, None] - b[None, :, -1])
+        left, right = np.nonzero(ends <= reach)
+        step = max(1, BOUND_CELLS // max(a.shape[1], b.shape[1]))
+        for i in range(0, len(left), step):
+            some, other = left[i : i + step], right[i : i + step]
+            keep = dtw_lower(a[some], b[other]) <= reach
+            some, other = some[keep], other[keep]
+            if len(some):
+                rough[some, other] = dtw_pairs(a[some], b[other])
         return rough, 0.0, radius
     rough = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):

@@ -21,9 +21,9 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import kernels as K
 from ..functions.distance import metric_name
-from ..runtime import materialise
+from ..runtime import materialise, new_path, write_parquet
 from ..sources.segments import layout
-from .scoring import BLOCK_CELLS, BROADCAST_CELLS, Block, cells, score
+from .scoring import BLOCK_CELLS, BROADCAST_CELLS, Block, Routing, cells, score
 from .windows import lengths_of
 
 FIRST_PREFIX = 16_384  # windows of one length in the first prefix
@@ -214,12 +214,17 @@ class _Rule:
         return _Rule(self.st, self.short, self.p, factor)
 
 
+def _sorted_by(values: np.ndarray, rule: _Rule) -> np.ndarray:
+    """The number that windows and patterns are sorted by: the first point for warping, else the mean."""
+    return values[:, 0] if rule.cross_length else values.mean(axis=1)
+
+
 class _Patterns:
-    """Representatives of one length, sorted by mean."""
+    """Representatives of one length, sorted by mean or first point."""
 
-    def __init__(self, table: pa.Table, length: int):
+    def __init__(self, table: pa.Table, length: int, rule: _Rule):
         values = K.offsets_and_values(table["values"])[1].reshape(-1, length)
-        means = values.mean(axis=1)
+        means = _sorted_by(values, rule)
         rank = np.argsort(means, kind="stable")
         self.length, self.values, self.means = length, values[rank], means[rank]
         self.grp, self.no = table["grp"].to_numpy()[rank], table["no"].to_numpy()[rank]
@@ -228,10 +233,10 @@ class _Patterns:
         self.seeds = bool((self.grp == 0).any())
 
     @staticmethod
-    def by_length(table: pa.Table) -> dict[int, "_Patterns"]:
+    def by_length(table: pa.Table, rule: _Rule) -> dict[int, "_Patterns"]:
         lengths = table["length"].to_numpy()
         return {
-            int(n): _Patterns(table.filter(pa.array(lengths == n)), int(n)) for n in np.unique(lengths)
+            int(n): _Patterns(table.filter(pa.array(lengths == n)), int(n), rule) for n in np.unique(lengths)
         }
 
 
@@ -280,15 +285,18 @@ def _tiles(batch: _Batch, rule, patterns, low=0.0, high=1.0):
     for n in np.unique(length[inside]):
         n = int(n)
         chosen = np.nonzero(inside & (length == n))[0]
-        chosen = chosen[np.argsort(sums[at[chosen] + n] - sums[at[chosen]], kind="stable")]
+        order = flat[at[chosen]] if rule.cross_length else sums[at[chosen] + n] - sums[at[chosen]]
+        chosen = chosen[np.argsort(order, kind="stable")]
         radius = rule.radius(n)
         near = [p for m, p in patterns.items() if m == n or (rule.cross_length and m < n)]
         size = K.tile_rows(n)
         for first in range(0, len(chosen), size):
             tile = chosen[first : first + size]
             values = flat[at[tile][:, None] + np.arange(n)]
-            means = values.mean(axis=1)
-            reach = K.mean_reach(radius, n, rule.metric, rule.p) + 1e-12 * np.abs(means).max()
+            means = _sorted_by(values, rule)
+            # warping always matches the first points
+            reach = radius * (1 + K.SLACK) if rule.cross_length else K.mean_reach(radius, n, rule.metric, rule.p)
+            reach += 1e-12 * (1 + np.abs(means).max())
             slices = []
             for p in near:
                 a = np.searchsorted(p.means, means.min() - reach, "left")
@@ -327,7 +335,7 @@ def _prepare_open(rule: _Rule, low: float, high: float):
     """Kernel: windows of a stretch of the order that no pattern covers, with their values."""
 
     def prepare(table: pa.Table):
-        patterns = _Patterns.by_length(table)
+        patterns = _Patterns.by_length(table, rule)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
@@ -353,7 +361,7 @@ def _prepare_covered(rule: _Rule, low: float, high: float):
     """Kernel: windows of a stretch of the order that some pattern covers."""
 
     def prepare(table: pa.Table):
-        patterns = _Patterns.by_length(table)
+        patterns = _Patterns.by_length(table, rule)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
@@ -373,18 +381,57 @@ def _prepare_covered(rule: _Rule, low: float, high: float):
     return prepare
 
 
-def _router(rule: _Rule):
-    """Sends the windows of work rows to the blocks of patterns whose means they reach; None for warping.
+def _pattern_features(rule: _Rule):
+    """Two features of patterns as columns: of warping the ends, else the means of both halves."""
 
-    A row that goes to a block lists only the windows that reach it, and the values these need.
+    def features(patterns: DataFrame) -> tuple[Column, Column]:
+        v = F.col("values")
+        if rule.cross_length:
+            return v[0], F.element_at(v, -1)
+        half = F.floor(F.size(v) / 2).cast("int")
+
+        def mean(part: Column, size: Column) -> Column:
+            return F.when(size > 0, F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / size).otherwise(0.0)
+
+        return mean(F.slice(v, F.lit(1), half), half), mean(F.slice(v, half + 1, F.size(v) - half), F.size(v) - half)
+
+    return features
+
+
+def _window_features(rule: _Rule, values: np.ndarray) -> np.ndarray:
+    """The same of windows, one row of ``values`` each: two rows."""
+    if rule.cross_length:
+        return np.stack([values[:, 0], values[:, -1]])
+    half = values.shape[1] // 2
+    first = values[:, :half].mean(axis=1) if half else np.zeros(len(values))
+    return np.stack([first, values[:, half:].mean(axis=1)])
+
+
+def _reaches(rule: _Rule, features: np.ndarray, length: int, block: Block) -> np.ndarray:
+    """Which windows may lie within the radius of a pattern of the block.
+
+    Means of stretches of a and b points that differ by x and y cost at least (a x^p + b y^p)^(1/p); warping pays for both ends,
+    which are one point where both sequences are.
     """
+    apart = [np.maximum(np.maximum(low - f, f - high), 0.0) for f, low, high in zip(features, block.low, block.high)]
     if rule.cross_length:
-        return None
+        bound = apart[0] + apart[1] if length > 1 else np.maximum(*apart)
+    else:
+        power = {"euclid": 2.0, "manhattan": 1.0, "minkowski": rule.p}[rule.metric]
+        bound = (length // 2 * apart[0] ** power + (length - length // 2) * apart[1] ** power) ** (1.0 / power)
+    return bound <= rule.radius(length) * (1 + 1e-9) + 1e-9 * (1 + np.abs(features).max())
+
+
+def _routing(rule: _Rule) -> Routing:
+    """Sends the windows of work rows to the blocks of patterns that their features reach.
+
+    A row that goes to a block lists only the windows that reach it, and the values these need.
+    """
 
     def route(rows: DataFrame, blocks: list[Block]) -> DataFrame:
-        by_length: dict[int, list[Block]] = {}
+        by_length: dict[int | None, list[Block]] = {}
         for block in blocks:
-            by_length.setdefault(block[1], []).append(block)
+            by_length.setdefault(block.length, []).append(block)
         fields = from_arrow_schema(_ROUTED)
 
         def run(batches):
@@ -397,10 +444,9 @@ def _router(rule: _Rule):
                     chosen = np.flatnonzero(batch.length == n)
                     size = K.tile_rows(n)
                     tiles = [chosen[i : i + size] for i in range(0, len(chosen), size)]
-                    means = np.concatenate([batch.flat[batch.at[t][:, None] + np.arange(n)].mean(axis=1) for t in tiles])
-                    reach = K.mean_reach(rule.radius(n), n, rule.metric, rule.p) + 1e-9 * (1 + np.abs(means).max())
-                    for number, _, low, high in by_length.get(n, ()):
-                        index = chosen[(means >= low - reach) & (means < high + reach)]
+                    features = np.hstack([_window_features(rule, batch.flat[batch.at[t][:, None] + np.arange(n)]) for t in tiles])
+                    for block in by_length.get(None if rule.cross_length else n, ()):
+                        index = chosen[_reaches(rule, features, n, block)]
                         if not len(index):
                             continue
                         row = batch.row[index]
@@ -413,7 +459,7 @@ def _router(rule: _Rule):
                         owner = row[cut]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(np.full(len(cut), number, np.int32)),
+                                pa.array(np.full(len(cut), block.number, np.int32)),
                                 whole.column("series_id").take(pa.array(owner)),
                                 pa.array(seg_start[owner] + first - offsets[owner]),
                                 pa.array(np.full(len(cut), n, np.int32)),
@@ -429,7 +475,7 @@ def _router(rule: _Rule):
 
         return rows.select(*_ROUTED.names[1:]).mapInArrow(run, fields)
 
-    return route
+    return Routing(_pattern_features(rule), not rule.cross_length, route)
 
 
 def _uncovered(source, known: DataFrame, rule: _Rule, low: float, high: float, limits: dict) -> DataFrame:
@@ -437,7 +483,7 @@ def _uncovered(source, known: DataFrame, rule: _Rule, low: float, high: float, l
     if cells(known) <= limits["broadcast_cells"]:
         return score(source.rows(low, high), known, _prepare_open(rule, low, high), _OPEN, **limits)
     rows = source.rows(low, high)
-    covered = score(rows, known, _prepare_covered(rule, low, high), _COVERED, router=_router(rule), **limits)
+    covered = score(rows, known, _prepare_covered(rule, low, high), _COVERED, routing=_routing(rule), **limits)
     digest = F.lower(F.hex("key"))
     stretch = _flat(rows)
     if low > 0:
@@ -452,7 +498,7 @@ def _prepare_assign(rule: _Rule):
     """Kernel: the nearest pattern within the radius among those that existed."""
 
     def prepare(table: pa.Table):
-        patterns = _Patterns.by_length(table)
+        patterns = _Patterns.by_length(table, rule)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
@@ -487,7 +533,7 @@ def _prepare_edges(rule: _Rule):
     """Kernel: pairs (window, earlier window) within the radius."""
 
     def prepare(table: pa.Table):
-        patterns = _Patterns.by_length(table)
+        patterns = _Patterns.by_length(table, rule)
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
@@ -532,7 +578,7 @@ def _settle_in_rounds(open_: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     covered by an earlier prefix and never gets here.
     """
     patterns = open_.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long"))
-    edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, router=_router(rule), **limits), "edges")
+    edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, routing=_routing(rule), **limits), "edges")
     undecided = open_.select("key")
     chosen = None
     while True:
@@ -610,7 +656,7 @@ def _nearest_of_blocks(found: DataFrame) -> DataFrame:
 
 def _assign(rows: DataFrame, reps: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
     """Nearest representative of every window that has one within the radius."""
-    return score(rows, reps, _prepare_assign(rule), _ASSIGNED, combine=_nearest_of_blocks, router=_router(rule), **limits)
+    return score(rows, reps, _prepare_assign(rule), _ASSIGNED, combine=_nearest_of_blocks, routing=_routing(rule), **limits)
 
 
 def _clusters(assigned: DataFrame) -> DataFrame:
@@ -722,10 +768,13 @@ def leader_clusters(
     limits = {k: sizes[k] for k in ("broadcast_cells", "block_cells")}
     source = _Windows(segments, shortest, longest, seed, include_last)
     if rule.cross_length:
-        reps = None
+        # one growing table: plans do not grow with the lengths
+        reps, path = None, new_path(segments.sparkSession, "warping-reps")
         for n in range(shortest, longest + 1):
             fresh = _find_representatives(source.only(n), rule, reps, sizes)
-            reps = fresh if reps is None else reps if fresh is None else reps.unionByName(fresh)
+            if fresh is not None:
+                write_parquet(fresh, path, mode="append")
+                reps = segments.sparkSession.read.schema(fresh.schema).parquet(path)
     else:
         reps = _find_representatives(source, rule, None, sizes)
     lone = source.lone()

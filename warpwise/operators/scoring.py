@@ -2,25 +2,26 @@
 
 ``prepare(patterns)`` turns an Arrow table of patterns into a function from an Arrow batch of
 rows to an Arrow table of results. Patterns of a measured, bounded size travel to the rows and
-the rows are not shuffled. Larger pattern sets are cut into blocks by length and mean; a router sends
-every row only to the blocks that its windows' means reach, and the caller combines what the blocks
-find. Without a router (warping has no bound on means) every row block meets every pattern block.
+the rows are not shuffled. Larger pattern sets are cut into blocks on a grid of two features that bound the
+distance from below; rows go only to the blocks that they reach, and the caller combines what the blocks
+find. Without such features every row block meets every pattern block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 # Patterns up to this many array cells (8 bytes each) are broadcast; larger sets are cut into blocks.
 BROADCAST_CELLS = 16_000_000
 BLOCK_CELLS = 8_000_000
 ROW_CELLS = 16  # weight of a row's other columns
-FINEST = 10_000  # cuts of one length's means that are asked for at most; more blocks come from salt
+FINEST = 10_000  # blocks of one length that are asked for at most; more come from salt
 
 Prepare = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.Table]]
 
@@ -31,45 +32,90 @@ def cells(frame: DataFrame, values: str = "values") -> int:
     return frame.agg(F.coalesce(weight, F.lit(0)).alias("n")).first()["n"]
 
 
-# Block number, length, and the range of means [low, high) of a block of patterns.
-Block = tuple[int, int, float, float]
-Router = Callable[[DataFrame, list[Block]], DataFrame]
+@dataclass(frozen=True)
+class Block:
+    """A block of patterns: those of ``length`` (None: of any) whose two features lie in [low, high)."""
 
+    number: int
+    length: int | None
+    low: tuple[float, float]
+    high: tuple[float, float]
 
-def _blocks_of(patterns: DataFrame, block_cells: int) -> list[Block]:
-    """Ranges of length and mean that hold about ``block_cells`` of the patterns each."""
-    weight = F.sum(F.size("values").cast("long") + ROW_CELLS)
-    sizes = {r["length"]: r["n"] for r in patterns.groupBy("length").agg(weight.alias("n")).collect()}
-    wanted = {n: min(FINEST, math.ceil(size / block_cells)) for n, size in sizes.items()}
+
+@dataclass(frozen=True)
+class Routing:
+    """How patterns are cut into blocks by two features, and which rows meet which blocks.
+
+    ``features`` gives the two features of the patterns as columns, ``by_length`` tells that patterns of different lengths never meet
+    one row, and ``route`` adds ``_block`` to rows, once for each block that a row is to meet.
+    """
+
+    features: Callable[[DataFrame], tuple[Column, Column]]
+    by_length: bool
+    route: Callable[[DataFrame, list[Block]], DataFrame]
+
+
+def _cuts_of(patterns: DataFrame, group: list[str], feature: str, wanted: dict) -> dict:
+    """Cuts of a feature into ``wanted`` parts of about equal weight, per group."""
     finest = max(wanted.values())
-    cuts: dict[int, list[float]] = {}
-    if finest > 1:
-        grid = F.percentile_approx("_mean", [i / finest for i in range(1, finest)], 10 * finest)
-        large = patterns.where(F.col("length").isin([n for n, k in wanted.items() if k > 1]))
-        for r in large.groupBy("length").agg(grid.alias("cuts")).collect():
-            k = wanted[r["length"]]
-            cuts[r["length"]] = sorted({r["cuts"][round(i * finest / k) - 1] for i in range(1, k)})
-    blocks: list[Block] = []
-    for n in sorted(sizes):
-        ends = [-math.inf, *cuts.get(n, []), math.inf]
-        blocks += [(len(blocks) + i, n, low, high) for i, (low, high) in enumerate(zip(ends, ends[1:]))]
-    return blocks
+    if finest <= 1:
+        return {}
+    grid = F.percentile_approx(feature, [i / finest for i in range(1, finest)], 10 * finest)
+    out = {}
+    for r in patterns.groupBy(*group).agg(grid.alias("cuts")).collect():
+        key = tuple(r[g] for g in group)
+        parts = wanted.get(key, 1)
+        out[key] = sorted({r["cuts"][round(i * finest / parts) - 1] for i in range(1, parts)})
+    return out
+
+
+def _place(frame: DataFrame, cuts: str, feature: str, out: str) -> DataFrame:
+    """``frame`` with the number of the part that a feature lies in."""
+    return frame.withColumn(out, F.size(F.filter(cuts, lambda c: c <= F.col(feature))))
+
 
+def _in_blocks(patterns: DataFrame, routing: Routing, block_cells: int) -> tuple[DataFrame, list[Block]]:
+    """Patterns with ``_block``, and the blocks: slabs of the first feature, cut again by the second one.
 
-def _score_routed(rows, patterns, over_block, schema, router: Router, block_cells: int) -> DataFrame:
+    The cuts are one row per length (or one in all), so placing a pattern is a join on its length.
+    """
+    spark = patterns.sparkSession
+    first, second = routing.features(patterns)
+    marked = patterns.withColumns({"_f1": first, "_f2": second, "_group": F.col("length") if routing.by_length else F.lit(-1)})
+    weight = F.sum(F.size("values").cast("long") + ROW_CELLS)
+    sizes = {r["_group"]: r["n"] for r in marked.groupBy("_group").agg(weight.alias("n")).collect()}
+    blocks_of = {n: min(FINEST, math.ceil(size / block_cells)) for n, size in sizes.items()}
+    slabs_of = {n: math.ceil(math.sqrt(k)) for n, k in blocks_of.items()}
+    slabs = {n[0]: cuts for n, cuts in _cuts_of(marked, ["_group"], "_f1", {(n,): k for n, k in slabs_of.items()}).items()}
+    table = spark.createDataFrame([(n, slabs.get(n, [])) for n in sizes], "_group int, _slabs array<double>")
+    marked = _place(marked.join(F.broadcast(table), "_group"), "_slabs", "_f1", "_slab").drop("_slabs")
+    wanted = {(n, s): math.ceil(blocks_of[n] / (len(slabs.get(n, [])) + 1)) for n in sizes for s in range(len(slabs.get(n, [])) + 1)}
+    parts = _cuts_of(marked, ["_group", "_slab"], "_f2", wanted)
+    blocks: list[Block] = []
+    rows = []
+    for n in sorted(sizes):
+        ends = [-math.inf, *slabs.get(n, []), math.inf]
+        for s, (low, high) in enumerate(zip(ends, ends[1:])):
+            cuts = parts.get((n, s), [])
+            rows.append((n, s, cuts, len(blocks)))
+            inner = [-math.inf, *cuts, math.inf]
+            for below, above in zip(inner, inner[1:]):
+                blocks.append(Block(len(blocks), n if routing.by_length else None, (low, below), (high, above)))
+    table = spark.createDataFrame(rows, "_group int, _slab int, _cuts array<double>, _base int")
+    placed = _place(marked.join(F.broadcast(table), ["_group", "_slab"]), "_cuts", "_f2", "_part")
+    placed = placed.withColumn("_block", F.col("_base") + F.col("_part"))
+    return placed.drop("_f1", "_f2", "_group", "_slab", "_cuts", "_base", "_part"), blocks
+
+
+def _score_routed(rows, patterns, over_block, schema, routing: Routing, block_cells: int) -> DataFrame:
     """Each row against the blocks of patterns it can reach.
 
-    Blocks that are too heavy because many patterns share a mean, and the rows of a block, are dealt to
+    Blocks that are too heavy because many patterns share their features, and the rows of a block, are dealt to
     salted groups, so that a group stays bounded; the weights are counted first.
     """
     spark = rows.sparkSession
-    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
-    patterns = patterns.withColumn("_mean", mean)
-    blocks = _blocks_of(patterns, block_cells)
-    ranges = spark.createDataFrame([(b, n, low, high) for b, n, low, high in blocks], "_block int, _length int, _low double, _high double")
-    inside = (F.col("length") == F.col("_length")) & (F.col("_mean") >= F.col("_low")) & (F.col("_mean") < F.col("_high"))
-    placed = patterns.join(F.broadcast(ranges), inside).drop("_mean", "_length", "_low", "_high")
-    routed = router(rows, blocks)
+    placed, blocks = _in_blocks(patterns, routing, block_cells)
+    routed = routing.route(rows, blocks)
 
     def weights(frame: DataFrame, name: str) -> DataFrame:
         heavy = F.sum(F.size("values").cast("long") + ROW_CELLS)
@@ -94,24 +140,25 @@ def _score_routed(rows, patterns, over_block, schema, router: Router, block_cell
 
 def score(
     rows: DataFrame,
-    patterns: DataFrame,
+    patterns: DataFrame | pa.Table,
     prepare: Prepare,
     result: pa.Schema,
     combine: Callable[[DataFrame], DataFrame] | None = None,
-    router: Router | None = None,
+    routing: Routing | None = None,
     broadcast_cells: int = BROADCAST_CELLS,
     block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """``prepare(patterns)`` applied to all rows, for all patterns.
 
     ``rows`` needs columns ``series_id`` and ``values``; ``patterns`` needs ``values``. When
-    the patterns come in several blocks, ``combine`` merges what the blocks found, and ``router`` adds
-    ``_block`` to rows, once for each block that a row is to meet (patterns need ``length`` then).
+    the patterns come in several blocks, ``combine`` merges what the blocks found, and ``routing`` tells
+    which rows meet which blocks (patterns need ``length`` then); without it all do. Patterns given as an Arrow table are on the driver already, and go to all tasks.
     """
     schema = from_arrow_schema(result)
-    size = cells(patterns)
-    if size <= broadcast_cells:
-        shared = rows.sparkSession.sparkContext.broadcast(_to_bytes(patterns.toArrow()))
+    local = patterns if isinstance(patterns, pa.Table) else None
+    size = 0 if local is not None else cells(patterns)
+    if local is not None or size <= broadcast_cells:
+        shared = rows.sparkSession.sparkContext.broadcast(_to_bytes(patterns.toArrow() if local is None else local))
 
         def over_batches(batches):
             function = prepare(_from_bytes(shared.value))
@@ -128,8 +175,8 @@ def score(
         parts = [function(batch) for batch in some.combine_chunks().to_batches()]
         return pa.concat_tables(parts).combine_chunks() if parts else result.empty_table()
 
-    if router is not None:
-        scored = _score_routed(rows, patterns, over_block, schema, router, block_cells)
+    if routing is not None:
+        scored = _score_routed(rows, patterns, over_block, schema, routing, block_cells)
         return scored if combine is None else combine(scored)
 
     pattern_blocks = math.ceil(size / block_cells)

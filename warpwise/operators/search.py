@@ -21,7 +21,7 @@ from .windows import fixed_windows
 # Spark prunes a ranked window before its shuffle up to this rank (the default threshold).
 PRUNED_RANK = 1000
 
-_NEAREST = pa.schema(
+NEAREST = pa.schema(
     [
         ("query_id", pa.string()),
         ("length", pa.int32()),
@@ -49,7 +49,7 @@ def exclude_same_id(frame: DataFrame, source: str = "source_series_id") -> DataF
     return frame.where(~F.col("series_id").eqNullSafe(F.col(source)))
 
 
-def _prepare_nearest(drop_same: bool):
+def nearest_kernel(drop_same: bool):
     def prepare(table: pa.Table):
         names = table["query_id"].to_pylist()
         sources = table["source_series_id"].to_pylist()
@@ -75,7 +75,7 @@ def _prepare_nearest(drop_same: bool):
                     row, dist = K.best_of_groups(matrix[pick], q, group, number[chosen])
                     best = chosen[row[0]]
                     parts.append((name, n, dist[0], number[best], batch.column("cluster_id")[int(best)].as_py()))
-            return pa.Table.from_pylist([dict(zip(_NEAREST.names, p)) for p in parts], schema=_NEAREST)
+            return pa.Table.from_pylist([dict(zip(NEAREST.names, p)) for p in parts], schema=NEAREST)
 
         return run
 
@@ -101,7 +101,7 @@ def nearest_representatives(
     # written first: few representatives then go to the segments, not the segments to them
     rows = with_values(materialise(reps, "reps"), segments)
     patterns = queries.select("query_id", "source_series_id", F.col("q").alias("values"))
-    found = score(rows, patterns, _prepare_nearest(drop_same_id_reps), _NEAREST, **limits)
+    found = score(rows, patterns, nearest_kernel(drop_same_id_reps), NEAREST, **limits)
     best = F.min(F.struct("dist", "cluster_no", "cluster_id"))
     return (
         found.groupBy("query_id", "length")
@@ -137,7 +137,7 @@ def scored_members(
     )
 
 
-_HIT = pa.schema(
+HIT = pa.schema(
     [
         ("query_id", pa.string()),
         ("length", pa.int32()),
@@ -150,8 +150,12 @@ _HIT = pa.schema(
 )
 
 
-def _prepare_members(k: int):
-    """Kernel: the k nearest members per query and length within a batch."""
+def members_kernel(k: int, every_query: bool = False, by_cluster: bool = False):
+    """Kernel: the k nearest rows per query and length within a batch.
+
+    Rows name their query in ``query_id``; with ``every_query`` each row is held against all of them. Equal distances
+    go by (series_id, start), or by the cluster's number.
+    """
 
     def prepare(table: pa.Table):
         at, flat = K.offsets_and_values(table["values"])
@@ -161,23 +165,26 @@ def _prepare_members(k: int):
             offsets, values = K.offsets_and_values(batch.column("values"))
             length = batch.column("length").to_numpy()
             start = batch.column("start").to_numpy()
-            names = np.array(batch.column("query_id").to_pylist(), dtype=object)
-            owner = np.unique(np.array(batch.column("series_id").to_pylist(), dtype=object), return_inverse=True)[1]
-            place = np.empty(len(start), np.int64)
-            place[np.lexsort((start, owner))] = np.arange(len(start))
+            if by_cluster:
+                place = np.array([int(c.rsplit("_", 1)[-1]) for c in batch.column("cluster_id").to_pylist()], np.int64)
+            else:
+                owner = np.unique(np.array(batch.column("series_id").to_pylist(), dtype=object), return_inverse=True)[1]
+                place = np.empty(len(start), np.int64)
+                place[np.lexsort((start, owner))] = np.arange(len(start))
+            finite = np.add.reduceat(~np.isfinite(values), offsets[:-1]) == 0 if len(values) else np.zeros(0, bool)
+            if every_query:
+                wanted = dict.fromkeys(queries, finite)
+            else:
+                names = np.array(batch.column("query_id").to_pylist(), dtype=object)
+                wanted = {name: finite & (names == name) for name in set(names) & set(queries)}
             parts = []
-            for name in set(names) & set(queries):
-                for n in np.unique(length[names == name]):
-                    rows = np.nonzero((names == name) & (length == n))[0]
-                    windows = values[offsets[rows][:, None] + np.arange(n)]
-                    finite = np.isfinite(windows).all(axis=1)
-                    rows, windows = rows[finite], windows[finite]
-                    if not len(rows):
-                        continue
-                    best, dist = K.k_nearest(windows, queries[name], k, place[rows])
-                    hits = batch.select(_HIT.names[:-1]).take(pa.array(rows[best]))
-                    parts.append(pa.Table.from_arrays([*hits.columns, pa.array(dist)], schema=_HIT))
-            return pa.concat_tables(parts) if parts else _HIT.empty_table()
+            for name, mask in wanted.items():
+                for n in np.unique(length[mask]):
+                    rows = np.nonzero(mask & (length == n))[0]
+                    best, dist = K.k_nearest(values[offsets[rows][:, None] + np.arange(n)], queries[name], k, place[rows])
+                    hits = batch.select(HIT.names[1:-1]).take(pa.array(rows[best]))
+                    parts.append(pa.Table.from_arrays([pa.array([name] * len(best)), *hits.columns, pa.array(dist)], schema=HIT))
+            return pa.concat_tables(parts) if parts else HIT.empty_table()
 
         return run
 
@@ -200,7 +207,7 @@ def nearest_members(
     """
     rows = _members(queries, clusters, nearest, segments, exclude_own)
     patterns = queries.select("query_id", F.col("q").alias("values"))
-    return score(rows, patterns, _prepare_members(k), _HIT, **limits)
+    return score(rows, patterns, members_kernel(k), HIT, **limits)
 
 
 def nearest_windows(queries: DataFrame, segments: DataFrame, length: int, k: int, **limits: int) -> DataFrame:
@@ -217,8 +224,7 @@ def nearest_windows(queries: DataFrame, segments: DataFrame, length: int, k: int
         "values",
     )
     asked = queries.select("query_id", F.col("q").alias("values"))
-    rows = coordinates.withColumn("query_id", F.explode(F.lit([r[0] for r in asked.select("query_id").distinct().collect()])))
-    return score(rows.select("query_id", *coordinates.columns), asked, _prepare_members(k), _HIT, **limits)
+    return score(coordinates, asked, members_kernel(k, every_query=True), HIT, **limits)
 
 
 def ranks_needed(k: int, percentage: float, longest: int) -> int:
