@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.distance import euclid, manhattan, minkowski, similarity_radius
 from ..functions.warping import dtw, warping_path
-from ..operators import cluster, exact, normalize, reports, search, windows as win
+from ..operators import cluster, exact, index, normalize, reports, search, windows as win
 from ..runtime import materialise, new_path
 from ..sources import store, wide_csv
 from ..sources.long_table import segments_from_long
 from ..sources.segments import cut_segments, points_of_segments, with_values
-from .explore import group_and_cluster, similarity_search
+from .explore import group_and_cluster
 
 # Parameters of the registered queries.
 SEED = 42
@@ -64,6 +64,15 @@ def stored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    def make():
+        path = new_path(spark, "index")
+        index.write_index(path, stored_clusters(spark, sf_dir), raw_segments(spark, sf_dir))
+        return index.open_index(spark, path)
+
+    return _once(spark, sf_dir, "index", make)
+
+
 def cut_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark,
@@ -369,6 +378,10 @@ def dtw_clusters(spark, sf_dir):
     return _cluster_rows(cluster.leader_clusters(scaled_segments(spark, sf_dir), 3, 4, 0.3, SEED, "dtw"))
 
 
+def dtw_clusters_five_lengths(spark, sf_dir):
+    return _cluster_rows(cluster.leader_clusters(scaled_segments(spark, sf_dir), 3, 7, 0.3, SEED, "dtw"))
+
+
 def cluster_counts(spark, sf_dir):
     return cluster.cluster_counts(stored_clusters(spark, sf_dir))
 
@@ -424,11 +437,27 @@ def no_overlap_topk(spark, sf_dir):
     return _dist_rows(search.top_k_without_overlap(scored, 20, OVERLAP, LONGEST))
 
 
+def index_nearest_rep(spark, sf_dir):
+    return _dist_rows(index.nearest_clusters(cut_queries(spark, sf_dir), stored_index(spark, sf_dir), SHORTEST, LONGEST))
+
+
+def index_ranked_members(spark, sf_dir):
+    """The 100 nearest members of the chosen clusters, in two stages whatever the size."""
+    queries, stored = cut_queries(spark, sf_dir), stored_index(spark, sf_dir)
+    near = index.nearest_clusters(queries, stored, SHORTEST, LONGEST, staged_rows=0)
+    return _dist_rows(search.top_k(index.nearest_members(queries, stored, near, 100, staged_rows=0), 100))
+
+
+def index_clusters(spark, sf_dir):
+    """What the index keeps about each cluster."""
+    reps = stored_index(spark, sf_dir).reps
+    return reps.select("length", "cluster_id", "n_members", _rounded("least", "least"), _rounded("most", "most"), _rounded("mean", "mean"))
+
+
 def search_results(spark, sf_dir):
-    return similarity_search(
+    return index.indexed_search(
         cut_queries(spark, sf_dir),
-        stored_clusters(spark, sf_dir),
-        raw_segments(spark, sf_dir),
+        stored_index(spark, sf_dir),
         SHORTEST,
         LONGEST,
         K_BEST,
@@ -569,12 +598,16 @@ QUERIES_BY_NAME = {
     "embedding_clusters": embedding_clusters,
     "two_pass_clusters": two_pass_clusters,
     "dtw_clusters": dtw_clusters,
+    "dtw_clusters_five_lengths": dtw_clusters_five_lengths,
     "cluster_counts": cluster_counts,
     "group_cluster_job": group_cluster_job,
     "nearest_rep": nearest_rep,
     "nearest_rep_other_series": nearest_rep_other_series,
     "scored_members": scored_members,
     "ranked_members": ranked_members,
+    "index_nearest_rep": index_nearest_rep,
+    "index_ranked_members": index_ranked_members,
+    "index_clusters": index_clusters,
     "no_overlap_topk": no_overlap_topk,
     "similarity_search": similarity_search_rows,
     "length_filter": length_filter,

@@ -130,25 +130,23 @@ clusters AS (
     )
 
 
-def cross_length(low: int, st) -> str:
-    """Leader clustering by DTW of two lengths; representatives of the shorter serve the longer."""
+def cross_length(low: int, high: int, st) -> str:
+    """Leader clustering by DTW of the lengths low..high; representatives of shorter ones serve the longer."""
     radius = f"sqrt(length) * {st} / 2"
     dist = WARP.format(v="i.v", w="r.v")
-    return ",".join(
-        [
-            windows("w", low, low + 1),
-            items("it", "w"),
-            f"\nshort AS (SELECT * FROM it WHERE length = {low})",
-            leaders("rep1", "short", radius, WARP),
-            f"""
-near1 AS (
-  SELECT i.rk, min({dist}) AS dist FROM it i, rep1 r WHERE i.length = {low + 1} GROUP BY i.rk),
-open2 AS (SELECT i.* FROM it i JOIN near1 n USING (rk) WHERE i.length = {low + 1} AND n.dist > {radius})""",
-            leaders("rep2", "open2", radius, WARP),
-            f"""
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY length ORDER BY rk) - 1 AS no
-  FROM (SELECT length, rk, v FROM rep1 UNION ALL SELECT length, rk, v FROM rep2)),
+    steps = [windows("w", low, high), items("it", "w")]
+    for n in range(low, high + 1):
+        shorter = " UNION ALL ".join(f"SELECT v FROM rep{m}" for m in range(low, n))
+        if shorter:
+            steps.append(f"\nnear{n} AS (SELECT i.rk, min({dist}) AS dist FROM it i, ({shorter}) r WHERE i.length = {n} GROUP BY i.rk)")
+            steps.append(f"\nopen{n} AS (SELECT i.* FROM it i JOIN near{n} USING (rk) WHERE i.length = {n} AND near{n}.dist > {radius})")
+        else:
+            steps.append(f"\nopen{n} AS (SELECT * FROM it WHERE length = {n})")
+        steps.append(leaders(f"rep{n}", f"open{n}", radius, WARP))
+    every = " UNION ALL ".join(f"SELECT length, rk, v FROM rep{n}" for n in range(low, high + 1))
+    steps.append(
+        f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY rk) - 1 AS no FROM ({every})),
 pairs AS (
   SELECT i.length, i.rk, r.length AS rep_length, r.rk AS rep_rk, r.no, {dist} AS dist
   FROM it i JOIN numbered r ON r.length < i.length OR (r.length = i.length AND r.rk <= i.rk)),
@@ -158,9 +156,9 @@ best AS (
 clusters AS (
   SELECT i.length, concat(b.rep_length, '_', b.no) AS cluster_id, i.series_id, i.start, i."end",
          b.rep_length = i.length AND b.rep_rk = i.rk AS is_rep, b.dist AS rep_dist
-  FROM it i JOIN best b ON i.length = b.length AND i.rk = b.rk)""",
-        ]
+  FROM it i JOIN best b ON i.length = b.length AND i.rk = b.rk)"""
     )
+    return ",".join(steps)
 
 
 def warped(name: str, source: str, cost: str = "abs") -> str:
@@ -428,7 +426,8 @@ s AS (
         "minkowski_clusters": sql(SERIES, one_pass(6, 7, ST, CUBIC), select=CLUSTER_ROWS),
         "embedding_clusters": sql(EMBEDDED, select=CLUSTER_ROWS),
         "two_pass_clusters": sql(SERIES, two_pass(SHORTEST, LONGEST, 0.2), select=CLUSTER_ROWS),
-        "dtw_clusters": sql(SERIES, cross_length(3, ST), select=CLUSTER_ROWS),
+        "dtw_clusters": sql(SERIES, cross_length(3, 4, ST), select=CLUSTER_ROWS),
+        "dtw_clusters_five_lengths": sql(SERIES, cross_length(3, 7, ST), select=CLUSTER_ROWS),
         "cluster_counts": sql(
             SERIES, BASE, select="SELECT length, count(*) AS clusters FROM clusters WHERE is_rep GROUP BY ROLLUP (length)"
         ),
@@ -452,6 +451,18 @@ s AS (
             SERIES, BASE, scored(),
             select='SELECT query_id, length, cluster_id, series_id, start, "end", round(dist, 6) AS dist, CAST(place AS INTEGER) AS rank FROM scored WHERE place <= 100',
         ),
+        "index_nearest_rep": sql(
+            SERIES, BASE, nearest(), select="SELECT query_id, length, cluster_id, round(dist, 6) AS dist FROM nearest"
+        ),
+        "index_ranked_members": sql(
+            SERIES, BASE, scored(),
+            select='SELECT query_id, length, cluster_id, series_id, start, "end", round(dist, 6) AS dist, CAST(place AS INTEGER) AS rank FROM scored WHERE place <= 100',
+        ),
+        "index_clusters": sql(
+            SERIES, BASE,
+            select="""SELECT c.length, c.cluster_id, count(*) AS n_members, round(min(list_min(w.raw)), 6) AS least, round(max(list_max(w.raw)), 6) AS most,
+              round(sum(list_sum(w.raw)) / sum(c.length), 6) AS mean FROM clusters c JOIN w USING (length, series_id, start) GROUP BY ALL""",
+        ),
         "no_overlap_topk": sql(SERIES, BASE, scored(), greedy(20), select=search_rows),
         "similarity_search": sql(SERIES, BASE, scored(), greedy(K_BEST), select=search_rows),
         "length_filter": sql(SERIES, windows("w", 9, 10), select='SELECT length, series_id, start, "end" FROM w'),
