@@ -147,29 +147,42 @@ def chunked(text):
             start = i + 1
 
 
+def line_ranges(text):
+    """Ranges (start, end) of lines whose repetitions go: chunks, and the shortest runs of 50 words from and to each line."""
+    out = {(start, start + len(lines)) for start, _, lines, long in chunked(text) if (len(lines) > 1 or long) and any(map(plain.words, lines))}
+    count = [len(plain.words(line)) for line in text.split("\n")]
+    for i in range(len(count)):
+        if count[i]:
+            ends = [j for j in range(i, len(count)) if sum(count[i : j + 1]) >= 50]
+            starts = [j for j in range(i, -1, -1) if sum(count[j : i + 1]) >= 50]
+            out |= {(i, ends[0] + 1)} if ends else set()
+            out |= {(starts[0], i + 1)} if starts else set()
+    return out
+
+
 def deduplicated(rows):
     import hashlib
 
+    def place_of(d, t):
+        return d is not None, d or 0, hashlib.md5(t.encode()).hexdigest()
+
     places = {}
     for d, t in rows:
         if t is not None:
-            place = (d is not None, d or 0, hashlib.md5(t.encode()).hexdigest())
-            for start, _, lines, long in chunked(t):
-                if (len(lines) > 1 or long) and any(map(plain.words, lines)):
-                    places.setdefault("\n".join(lines), set()).add((*place, start))
+            lines = t.split("\n")
+            for start, end in line_ranges(t):
+                places.setdefault("\n".join(lines[start:end]), set()).add((*place_of(d, t), start))
     out = []
     for d, t in rows:
         if t is None:
             out.append((d, None, 0, 0))
             continue
-        place = (d is not None, d or 0, hashlib.md5(t.encode()).hexdigest())
-        kept = []
-        for start, _, lines, _ in chunked(t):
-            where = places.get("\n".join(lines))
-            if not where or min(where) == (*place, start):
-                kept += lines
-        total = len(t.split("\n"))
-        out.append((d, "\n".join(kept), total, total - len(kept)))
+        lines = t.split("\n")
+        gone = set()
+        for start, end in line_ranges(t):
+            if min(places["\n".join(lines[start:end])]) != (*place_of(d, t), start):
+                gone |= set(range(start, end))
+        out.append((d, "\n".join(line for i, line in enumerate(lines) if i not in gone), len(lines), len(gone)))
     return out
 
 
@@ -177,7 +190,7 @@ def test_line_chunks(spark):
     rng = random.Random(11)
     vocabulary = [f"line number {i}" for i in range(12)] + ["", " ", plain.PASSAGE, plain.PASSAGE + " more"]
     rows = list(plain.ROWS) + [(50 + k, "\n".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
-    found = line_dedup.deduplicated(plain.table(spark, rows))
+    found = line_dedup.deduplicated(plain.table(spark, rows), hot=10)
     assert "removed" in found.columns and "tie" in found.columns
     got = by_row((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in found.collect())
     assert got == by_row(deduplicated(rows))
@@ -189,6 +202,33 @@ def test_a_long_passage_goes_from_all_but_one_document(spark):
     assert plain.PASSAGE in found[7] and found[8] == "another intro\nanother outro"
 
 
+def test_passages_of_short_lines_go_whatever_surrounds_them(spark):
+    rng = random.Random(12)
+
+    def lines(n, size):
+        return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(size)) for _ in range(n)]
+
+    passages = [lines(n, size) for n, size in [(2, 25), (3, 17), (5, 11), (30, 3), (60, 1), (4, 40)]] + [lines(2, 25) + lines(1, 3), lines(1, 60)]
+    passages.append([x for line in lines(6, 10) for x in (line, "")][:-1])  # blank lines between
+    rows, inside = [], {}
+    for k in range(60):
+        passage = passages[k % len(passages)]
+        rows.append((k, "\n".join(lines(rng.randrange(4), 7) + passage + lines(rng.randrange(4), 9))))
+        inside[k] = {x for x in passage if x}
+    found = {r["doc_id"]: set(r["text"].split("\n")) for r in line_dedup.deduplicated(plain.table(spark, rows)).collect()}
+    for k, text in rows:
+        own = set(text.split("\n"))
+        assert found[k] - {""} == (own if k < len(passages) else own - inside[k]) - {""}
+
+
+def test_line_dedup_carries_any_columns(spark):
+    names = ["__id", "__digest", "__removed", "__tie", "__of", "__mark", "__left", "n_lines", "start", "digest"]
+    docs = plain.table(spark, extra=False).selectExpr("*", *[f"'{i}' as {n}" for i, n in enumerate(names)])
+    out = line_dedup.deduplicated(docs)
+    assert out.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert {tuple(r[n] for n in names if n != "n_lines") for r in out.collect()} == {tuple(str(i) for i, n in enumerate(names) if n != "n_lines")}
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 

@@ -135,15 +135,28 @@ cuts AS (
                      OVER (PARTITION BY doc_id, tie ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
   FROM flagged
 ),
-chunks AS (
-  SELECT doc_id, tie, k, min(i) AS first_line, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM cuts GROUP BY doc_id, tie, k HAVING sum(w) > 0 AND (count(*) >= 2 OR max(w) >= 50)
+filled AS (
+  SELECT doc_id, tie, i, sum(w) OVER (PARTITION BY doc_id, tie ORDER BY i) - w AS before,
+         sum(w) OVER (PARTITION BY doc_id, tie ORDER BY i) AS after FROM lines WHERE w > 0
+),
+ranges AS (
+  SELECT doc_id, tie, min(i) AS a, max(i) AS b FROM cuts GROUP BY doc_id, tie, k HAVING sum(w) > 0 AND (count(*) >= 2 OR max(w) >= 50)
+  UNION SELECT x.doc_id, x.tie, x.i, y.i FROM filled x JOIN filled y
+    ON y.doc_id = x.doc_id AND y.tie = x.tie AND y.i >= x.i AND y.after - x.before >= 50 AND (y.before - x.before < 50 OR y.after - x.after < 50)
+),
+texts AS (
+  SELECT r.doc_id, r.tie, r.a, r.b, string_agg(l.line, chr(10) ORDER BY l.i) AS range
+  FROM ranges r JOIN lines l ON l.doc_id = r.doc_id AND l.tie = r.tie AND l.i BETWEEN r.a AND r.b GROUP BY r.doc_id, r.tie, r.a, r.b
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY range ORDER BY doc_id, tie, a) AS place FROM texts),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.tie, l.i FROM placed p JOIN lines l
+    ON p.place > 1 AND l.doc_id = p.doc_id AND l.tie = p.tie AND l.i BETWEEN p.a AND p.b
 ),
-placed AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, tie, first_line) AS place FROM chunks),
 kept AS (
-  SELECT c.doc_id, c.tie, count(*) AS n_lines, count(*) FILTER (WHERE p.place > 1) AS n_removed,
-         coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE p.place IS NULL OR p.place = 1), '') AS text
-  FROM cuts c LEFT JOIN placed p USING (doc_id, tie, k) GROUP BY c.doc_id, c.tie
+  SELECT l.doc_id, l.tie, count(*) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g USING (doc_id, tie, i) GROUP BY l.doc_id, l.tie
 )
 SELECT o.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM documents o LEFT JOIN kept k ON o.doc_id = k.doc_id AND md5(o.text) = k.tie
