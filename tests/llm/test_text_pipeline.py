@@ -28,7 +28,7 @@ def plain_pipeline(documents, labels, items):
     forest = quality_trees.train(x[order], y[order])
     scores = dict(zip(values, forest.scores(np.stack(list(values.values())))))
     rows = [(d, t) for d, t in documents if scores[d] >= quality_trees.THRESHOLD]
-    rows = [(d, t) for d, t, n, gone in deduplicated(rows) if gone == 0 or gone < n]
+    rows = [(d, t) for d, t, _, gone in deduplicated(rows) if gone == 0 or plain.words(t)]
     runs = {d: plain.word_runs(t, 5) for d, t in rows}
     ids = sorted(runs)
     near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if plain.similar(runs[a], runs[b])]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..runtime import materialise
-from .columns import append_columns, column, texts_of
+from .columns import append_columns, column, free, texts_of
 
 WORDS = 5
 CONTAINMENT = (4, 5)  # at least 4 of 5 shingles
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, with their columns; what one block of items leaves is written for the next."""
-    mark, left = "__matches", docs
+    mark, left = free(docs, "__matches"), docs
     for number, index in enumerate(indexes(items)):
         left = materialise(left, "decontaminated") if number else left
         left = with_matches(left, index, text, out=mark).where(F.size(mark) == 0).drop(mark)

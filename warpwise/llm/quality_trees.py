@@ -178,17 +178,20 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(column(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(featured: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
-    """Train on the labelled rows of ``featured`` (doc_id, statistics) that are not held out.
-
-    About ``rows`` of them are brought to the driver; which ones, a hash of the id decides. An id is one
-    row, however many documents have it: the one with the smallest statistics.
-    """
+def sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, quality) of about ``rows`` labelled ids that are not held out; which ones, a hash of the id decides."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out("doc_id"))
     spread = 1 << 30
     share = min(1.0, rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(share * spread))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(share * spread))
+
+
+def fit(featured: DataFrame, chosen: DataFrame) -> Forest:
+    """Train on the rows of ``featured`` (doc_id, statistics) whose ids are in the sample ``chosen``, which is brought to the driver.
+
+    An id is one row, however many documents have it: the one with the smallest statistics.
+    """
     joined = featured.select("doc_id", "statistics").join(chosen, "doc_id")
     found = joined.groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.min("quality").alias("quality")).toArrow()
     x = np.asarray(found["statistics"].combine_chunks().flatten(), np.float32).reshape(-1, len(STATISTICS)).astype(np.float64)
@@ -215,7 +218,15 @@ def scored(featured: DataFrame, forest: Forest, out: str = "score", drop: str =
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Forest]:
     """The stored statistics of all documents (doc_id, statistics) and the trees fitted to their labels."""
     featured = materialise(with_statistics(docs, keep=["doc_id"]), "statistics")
-    return featured, fit(featured, labels)
+    return featured, fit(featured, sample(labels))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Forest:
+    """The trees fitted to the labels of ``docs``; statistics are made of the sampled documents only."""
+    chosen = materialise(sample(labels), "label-sample")
+    # about TRAIN_ROWS ids
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    return fit(with_statistics(some, keep=["doc_id"]), chosen)
 
 
 def scored_texts(docs: DataFrame, forest: Forest, text: str = "text", out: str = "score") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..runtime import materialise
-from .columns import append_columns, column, texts_of
+from .columns import append_columns, column, free, texts_of
 from .components import connected_components
 
 DISTANCE = 3  # differing bits of a link; the keys are made for this
@@ -290,10 +290,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def first_rows(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The rows of ``docs`` that come first in their root, as ``found`` (doc_id, tie, root) names it."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))
-    stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__stay"))
-    marked = docs.withColumn("__tie", F.xxhash64(column(text)))
-    same = column(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__stay"))
-    return marked.join(stay, same, "left_semi").dropDuplicates([doc_id, "__tie"]).drop("__tie")
+    own, of, mark = (free(docs, n) for n in ("__tie", "__of", "__mark"))
+    stay = best.select(F.col("best.doc_id").alias(of), F.col("best.tie").alias(mark))
+    marked = docs.withColumn(own, F.xxhash64(column(text)))
+    same = column(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark))
+    return marked.join(stay, same, "left_semi").dropDuplicates([doc_id, own]).drop(own)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:

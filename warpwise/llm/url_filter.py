@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialise
-from .columns import column, without
+from .columns import column, free, without
 from .components import connected_components
 
 BROADCAST_RULES = 1_000_000
@@ -96,10 +96,11 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "ht
     """``pages`` with host, path, rule and verdict; columns of these names are replaced, the markup is dropped."""
     spark = pages.sparkSession
     carried = without(pages, ["host", "path", "rule", "verdict", html])
+    markup, name, action, named, shut = (free(pages, n) for n in ("__html", "__rule", "__action", "__node", "__blocked"))
     located = pages.select(
-        *[column(c) for c in carried], column(html).alias("__html"), host_of(column(url)).alias("host"), path_of(column(url)).alias("path")
+        *[column(c) for c in carried], column(html).alias(markup), host_of(column(url)).alias("host"), path_of(column(url)).alias("path")
     )
-    links = materialise(alias_links(located.select("host", "path", F.col("__html").alias("html"))), "alias-links")
+    links = materialise(alias_links(located.select("host", "path", F.col(markup).alias("html"))), "alias-links")
     ends = links.select("host", "path").unionByName(links.select(F.col("to_host").alias("host"), F.col("to_path").alias("path")))
     ruled = materialise(with_rules(located.select("host", "path").unionByName(ends), rules), "ruled-urls")
 
@@ -107,11 +108,11 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "ht
     edges = links.select(node.alias("u"), F.concat("to_host", "to_path").alias("v"))
     parts = materialise(connected_components(edges), "aliases")
     blocked = ruled.where("action = 'block'").select(node.alias("node")).join(parts, "node").select("component").distinct()
-    aliases = parts.join(blocked, "component", "left_semi").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
+    aliases = parts.join(blocked, "component", "left_semi").select(F.col("node").alias(named), F.lit(True).alias(shut))
 
-    own = ruled.select("host", "path", F.col("rule").alias("__rule"), F.col("action").alias("__action"))
-    rest = located.drop("__html").join(own, ["host", "path"], "left").withColumn("__node", node)
-    verdict = F.coalesce("__action", F.when(F.col("__blocked"), "block"), F.lit("allow"))
-    return rest.join(aliases, "__node", "left").select(
-        *[column(c) for c in carried], "host", "path", F.col("__rule").alias("rule"), verdict.alias("verdict")
+    own = ruled.select("host", "path", F.col("rule").alias(name), F.col("action").alias(action))
+    rest = located.drop(markup).join(own, ["host", "path"], "left").withColumn(named, node)
+    verdict = F.coalesce(action, F.when(F.col(shut), "block"), F.lit("allow"))
+    return rest.join(aliases, named, "left").select(
+        *[column(c) for c in carried], "host", "path", F.col(name).alias("rule"), verdict.alias("verdict")
     )
