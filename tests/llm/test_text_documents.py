@@ -378,6 +378,62 @@ def test_added_spans():
     assert found["account"] == ["DE89 3704 0044 0532 0130 00", "12345678"] and found["address"] == ["https://a.b.de/x?y=1"]
 
 
+SECRET = (
+    r"""(?<![A-Za-z0-9\u00c0-\uffff])(token|secret|key|apikey|credentials?|bearer|password|passwd|pwd|passphrase)"""
+    r"""["']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}["'`]?([A-Za-z0-9+/_.~-]+={0,2})"""
+)
+
+
+def plain_secrets(text):
+    """Every cue in turn, by one pattern and counts of letters and digits."""
+    import re
+
+    forms = {f for c in personal_data.SECRET_CUES + personal_data.PASSWORD_CUES for f in (c, c.upper(), c.capitalize())}
+    out, done = [], 0
+    for at in range(len(text)):
+        m = re.compile(SECRET, re.IGNORECASE).match(text, at)
+        if not m or at < done or m[1] not in forms or (at and text[at - 1].isalnum()):
+            continue
+        least = (8, 1) if m[1].lower().startswith(("pass", "pwd")) else (16, 2)
+        if len(m[2]) >= least[0] and len(re.findall("[0-9]", m[2])) >= least[1] and re.search("[A-Za-z]", m[2]):
+            out.append(m.span(2))
+            done = m.end()
+    return out
+
+
+def test_secrets_equal_a_plain_search():
+    rng = random.Random(8)
+    pieces = [*personal_data.SECRET_CUES, *personal_data.PASSWORD_CUES, "TOKEN", "Password", "api_", "monkey", "=", ": ", " := ", " = ", "=>", '"', "'", " ", "\n"]
+    pieces += ["0123456789abcdef0123", "hunter22", "correcthorsebattery", "A1b2", "+/==", "é", "x" * 20, "9" * 20]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(2, 14))) for _ in range(6000)]
+    found = [personal_data.spans(t)["secret"] for t in texts]
+    assert found == [plain_secrets(t) for t in texts] and sum(map(len, found)) > 150
+    text = 'a token = "0123456789abcdef0123456789abcdef01234567" b, password: hunter22, key=value, my secret: do not tell anyone'
+    assert [text[a:b] for a, b in personal_data.spans(text)["secret"]] == ["0123456789abcdef0123456789abcdef01234567", "hunter22"]
+
+
+def test_registered_personal_data(spark):
+    import hashlib
+    import re
+
+    from warpwise.llm.queries import op10_personal_data
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op10_personal_data(spark, folder).collect()
+    assert len(rows) == len(texts)
+    planted = 0
+    for r in rows:
+        base = plain.personal(texts[r["doc_id"]])
+        named = ",".join(f"{k}:{a}:{b}" for k in personal_data.BASE_KINDS for a, b in base[k])
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in personal_data.BASE_KINDS] == [len(base[k]) for k in personal_data.BASE_KINDS]
+        cued = re.search('token = "[0-9a-f]{40}"', texts[r["doc_id"]]) is not None
+        planted += cued
+        assert ("secret:" in r["spans"]) == cued
+    assert planted > 5
+
+
 def test_personal_data_frames(spark):
     found = personal_data.find(plain.table(spark))
     rows = found.collect()

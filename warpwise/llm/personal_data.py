@@ -12,6 +12,8 @@ card       a digit                         16 to 19 digits, single spaces or das
 phone      ``+``                           8 to 15 digits with spaces, brackets, dots and dashes
 address    ``://``                         http, https or ftp address whose host has a dot, without closing marks
 account    ``iban``, ``account``, ...      the number after the cue: an IBAN passing its check, or 6 to 17 digits
+secret     ``token``, ``password``, ...    the value after the cue and ``=`` or ``:``, quoted or not: 16 characters of a key or more with
+                                           a letter and two digits; after words for passwords 8 with a letter and a digit
 =========  ==============================  ==================================================================
 
 Each kind is searched from left to right without overlaps, with the boundaries of these patterns:
@@ -33,19 +35,34 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .columns import append_columns, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "address", "account")
+KINDS = (*BASE_KINDS, "address", "account", "secret")
+SECRET_CUES = ("token", "secret", "key", "apikey", "credential", "credentials", "bearer")
+PASSWORD_CUES = ("password", "passwd", "pwd", "passphrase")
 CUES = ("iban", "account", "acct", "konto", "kontonummer", "cuenta", "compte", "ssn", "passport")
 
+# The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
 _SCHEME = re.compile(r"(?:https?|ftp)\Z", re.ASCII | re.IGNORECASE)
 _REST = re.compile(r"[^\s\"'<>`|\\^{}]+")
 _VALUE = re.compile(r"(?:[\s._-]?(?:number|nummer|no|nr|num|id)\b)?[\s.:=#]{0,3}([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)", re.ASCII | re.IGNORECASE)
 
+_SECRET = re.compile(r"[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}[\"'`]?([A-Za-z0-9+/_.~-]+={0,2})")
+
+
+def secret(cue: str, value: str) -> bool:
+    """Whether the value after a cue looks like a key or password and not like a word."""
+    digits = sum(c in "0123456789" for c in value)
+    letters = sum(c.isalpha() for c in value)
+    if cue.lower() in PASSWORD_CUES:
+        return len(value) >= 8 and digits >= 1 and letters >= 1
+    return len(value) >= 16 and digits >= 2 and letters >= 1
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -72,9 +89,10 @@ def anchors():
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("cue", len(form)))
+    for anchor, cues in (("cue", CUES), ("secret", SECRET_CUES + PASSWORD_CUES)):
+        for cue in cues:
+            for form in (cue, cue.upper(), cue.capitalize()):
+                found.add_word(form, (anchor, len(form)))
     found.make_automaton()
     return found
 
@@ -125,6 +143,12 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 host = re.split("[/?#]", text[match.start() : end], maxsplit=1)[0]
                 if "." in host.strip("."):
                     out["address"].append((scheme.start(), end))
+        elif anchor == "secret":
+            if at >= done["secret"] and not (at and text[at - 1].isalnum()):
+                match = _SECRET.match(text, last + 1)
+                if match and secret(text[at : last + 1], match.group(1)):
+                    out["secret"].append(match.span(1))
+                    done["secret"] = match.end()
         elif at >= done["account"] and not (at and text[at - 1].isalnum()):
             match = _VALUE.match(text, last + 1)
             if match:
