@@ -80,23 +80,42 @@ located AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 tags AS (
-  SELECT host, path, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag FROM located
-  UNION ALL SELECT host, path, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) FROM located),
+  SELECT host, path, unnest(regexp_extract_all(html, '(?is)<link\s[^>]*>')) AS tag, 'link' AS kind FROM located
+  UNION ALL SELECT host, path, unnest(regexp_extract_all(html, '(?is)<meta\s[^>]*>')), 'meta' FROM located),
+attributes AS (
+  SELECT host, path, kind,
+    lower(coalesce(nullif(trim(regexp_extract(tag, '(?is)\srel\s*=\s*"([^"]*)"', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\srel\s*=\s*''([^'']*)''', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\srel\s*=\s*([^"''\s>][^\s>]*)', 1)), ''), '')) AS rel,
+    coalesce(nullif(trim(regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\shref\s*=\s*([^"''\s>][^\s>]*)', 1)), ''), '') AS href,
+    lower(coalesce(nullif(trim(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*"([^"]*)"', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*''([^'']*)''', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*([^"''\s>][^\s>]*)', 1)), ''), '')) AS equiv,
+    coalesce(nullif(trim(regexp_extract(tag, '(?is)\scontent\s*=\s*"([^"]*)"', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\scontent\s*=\s*''([^'']*)''', 1)), ''), nullif(trim(regexp_extract(tag, '(?is)\scontent\s*=\s*([^"''\s>][^\s>]*)', 1)), ''), '') AS content
+  FROM tags),
 targets AS (
   SELECT host, path, CASE
-    WHEN regexp_matches(tag, '(?i)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>;]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
+    WHEN kind = 'link' AND regexp_matches(rel, '(^|\s)canonical(\s|$)') THEN href
+    WHEN kind = 'meta' AND equiv = 'refresh' THEN trim(regexp_extract(content, '(?is)^[^;,]*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1))
     ELSE '' END AS target
-  FROM tags),
+  FROM attributes),
 absolute AS (
-  SELECT host, path, CASE WHEN contains(target, '://') THEN target
+  SELECT host, path, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     WHEN starts_with(target, '//') THEN 'http:' || target
     WHEN starts_with(target, '/') THEN 'http://' || host || target
-    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || target END AS url
+    WHEN regexp_matches(target, '^[?#]') THEN 'http://' || host || path || target
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || target END AS url
   FROM targets WHERE target <> '' AND host <> ''),
+ends AS (
+  SELECT host, path, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS to_host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS to_path
+  FROM absolute WHERE url IS NOT NULL),
+plain_ends AS (
+  SELECT host, path, to_host, to_path, '/' || array_to_string(list_reduce(
+    list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(substr(to_path, 2), '/'), lambda x: [x])),
+    lambda kept, x: CASE WHEN x[1] = '..' THEN list_slice(kept, 1, len(kept) - 1) WHEN x[1] = '.' THEN kept ELSE list_append(kept, x[1]) END), '/') AS whole
+  FROM ends WHERE to_host <> ''),
 edges AS (
-  SELECT host || path AS u, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS v FROM absolute),
+  SELECT host || path AS u, to_host || CASE WHEN NOT regexp_matches(to_path, '/\.\.?(/|$)') THEN to_path WHEN whole = '/' THEN whole
+    WHEN regexp_matches(to_path, '/\.\.?$') THEN whole || '/' ELSE whole END AS v
+  FROM plain_ends),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 nodes AS (SELECT DISTINCT host || path AS node, host, path FROM located WHERE host <> ''
   UNION SELECT v, split_part(v, '/', 1), substr(v, strpos(v || '/', '/')) FROM edges),

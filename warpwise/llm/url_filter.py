@@ -5,14 +5,15 @@ rule decides. URLs that redirect to each other, or name each other as their cano
 connected components over these links carry the block of one member to all members, except those
 that a rule of their own allows. URLs without rule and without blocked alias are allowed.
 
-Links are read from the pages: ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="...; url=...">``.
-A node is host and path, so scheme, query and fragment make no difference.
+Links are read from the pages: ``<link rel=canonical href=...>``, also among several rel words, and
+``<meta http-equiv=refresh content="...; url=...">``. An attribute is read up to its closing quote. A node is host and path, so scheme, query and fragment make no difference.
 
 Rules meet URLs by an equi-join on the suffixes of the host (a host of n labels has n), so no URL is held
 against all rules. The rules are broadcast up to BROADCAST_RULES, beyond that Spark chooses the join.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule and no aliases; null or
-broken markup has no links; relative links are resolved against host and directory, without ``..``; repeated
+broken markup has no links; relative links are resolved against host and directory, with ``.`` and ``..``; targets of other schemes
+(``mailto:``) are no links; repeated
 pages get the same verdict; rules that differ in action only are both kept, and block wins between them.
 """
 
@@ -65,30 +66,57 @@ def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("host", "path", "best.rule", "best.action")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, up to its closing quote, or to a space where it has none; else empty."""
+    start = rf"(?is)\s{name}\s*=\s*"
+    parts = [F.regexp_extract(tag, start + value, 1) for value in (r'"([^"]*)"', r"'([^']*)'", r"([^\"'\s>][^\s>]*)")]
+    return F.coalesce(*[F.nullif(F.trim(p), F.lit("")) for p in parts], F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` segments are dropped and whose ``..`` segments take the one before with them."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    none = F.array().cast("array<string>")
+
+    def step(kept, segment):
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.array_append(kept, segment))
+
+    closed = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise("")
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, none, step), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.when(whole == "/", whole).otherwise(F.concat(whole, closed))).otherwise(path)
+
+
 def _resolved(target: Column, host: Column, path: Column) -> Column:
-    """A link's target as an absolute URL."""
+    """A link's target as an absolute URL; null for a target of another kind, such as ``mailto:``."""
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
-        .otherwise(F.concat(F.lit("http://"), host, F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/")), target))
+        .when(target.rlike("^[?#]"), F.concat(F.lit("http://"), host, path, target))
+        .otherwise(F.concat(F.lit("http://"), host, F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), target))
     )
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """(host, path, to_host, to_path) of the canonical and redirect links in ``pages`` (host, path, html)."""
 
-    def targets(tag: str, mark: str, field: str) -> Column:
-        tags = F.filter(F.regexp_extract_all("html", F.lit(rf"(?i)<{tag}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(mark))
-        return F.transform(tags, lambda t: F.regexp_extract(t, rf"(?i)\b{field}\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    def tags(name: str) -> Column:
+        return F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
 
-    found = F.concat(
-        targets("link", r"(?i)\brel\s*=\s*[\"']?canonical\b", "href"),
-        targets("meta", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b", "url"),
-    )
+    def canonical(tag: Column) -> Column:
+        rel = F.lower(_attribute(tag, "rel"))
+        return F.when(rel.rlike(r"(^|\s)canonical(\s|$)"), _attribute(tag, "href")).otherwise("")
+
+    def redirect(tag: Column) -> Column:
+        url = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1)
+        return F.when(F.lower(_attribute(tag, "http-equiv")) == "refresh", F.trim(url)).otherwise("")
+
+    found = F.concat(F.transform(tags("link"), canonical), F.transform(tags("meta"), redirect))
     links = pages.where("html is not null and host <> ''").select("host", "path", F.explode(found).alias("target")).where("target <> ''")
     url = _resolved(F.col("target"), F.col("host"), F.col("path"))
-    ends = links.select("host", "path", host_of(url).alias("to_host"), path_of(url).alias("to_path"))
+    ends = links.select("host", "path", host_of(url).alias("to_host"), _without_dots(path_of(url)).alias("to_path"))
     return ends.where("to_host <> '' and not (host = to_host and path = to_path)").distinct()
 
 
