@@ -166,3 +166,25 @@ def test_hits_name_their_cluster(spark):
     members = clusters.select("length", "cluster_id", "series_id", "start")
     assert hits.count() and hits.join(members, ["length", "cluster_id", "series_id", "start"]).count() == hits.count()
     assert hits.where(F.col("cluster_id").isNull()).count() == 0
+
+
+def test_stored_runs_are_small(spark, tmp_path):
+    """Windows saved as runs come back whole, and their rows do not grow with the windows."""
+    from warpwise.operators import windows as win
+    from warpwise.sources import store
+    from warpwise.sources.segments import cut_segments
+
+    series = spark.createDataFrame([(f"s{i}", [float(j) for j in range(900 + i)]) for i in range(6)], "series_id string, values array<double>")
+    segments = cut_segments(series, 40, stride=256)
+    runs, rows = win.window_runs(segments, 5, 40), win.windows(segments, 5, 40)
+    store.save_dataset(str(tmp_path / "runs"), windows=runs)
+    store.save_dataset(str(tmp_path / "rows"), windows=rows)
+    loaded = store.load_dataset(spark, str(tmp_path / "runs"))["windows"]
+    names = ["length", "series_id", "start", "end"]
+    assert sorted(map(tuple, loaded.select(*names).collect())) == sorted(map(tuple, rows.select(*names).collect()))
+    assert runs.count() <= segments.count() * 36 < rows.count() / 100
+
+    def size(path):
+        return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+    assert size(tmp_path / "runs") < size(tmp_path / "rows") / 2

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,71 @@ def test_reports_and_job(spark, made):
     assert curves.where("rank = 0").count() == sum(len(q) for _, q in QUERIES.values())
     grouped, clustered = group_and_cluster(parts, 4, 5, 0.5, 3)
     assert grouped.count() == clustered.count() == len(list(naive.windows(SERIES, 4, 5)))
+
+
+def table_path(a, b, cost):
+    """The path by the whole table, one cell after the other."""
+    inf = float("inf")
+    total = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    total[0][0] = 0.0
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            step = abs(x - y) if cost == "abs" else (x - y) * (x - y)
+            total[i + 1][j + 1] = step + min(total[i][j], total[i][j + 1], total[i + 1][j])
+    i, j, path = len(a), len(b), []
+    while i and j:
+        path.append((i - 1, j - 1))
+        back = [total[i - 1][j - 1], total[i - 1][j], total[i][j - 1]]
+        move = back.index(min(back))
+        i, j = (i - 1, j - 1) if move == 0 else (i - 1, j) if move == 1 else (i, j - 1)
+    return path[::-1]
+
+
+def test_paths_equal_the_whole_table():
+    from warpwise.functions.warping import _path
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        a, b = ([float(rnd.randint(0, 3)) for _ in range(rnd.randint(1, 40))] for _ in range(2))  # many ties
+        for cost in ("abs", "sq"):
+            assert [(c["i"], c["j"]) for c in _path(np.array(a), np.array(b), cost)] == table_path(a, b, cost)
+
+
+def test_long_paths_in_little_memory():
+    import tracemalloc
+
+    from warpwise.functions.warping import _path
+
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal(10_000).cumsum(), rng.standard_normal(10_000).cumsum()
+    tracemalloc.start()
+    path = _path(a, b, "abs")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and path[0] == {"i": 0, "j": 0} and path[-1] == {"i": 9999, "j": 9999}
+    steps = {(y["i"] - x["i"], y["j"] - x["j"]) for x, y in zip(path, path[1:])}
+    assert steps <= {(0, 1), (1, 0), (1, 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_fold_equals_one_loop(spark, seed):
+    """Kept series by series, as one loop over all hits keeps them."""
+    rnd = random.Random(seed)
+    hits = [
+        (q, n, f"s{rnd.choice([0, 0, 0, 1, 2, 3])}", s, s + n, round(rnd.random(), 1), "c")
+        for q in ("a", "b") for n in (6, 9) for s in rnd.choices(range(40), k=rnd.randint(1, 60))
+    ]
+    hits = sorted(set(hits))
+    frame = spark.createDataFrame(hits, "query_id string, length int, series_id string, start long, end long, dist double, cluster_id string")
+    for k, share in ((1, 0.5), (4, 0.0), (7, 0.34), (50, 0.7)):
+        want = []
+        for q in ("a", "b"):
+            for n in (6, 9):
+                kept = []
+                for h in sorted((h for h in hits if h[:2] == (q, n)), key=lambda h: (h[5], h[2], h[3])):
+                    if len(kept) < k and not any(o[2] == h[2] and (min(o[4], h[4]) - max(o[3], h[3])) / n > share for o in kept):
+                        kept.append(h)
+                want += [(*h, i + 1) for i, h in enumerate(kept)]
+        got = search.top_k_without_overlap(frame, k, share)
+        names = ["query_id", "length", "series_id", "start", "end", "dist", "cluster_id", "rank"]
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want)

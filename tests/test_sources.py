@@ -92,6 +92,24 @@ def test_extract_rows(spark, tmp_path):
     assert sorted(tuple(r) for r in part.collect()) == [(str(i), str(i * i)) for i in range(5)]
 
 
+def test_extract_rows_of_many_splits(spark, tmp_path):
+    """Several files of several splits each; the prefix ends inside one of them."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for f in range(5):
+        (folder / f"f{f}.csv").write_text("a,b\n" + "".join(f"{f * 1000 + i},{'x' * 30}\n" for i in range(1000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        for n in (0, 1, 999, 1000, 1001, 2345, 5000, 9999):
+            part = wide_csv.extract_rows(spark, str(folder), n)
+            assert sorted(int(r["a"]) for r in part.collect()) == list(range(min(n, 5000)))
+        written = wide_csv.extract_rows(spark, str(folder), 2345, str(tmp_path / "out"))
+        assert written.count() == 2345 and written.columns == ["a", "b"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def long_table(spark):
     data = [("x", i // 3, i, float(i)) for i in range(40)] + [("y", 0, 5, 2.0), ("y", 0, 1, 1.0), ("z", 9, 9, 3.0)]
     return spark.createDataFrame(data, "id string, ts int, n int, v double").orderBy(F.rand(3))

@@ -260,8 +260,9 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
 
     Windows of one length conflict only if their starts differ by less than
     ``length * (1 - percentage)``, so a kept window can drop only so many others and the k kept
-    ones always lie within a computable rank: only that prefix is gathered, whatever the
-    cluster's size. ``longest`` bounds the lengths present (asked for when not given).
+    ones always lie within a computable rank: only that prefix is looked at, whatever the
+    cluster's size. As windows of different series never conflict, it is folded series by series, and the k nearest
+    of what the series keep are the result; no array holds all hits of a query. ``longest`` bounds the lengths present (asked for when not given).
     """
     if not 0 <= percentage <= 1:
         raise ValueError("percentage must lie in [0, 1]")
@@ -271,24 +272,18 @@ def top_k_without_overlap(scored: DataFrame, k: int, percentage: float = 1.0, lo
         scored = materialise(scored, "scored")
         longest = scored.agg(F.max("length")).first()[0] or 1
     more = [c for c in scored.columns if c not in ("query_id", "length", "series_id", "start", "end", "dist")]
-    prefix = top_k(scored, ranks_needed(k, percentage, longest)).groupBy("query_id", "length").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "series_id", "start", "end", *more))).alias("hits")
+    keys = ["query_id", "length", "series_id"]
+    prefix = top_k(scored, ranks_needed(k, percentage, longest)).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("dist", "start", "end", *more))).alias("hits")
     )
 
     def keep(kept, hit):
-        clash = F.exists(
-            kept,
-            lambda old: (old["series_id"] == hit["series_id"])
-            & (overlap_fraction(old["start"], old["end"], hit["start"], hit["end"]) > percentage),
-        )
+        clash = F.exists(kept, lambda old: overlap_fraction(old["start"], old["end"], hit["start"], hit["end"]) > percentage)
         return F.when((F.size(kept) >= k) | clash, kept).otherwise(F.array_append(kept, hit))
 
     none = F.slice("hits", 1, 0)
-    return prefix.select(
-        "query_id", "length", F.posexplode(F.aggregate("hits", none, keep)).alias("at", "hit")
-    ).select(
-        "query_id", "length", "hit.series_id", "hit.start", "hit.end", "hit.dist", *[f"hit.{c}" for c in more], (F.col("at") + 1).alias("rank")
-    )
+    kept = prefix.select(*keys, F.explode(F.aggregate("hits", none, keep)).alias("hit"))
+    return top_k(kept.select(*keys, "hit.start", "hit.end", "hit.dist", *[f"hit.{c}" for c in more]), k)
 
 
 def query_specs(spark, specs: list[tuple[str, str, int, int]]) -> DataFrame:

@@ -37,18 +37,26 @@ def lengths_of(segments: DataFrame, shortest: int, longest: int, include_last: b
     )
 
 
+def window_runs(segments: DataFrame, shortest: int, longest: int, include_last: bool = False) -> DataFrame:
+    """``(length, series_id, first, count)``: the windows of a length that start at first, first + 1, ... in one segment row.
+
+    The stored form of a group: its rows grow with segments and lengths, not with windows.
+    """
+    counts = lengths_of(segments, shortest, longest, include_last)
+    return counts.select("length", "series_id", F.col("seg_start").alias("first"), F.col("count").cast("int").alias("count"))
+
+
+def expand_runs(runs: DataFrame) -> DataFrame:
+    """``(length, series_id, start, end)`` of the windows that runs stand for, end exclusive; no shuffle."""
+    start = F.col("first") + F.col("at")
+    return runs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
+        "length", "series_id", start.alias("start"), (start + F.col("length")).alias("end")
+    )
+
+
 def windows(segments: DataFrame, shortest: int, longest: int, include_last: bool = False) -> DataFrame:
     """``(length, series_id, start, end)`` of every window, end exclusive; no shuffle."""
-    return (
-        lengths_of(segments, shortest, longest, include_last)
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-        .select(
-            "length",
-            "series_id",
-            (F.col("seg_start") + F.col("at")).alias("start"),
-            (F.col("seg_start") + F.col("at") + F.col("length")).alias("end"),
-        )
-    )
+    return expand_runs(window_runs(segments, shortest, longest, include_last))
 
 
 def max_length(segments: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def series_status(spark, sf_dir):
 def save_reload(spark, sf_dir):
     path = new_path(spark, "dataset")
     series = scaled_segments(spark, sf_dir)
-    store.save_dataset(path, series, win.windows(series, 20, 22))
+    store.save_dataset(path, series, win.window_runs(series, 20, 22))
     loaded = store.load_dataset(spark, path)["windows"]
     return search.in_length_range(loaded, 21, 22).select("length", "series_id", "start", "end")
 

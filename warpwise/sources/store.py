@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.windows import expand_runs
 from ..runtime import write_parquet
 
 # The folders of a stored dataset.
@@ -59,7 +60,10 @@ def save_dataset(
     clusters: DataFrame | None = None,
     overwrite: bool = False,
 ) -> None:
-    """Write the given parts; windows and clusters are partitioned by length."""
+    """Write the given parts; windows and clusters are partitioned by length.
+
+    Windows may be given one row each or as runs, which take far less room.
+    """
     mode = "overwrite" if overwrite else "errorifexists"
     for name, part in zip(PARTS, (series, windows, clusters)):
         if part is not None:
@@ -67,13 +71,14 @@ def save_dataset(
 
 
 def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The parts that were saved under exactly this path."""
+    """The parts that were saved under exactly this path; windows saved as runs come one row each."""
     from pyspark.errors import AnalysisException
 
     parts = {}
     for name in PARTS:
         try:
-            parts[name] = spark.read.parquet(f"{path}/{name}")
+            part = spark.read.parquet(f"{path}/{name}")
+            parts[name] = expand_runs(part) if name == "windows" and "first" in part.columns else part
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -5,7 +5,7 @@ The header is the first line of each file, whatever it says; a later line that e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Cells that count as padding at the end of a line, and what a number looks like.
 PADDING = [",", "0", ""]
@@ -144,11 +144,32 @@ def read_keyed_csv(spark: SparkSession, path: str, features: list[int]) -> DataF
 
 def extract_rows(spark: SparkSession, source: str, rows: int, target: str | None = None) -> DataFrame:
     """The first ``rows`` data rows of a CSV file, or of a folder of them in the order of their names, also
-    written to ``target`` when given."""
-    table = spark.read.csv(source, header=True)
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    part = table.select("*", place.alias("_place")).orderBy("_place").limit(rows).drop("_place")
-    if target is not None:
-        part.write.mode("overwrite").csv(target, header=True)
-        return spark.read.csv(target, header=True)
-    return part
+    written to ``target`` when given.
+
+    Rows are counted per split of the files, files being taken in order until they hold enough; splits that lie inside the
+    prefix are read whole, and only the last one is cut. No step brings the prefix to one task, however large it is; only a written
+    extract is sorted, by ranges.
+    """
+    schema = spark.read.csv(source, header=True).schema
+    files = sorted(spark.read.csv(source, header=True).inputFiles())
+    split = ["_file", "_block"]
+    taken = 1
+    while True:
+        table = spark.read.schema(schema).csv(files[:taken], header=True)
+        placed = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        counts = placed.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"))
+        if taken >= len(files) or (counts.agg(F.sum("_rows")).first()[0] or 0) >= rows:
+            break
+        taken = min(len(files), 4 * taken)
+    # one row per split
+    before = F.coalesce(F.sum("_rows").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    needed = counts.withColumn("_before", before).where(F.col("_before") < rows)
+    inside = placed.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(needed), split)
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*split).orderBy("_row"))
+    whole = inside.where(F.col("_before") + F.col("_rows") <= rows)
+    last = inside.where(F.col("_before") + F.col("_rows") > rows).withColumn("_place", place).where(F.col("_place") <= rows).drop("_place")
+    part = whole.unionByName(last)
+    if target is None:
+        return part.select(*schema.names)
+    part.orderBy(*split, "_row").select(*schema.names).write.mode("overwrite").csv(target, header=True)
+    return spark.read.csv(target, header=True)
