@@ -221,6 +221,13 @@ def test_passages_of_short_lines_go_whatever_surrounds_them(spark):
         assert found[k] - {""} == (own if k < len(passages) else own - inside[k]) - {""}
 
 
+def test_ranges_of_one_name_with_different_texts_stay(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "name_of", lambda digests: F.length(digests).cast("long"))
+    rows = [(1, "a b\nc d"), (2, "e f\ng h"), (3, "a b\nc d"), (4, plain.PASSAGE), (5, plain.PASSAGE)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(plain.table(spark, rows)).collect()}
+    assert found == dict(rows)
+
+
 def test_line_dedup_carries_any_columns(spark):
     names = ["__id", "__digest", "__removed", "__tie", "__of", "__mark", "__left", "n_lines", "start", "digest"]
     docs = plain.table(spark, extra=False).selectExpr("*", *[f"'{i}' as {n}" for i, n in enumerate(names)])

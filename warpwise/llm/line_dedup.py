@@ -112,18 +112,24 @@ def _range(first: Column, last: Column) -> Column:
     return F.struct(first.alias("start"), (last - first + 1).alias("size"))
 
 
+def name_of(digests: Column) -> Column:
+    """The number that names a range by its lines' digests, joined."""
+    return F.xxhash64(digests)
+
+
 def _digested(parts: Column) -> Column:
     """Every range once, with its digest."""
 
     def digest(r):
         joined = F.array_join(F.slice(parts["digests"], r["start"] + 1, r["size"]), "")
-        return F.struct(r["start"].alias("start"), r["size"].alias("size"), F.unhex(F.md5(joined.cast("binary"))).alias("digest"))
+        return F.struct(r["start"].alias("start"), r["size"].alias("size"), name_of(joined).alias("digest"))
 
     return F.transform(F.array_distinct(F.concat(_chunks(parts), _runs(parts))), digest)
 
 
 def _tie(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+    """The first 60 bits of a text's digest as a number, in the order of the digests."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -138,9 +144,11 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def _of_repeated(found: DataFrame, hot: int) -> DataFrame:
-    """The places whose digest has several, with ``original``: whether it is the first one."""
+    """The places whose digest has several, with ``original``: whether it is the first one.
+
+    Rows that agree in id and text are one place.
+    """
     place = F.struct("id", "tie", "start")
-    # rows that agree in id and text are one place
     counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     repeated = materialise(counted, "line-digests")
     limit = found.count() // hot
@@ -161,8 +169,10 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         let(lines, lambda x: F.transform("ranges", lambda r: F.struct(r["digest"].alias("digest"), F.array_join(F.slice(x, r["start"] + 1, r["size"]), "\n").alias("range"))))
     )
     compared = texts.select(cut.alias("r")).groupBy("r.digest").agg(F.min("r.range").alias("low"), F.max("r.range").alias("high"))
-    differing = compared.where("low <> high").select("digest")
-    again = several.where("not original").join(differing, "digest", "left_anti")
+    differing = materialise(compared.where("low <> high").select("digest"), "differing-digests")
+    again = several.where("not original")
+    if not differing.isEmpty():  # two texts of one digest, as good as never
+        again = again.join(differing, "digest", "left_anti")
     return again.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "size")).alias("removed"))
 
 
