@@ -26,41 +26,70 @@ def test_base_counts(spark):
     extra = [(100 + i, " ".join(random.Random(i).choice("abc") for _ in range(40 + i))) for i in range(12)]
     rows = plain.ROWS + extra
     trusted = spark.createDataFrame([(1,), (14,), (None,)], "doc_id long")
-    found = quality_rules.judged(plain.table(spark, rows), trusted).collect()
+    found = quality_rules.judged_by_trusted(plain.table(spark, rows), trusted).collect()
     assert by_row((r["doc_id"], *(r[n] for n in names)) for r in found) == by_row((d, *plain.base_counts(t)) for d, t in rows)
-    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD) for r in found)
 
 
-def test_ratio_is_the_mean_log_share(spark):
-    texts = [(1, "a b c a b"), (2, "a b d"), (3, "x y z x"), (4, "")]
-    found = quality_rules.judged(plain.table(spark, texts), spark.createDataFrame([(1,), (2,)], "doc_id long")).collect()
-    scores = {r["doc_id"]: r["score"] for r in found}
+def plain_scores(rows, trusted):
+    """(score, kept) of each row: counts of hashed words and pairs in the other folds, and the cut of the trusted scores."""
+    import struct
+    from collections import Counter
+
+    import xxhash
+
+    def number(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def long(value, seed=42):
+        return number(struct.pack("<Q", value % 2**64), seed)
 
     def grams(text):
-        w = text.split()
-        return w + list(zip(w, w[1:]))
+        h = [number(w.encode()) for w in plain.words(text)]
+        every = h + [long(b, long(a)) for a, b in zip(h, h[1:])]
+        return [(x - 2**64 if x >= 2**63 else x) % quality_rules.BUCKETS for x in every]
 
-    raw = [g for _, t in texts for g in grams(t)]
-    good = [g for d, t in texts if d < 3 for g in grams(t)]
-    b = quality_rules.BUCKETS
-    for d, t in texts:  # few grams: no two share a bucket
-        logs = [np.log((good.count(g) + 1) / (len(good) + b)) - np.log((raw.count(g) + 1) / (len(raw) + b)) for g in grams(t)]
-        assert scores[d] == pytest.approx(np.mean(logs) if logs else 0, abs=1e-8)
-    assert scores[1] > 0 > scores[3]
+    def fold(d):
+        x = long(d)
+        return (x - 2**64 if x >= 2**63 else x) % quality_rules.FOLDS
+
+    scores = []
+    for d, t in rows:
+        raw, target = Counter(), Counter()
+        for e, u in rows:
+            if fold(e) != fold(d):
+                raw.update(grams(u))
+                target.update(grams(u) if e in trusted else [])
+        whole_r, whole_t = raw.total(), target.total()
+        logs = [np.log((target[g] + 1) / (raw[g] * whole_t / whole_r + 1)) if whole_t else 0.0 for g in grams(t)]
+        scores.append(round(float(np.mean(logs)), 9) if logs else None)
+    steps = sorted(np.floor(s * quality_rules.GRID) for s, (d, _) in zip(scores, rows) if d in trusted and s is not None)
+    least = steps[int(quality_rules.CUT * len(steps))] / quality_rules.GRID if steps else -np.inf
+    return [(s or 0.0, not plain.base_counts(t)[5] and (s or 0.0) >= least) for s, (_, t) in zip(scores, rows)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_scores_and_cut_equal_plain_loops(spark, share):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{'junk' if i % 3 == 0 else 'word'}{rng.randrange(40)}" for _ in range(rng.randrange(60)))) for i in range(70)]
+    trusted = {i for i in range(70) if i % 3 and rng.random() < share}
+    asked = spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")
+    found = {r["doc_id"]: (r["score"], r["kept"]) for r in quality_rules.judged_by_trusted(plain.table(spark, rows), asked).collect()}
+    for (d, _), (score, kept) in zip(rows, plain_scores(rows, trusted)):
+        assert found[d][0] == pytest.approx(score, abs=1e-8) and found[d][1] == kept
 
 
 def test_quality_rules_without_trust_or_rows(spark):
     nobody = spark.createDataFrame([], "doc_id long")
-    assert {r["score"] for r in quality_rules.judged(plain.table(spark), nobody).collect()} == {0.0}
-    assert quality_rules.judged(plain.table(spark, []), nobody).count() == 0
+    assert {r["score"] for r in quality_rules.judged_by_trusted(plain.table(spark), nobody).collect()} == {0.0}
+    assert quality_rules.judged_by_trusted(plain.table(spark, []), nobody).count() == 0
 
 
 def test_trusted_ids_joined_by_shuffle(spark, monkeypatch):
     trusted = spark.createDataFrame([(1,), (14,)], "doc_id long")
     docs = plain.table(spark)
-    wide = quality_rules.judged(docs, trusted).collect()
+    wide = quality_rules.judged_by_trusted(docs, trusted).collect()
     monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
-    assert by_row(quality_rules.judged(docs, trusted).collect()) == by_row(wide)
+    assert by_row(quality_rules.judged_by_trusted(docs, trusted).collect()) == by_row(wide)
 
 
 # --- decontamination ---------------------------------------------------------------------------

@@ -6,11 +6,10 @@ SMOOTHING counts a bucket. A document's score is the sum of log(target / raw) ov
 their number; documents that pass the base rules are kept from the threshold on, without any drawing of
 lots.
 
-``judged`` does so with one target and a given threshold, whose meaning moves with the size of the corpus.
-``judged_by_trusted``, which the query runs, has a scale of its own: documents are dealt to FOLDS folds by a hash of
-the id and scored with the counts of the other folds, so no document meets its own n-grams. A weight is
-log((t + 1) / (r T / R + 1)) for t of T target and r of R raw counts: an n-gram unseen elsewhere weighs nothing, at
-any size. The threshold is the score that CUT of the trusted documents with n-grams lie below, on a grid of
+The scale is the same at any size of the corpus: documents are dealt to FOLDS folds by a hash of
+the id and scored with the counts of the other folds, so no document meets its own n-grams (near copies of it in other folds
+do vouch for it). A weight is log((t + 1) / (r T / R + 1)) for t of T target and r of R raw counts: an n-gram unseen elsewhere
+weighs nothing. The threshold is the score that CUT of the trusted documents with n-grams lie below, on a grid of
 0.0001; without trusted words there is none.
 
 Everything is DataFrame functions: per-document counts come from array functions inside the row, the
@@ -32,9 +31,8 @@ from .columns import column
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-THRESHOLD = -0.15  # least mean log ratio of a kept document
-FOLDS = 5  # of judged_by_trusted
-CUT = 0.05  # share of trusted documents below its threshold
+FOLDS = 5  # no document is scored with the counts of its own fold
+CUT = 0.05  # share of trusted documents below the threshold
 GRID = 10_000  # steps of a score of one
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
@@ -130,53 +128,6 @@ def ngram_buckets(text: Column) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), both)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(bucket, weight) for all BUCKETS: log of the smoothed share in trusted over that in all documents."""
-    ids = trusted.select(column(doc_id).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(column(doc_id).alias("id"), column(text).alias("text")).join(ids, "id", "left")
-    # exploding an expression, not a column: of a column Spark would also test the size, by computing it again
-    grams = rows.select("trusted", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
-    counts = materialise(
-        grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")), "ngram-counts"
-    )
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    known = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    if not totals["all_target"]:
-        return known.select("bucket", F.lit(0.0).alias("weight"))
-
-    def share(count, total):
-        return F.log((F.col(count) + SMOOTHING) / (total + SMOOTHING * BUCKETS))
-
-    return known.select("bucket", (share("target", totals["all_target"]) - share("raw", totals["all_raw"])).alias("weight"))
-
-
-def ratio_scores(docs: DataFrame, weighted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, tie, score) of all documents with n-grams; id and tie, a hash of the text, name rows of ``docs``."""
-    # the hash of the text is a column before the text is exploded, else it would be taken for every n-gram
-    named = docs.select(column(doc_id).alias("id"), F.xxhash64(column(text)).alias("tie"), column(text).alias("text"))
-    grams = named.select("id", "tie", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
-    scored = grams.join(F.broadcast(weighted), "bucket")  # always BUCKETS rows
-    return scored.groupBy("id", "tie").agg(F.avg("weight").alias("score"))
-
-
-def judged(
-    docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD
-) -> DataFrame:
-    """One row per row of ``docs``: its id as doc_id, the base counts, base_failed, score and kept."""
-    chosen = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
-    scores = ratio_scores(chosen, materialise(weights(docs, trusted, text, doc_id), "ngram-weights"))
-    based = base_counts(chosen).withColumn("tie", F.xxhash64("text")).drop("text")
-    same = based["doc_id"].eqNullSafe(scores["id"]) & (based["tie"] == scores["tie"])
-    score = F.round(F.coalesce("score", F.lit(0.0)), 9)  # sums come in any order
-    return based.join(scores, same, "left").select(
-        *[based[c] for c in based.columns if c != "tie"],
-        score.alias("score"),
-        (~F.col("base_failed") & (score >= threshold)).alias("kept"),
-    )
-
-
 def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
 
@@ -217,7 +168,10 @@ def lower_cut(scores: DataFrame) -> float:
 
 
 def judged_by_trusted(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Like ``judged``, with scores free of a document's own n-grams and the threshold taken from the trusted scores."""
+    """One row per row of ``docs``: its id as doc_id, the base counts, base_failed, score and kept.
+
+    ``trusted`` has the ids of the target; the threshold comes from their scores.
+    """
     ids = trusted.select(column(doc_id).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     named = docs.select(column(doc_id).alias("id"), column(text).alias("text"))
