@@ -111,3 +111,46 @@ def test_contract_columns(spark):
         kinds = dict(frame.dtypes)
         assert all(kinds[c] == "bigint" for c in columns if c.startswith("n_") or c in ("doc_id", "start", "ids_crc32", "component_id"))
         assert frame.count() == 200
+
+
+@needs_tables
+def test_registered_digests(spark):
+    """What the queries of the encoders and of fingerprints return, from the libraries and plain loops."""
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as entry
+    from warpwise.llm.queries import tokenizer_path
+
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
+
+    def rows(name):
+        found = {r["doc_id"]: r for r in entry.queries()[name](spark, SF_DIR).collect()}
+        assert set(found) == set(texts)
+        return found
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    counts = rows("op3_token_counts")
+    for d, r in rows("op2_sentencepiece").items():
+        ids = pieces.encode(texts[d])
+        assert [r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]] == [len(ids), digest(",".join(map(str, ids))), digest(pieces.decode(ids))]
+        assert counts[d]["n_tokens"] == len(ids)
+
+    letters = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    start, stored = 0, rows("op5_token_orc")
+    for d in sorted(texts):
+        ids = letters.encode(texts[d], add_special_tokens=False).ids + [2]
+        r = stored[d]
+        assert [r["start"], r["n_tokens"], r["ids_crc32"]] == [start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())]
+        start += len(ids)
+
+    prints = {d: plain.fingerprint(t) for d, t in texts.items()}
+    ids = sorted(prints)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    first = plain.components(ids, near)
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in rows("op8_simhash").items()} == {d: (f"{prints[d]:016x}", first[d]) for d in ids}
