@@ -134,12 +134,14 @@ def cross_length(low: int, high: int, st) -> str:
     """Leader clustering by DTW of the lengths low..high; representatives of shorter ones serve the longer."""
     radius = f"sqrt(length) * {st} / 2"
     dist = WARP.format(v="i.v", w="r.v")
+    # warping matches the ends, so pairs whose ends differ by more are not near
+    ends = f"abs(i.v[1] - r.v[1]) + abs(i.v[len(i.v)] - r.v[len(r.v)]) <= sqrt(i.length) * {st} / 2 * 1.000001"
     steps = [windows("w", low, high), items("it", "w")]
     for n in range(low, high + 1):
         shorter = " UNION ALL ".join(f"SELECT v FROM rep{m}" for m in range(low, n))
         if shorter:
-            steps.append(f"\nnear{n} AS (SELECT i.rk, min({dist}) AS dist FROM it i, ({shorter}) r WHERE i.length = {n} GROUP BY i.rk)")
-            steps.append(f"\nopen{n} AS (SELECT i.* FROM it i JOIN near{n} USING (rk) WHERE i.length = {n} AND near{n}.dist > {radius})")
+            steps.append(f"\nnear{n} AS (SELECT i.rk, min({dist}) AS dist FROM it i JOIN ({shorter}) r ON i.length = {n} AND {ends} GROUP BY i.rk)")
+            steps.append(f"\nopen{n} AS (SELECT i.* FROM it i LEFT JOIN near{n} USING (rk) WHERE i.length = {n} AND (near{n}.dist IS NULL OR near{n}.dist > {radius}))")
         else:
             steps.append(f"\nopen{n} AS (SELECT * FROM it WHERE length = {n})")
         steps.append(leaders(f"rep{n}", f"open{n}", radius, WARP))
@@ -149,7 +151,7 @@ def cross_length(low: int, high: int, st) -> str:
 numbered AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY rk) - 1 AS no FROM ({every})),
 pairs AS (
   SELECT i.length, i.rk, r.length AS rep_length, r.rk AS rep_rk, r.no, {dist} AS dist
-  FROM it i JOIN numbered r ON r.length < i.length OR (r.length = i.length AND r.rk <= i.rk)),
+  FROM it i JOIN numbered r ON (r.length < i.length OR (r.length = i.length AND r.rk <= i.rk)) AND {ends}),
 best AS (
   SELECT * FROM pairs WHERE dist <= {radius}
   QUALIFY row_number() OVER (PARTITION BY length, rk ORDER BY dist, rep_length, rep_rk) = 1),
