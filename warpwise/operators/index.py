@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import kernels as K
-from ..runtime import materialise
+from ..runtime import materialise, spread
 from ..sources.segments import with_values
 from . import scoring
 from .search import HIT, NEAREST, exclude_same_id, members_kernel, nearest_kernel, ranks_needed, top_k, top_k_without_overlap
 
 END_POINTS = 3  # points of either end that bounds look at
-STAGED_ROWS = 200_000  # rows times queries from which a limit is worth a stage of its own
+STAGED_ROWS = 2_000_000  # rows times queries from which a limit is worth a stage of its own
 PROBES = 4  # rows warped for the limit, times k
 LOCAL_QUERIES = 1_000  # queries that are taken to the driver, at most
 LOCAL_CLUSTERS = 10_000  # chosen clusters that are named in the filter on members, at most
@@ -62,26 +62,19 @@ def lower_bound(row: str = "", query: str = "q_") -> Column:
     from the end backwards. As many points of both ends count as leave these cells apart. Or: the extremes cost at least the
     differences of the maxima and of the minima; both are paid if the ranges overlap, as then no single cell pays for both.
     """
-    longer = F.greatest(F.col("length"), F.col(f"{query}size"))
+    def apart(name: str, other: str = "") -> str:
+        return f"abs({row}{name} - {query}{other or name})"
 
-    def step(side: str, k: int) -> Column:
-        def cell(i: int, j: int) -> Column:
-            return F.abs(F.col(f"{row}{side}_{i}") - F.col(f"{query}{side}_{j}"))
-
-        cells = [cell(k, j) for j in range(k + 1)] + [cell(i, k) for i in range(k)]
-        cheapest = F.least(*cells) if len(cells) > 1 else cells[0]  # leaves out points that are not there
-        return F.when(longer >= 2 * (k + 1), F.coalesce(cheapest, F.lit(0.0))).otherwise(0.0)
-
-    total = F.when(longer == 1, F.abs(F.col(f"{row}head_0") - F.col(f"{query}head_0"))).otherwise(0.0)
+    longer = f"greatest(length, {query}size)"
+    parts = [f"if({longer} = 1, {apart('head_0')}, 0.0D)"]
     for k in range(END_POINTS):
-        total = total + step("head", k) + step("tail", k)
-
-    def apart(name: str) -> Column:
-        return F.abs(F.col(row + name) - F.col(query + name))
-
-    overlap = (F.col(f"{row}low") <= F.col(f"{query}high")) & (F.col(f"{query}low") <= F.col(f"{row}high"))
-    span = F.when(overlap, apart("low") + apart("high")).otherwise(F.greatest(apart("low"), apart("high")))
-    return F.greatest(total, span)
+        for side in ("head", "tail"):
+            cells = [apart(f"{side}_{k}", f"{side}_{j}") for j in range(k + 1)] + [apart(f"{side}_{i}", f"{side}_{k}") for i in range(k)]
+            cheapest = f"least({', '.join(cells)})" if len(cells) > 1 else cells[0]  # leaves out points that are not there
+            parts.append(f"if({longer} >= {2 * (k + 1)}, coalesce({cheapest}, 0.0D), 0.0D)")
+    low, high = apart("low"), apart("high")
+    span = f"if({row}low <= {query}high and {query}low <= {row}high, {low} + {high}, greatest({low}, {high}))"
+    return F.expr(f"greatest({' + '.join(parts)}, {span})")
 
 
 @dataclass
@@ -166,7 +159,7 @@ def within_limits(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _staged(pairs: DataFrame, patterns: pa.Table, k: int, staged: bool) -> DataFrame:
-    return within_limits(pairs, limits(pairs, patterns, k)) if staged else pairs
+    return within_limits(pairs, limits(pairs, patterns, k)) if staged else pairs.drop("bound")
 
 
 def nearest_clusters(
@@ -243,7 +236,8 @@ def _members(
     if few is not None and chosen is not None:
         pairs = member_pairs(few, index, chosen, exclude_own)
         staged = _pairs_at_most(index, chosen, staged_rows) >= staged_rows
-        return scoring.score(_staged(pairs, few, k, staged), few, members_kernel(k), HIT)
+        # one cluster may lie in a few small files
+        return scoring.score(spread(_staged(pairs, few, k, staged)), few, members_kernel(k), HIT)
     wanted = nearest.select("query_id", "length", "cluster_id").join(queries.select("query_id", "source_series_id"), "query_id")
     members = index.members.join(wanted, ["length", "cluster_id"])
     members = exclude_same_id(members) if exclude_own else members
