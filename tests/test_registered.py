@@ -21,3 +21,9 @@ def test_every_series_query_has_sql():
 def test_query_equals_sql(spark, name):
     frame = entry.queries()[name](spark, SF_DIR)
     assert difference(frame, connect(SF_DIR), entry.oracle_sql()[name]) is None
+
+
+def test_text_operators_are_registered_where_their_files_are():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    present = os.path.isfile(os.path.join(root, "corpus_pipeline.py")) and os.path.isdir(os.path.join(root, "warpwise", "llm"))
+    assert any(n.startswith("op") for n in entry.queries()) == present
