@@ -136,13 +136,27 @@ def test_orc_of_an_empty_table(spark):
     assert token_orc.checksums(token_orc.read(spark, path)).count() == 0
 
 
-def test_token_files(spark, library, tmp_path):
-    stored = str(tmp_path / "docs")
-    plain.table(spark).repartition(3).write.parquet(stored)
-    docs = spark.read.parquet(stored)
-    rows = token_counts.token_counts(docs, new_path(spark, "tokens"), PIECES).collect()
+@pytest.mark.parametrize("file_bytes", [1, 300, token_counts.FILE_BYTES])
+def test_token_files(spark, library, file_bytes):
+    docs = plain.table(spark).repartition(3)
+    path = new_path(spark, "tokens")
+    rows = token_counts.token_counts(docs, path, PIECES, file_bytes=file_bytes).collect()
     expected = sorted((d or -1, len(library.encode(t or ""))) for d, t in plain.ROWS)
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in rows) == expected
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("pathGlobFilter", token_counts.TOKEN_FILES).load(path).collect()]
+    longest = max(2 * n + 2 for _, n in expected)
+    assert sum(sizes) == sum(2 * n + 2 for _, n in expected) and max(sizes) <= max(file_bytes, longest)
+
+
+def test_ids_stay_with_their_tokens(spark, library):
+    """Ids come from the task that wrote the tokens: input that no second read gives alike, ids with separators in them, no setting changed."""
+    texts = ["a b c " * n for n in range(300)]
+    docs = spark.createDataFrame([(f"id \u0002\0\n\"{n}\"", t) for n, t in enumerate(texts)], "doc_id string, text string")
+    setting = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = token_counts.token_counts(docs.orderBy(F.rand()), new_path(spark, "tokens"), PIECES, file_bytes=2000).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == setting
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {f"id \u0002\0\n\"{n}\"": len(library.encode(t)) for n, t in enumerate(texts)}
+    assert len({(r["task"], r["run"]) for r in rows}) > 20
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 5, 64])

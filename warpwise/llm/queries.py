@@ -37,8 +37,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # blocks of ids go to Python in batches of this size, which the JVM holds outside its heap
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     path = new_path(spark, "token-files")
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), path, tokenizer_path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_tokens")
