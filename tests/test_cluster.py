@@ -27,9 +27,10 @@ def rows(frame):
 SMALL = {"first_prefix": 20, "group_items": 20}
 ROUNDS = {"first_prefix": 30, "group_items": 4}
 BLOCKS = {"first_prefix": 20, "group_items": 20, "broadcast_cells": 0, "block_cells": 500}
+BLOCK_ROUNDS = {"first_prefix": 60, "group_items": 2, "broadcast_cells": 0, "block_cells": 400}
 
 
-@pytest.mark.parametrize("sizes,st", [({}, 0.6), (SMALL, 0.15), (ROUNDS, 0.15), (ROUNDS, 0.6), (BLOCKS, 0.15)])
+@pytest.mark.parametrize("sizes,st", [({}, 0.6), (SMALL, 0.15), (ROUNDS, 0.15), (ROUNDS, 0.6), (BLOCKS, 0.15), (BLOCK_ROUNDS, 0.3)])
 def test_leader_equals_loop(spark, sizes, st):
     series = make_series(6, 8, 30, seed=3)
     got = leader_clusters(segments(spark, series, 5), 3, 5, st, seed=7, **sizes)
@@ -37,7 +38,8 @@ def test_leader_equals_loop(spark, sizes, st):
 
 
 @pytest.mark.parametrize(
-    "metric,p,sizes", [("ma", 2.0, SMALL), ("mi", 2.0, {}), ("mi", 3.0, SMALL), ("mi", 3.0, BLOCKS), ("dtw", 2.0, {}), ("dtw", 2.0, SMALL), ("dtw", 2.0, BLOCKS)]
+    "metric,p,sizes", [("ma", 2.0, SMALL), ("mi", 2.0, {}), ("mi", 3.0, SMALL), ("mi", 3.0, BLOCKS), ("dtw", 2.0, {}), ("dtw", 2.0, SMALL), ("dtw", 2.0, BLOCKS),
+     ("ma", 2.0, ROUNDS), ("mi", 3.0, ROUNDS), ("dtw", 2.0, ROUNDS)]
 )
 def test_metrics_equal_loop(spark, metric, p, sizes):
     series = make_series(4, 8, 20, seed=5, digits=1)
@@ -115,3 +117,30 @@ def test_windows_meet_the_blocks_in_reach_only(spark, metric):
         for block, m, p in held:
             if (m == n or (metric == "dtw" and m < n)) and naive.distance(v, p, metric, 3.0) <= rule.radius(n):
                 assert (block, n, name, start) in together
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_rounds_write_one_row_a_window(spark, monkeypatch, alike):
+    """No round writes more rows than it has windows, though nearly all of them are near each other."""
+    from warpwise.operators import cluster
+
+    series = {f"s{i}": [0.5] * 40 for i in range(10)} if alike else make_series(10, 40, 40, seed=21)
+    written = []
+
+    def counted(frame, name, *args):
+        stored = materialise(frame, name, *args)
+        written.append((name, stored.count()))
+        return stored
+
+    materialise = cluster.materialise
+    monkeypatch.setattr(cluster, "materialise", counted)
+    st = 0.1 if alike else 0.9
+    got = leader_clusters(segments(spark, series, 3), 3, 3, st, 5, first_prefix=10_000, group_items=0)
+    windows = list(naive.windows(series, 3, 3))
+    rounds = [n for name, n in written if name.startswith("round-")]
+    assert rounds and max(rounds) <= len(windows) == 370
+    radius = cluster._Rule(st, "eu", 2.0).radius(3)
+    near = sum(naive.distance(u[3], v[3], "euclid", 2.0) <= radius for k, u in enumerate(windows) for v in windows[:k])
+    assert near > 20 * len(windows)
+    assert sum(name == "round-reps" for name, _ in written) == (1 if alike else sum(name == "round-open" for name, _ in written))
+    assert rows(got) == naive.leader(series, 3, 3, st, 5)

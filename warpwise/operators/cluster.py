@@ -51,7 +51,7 @@ _ASSIGNED = pa.schema(
         ("rep_no", pa.int64()),
     ]
 )
-_EDGE = pa.schema([("key", pa.binary()), ("early_key", pa.binary())])
+_WAITS = pa.schema([("key", pa.binary()), ("early_key", pa.binary())])
 _ROUTED = pa.schema(
     [
         ("_block", pa.int32()),
@@ -529,27 +529,43 @@ def _prepare_assign(rule: _Rule):
     return prepare
 
 
-def _prepare_edges(rule: _Rule):
-    """Kernel: pairs (window, earlier window) within the radius."""
+def _prepare_earliest(rule: _Rule):
+    """Kernel: the earliest of the earlier windows within the radius, for windows that have one."""
 
     def prepare(table: pa.Table):
         patterns = _Patterns.by_length(table, rule)
+        order = {n: np.lexsort((p.lo, p.hi)) for n, p in patterns.items()}
+        place = {n: np.argsort(o) for n, o in order.items()}
 
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
             for tile in _tiles(batch, rule, patterns):
+                n = tile.length
+                if n not in patterns:
+                    continue
+                none = len(order[n])
+                best = np.full(len(tile.values), none)
                 for pattern, part in tile.slices:
-                    if pattern.length != tile.length:
+                    if pattern.length != n:
                         continue
-                    other = pattern.values[part]
+                    other, places = pattern.values[part], place[n][part]
                     rough, error, limit = K.rough_matrix(tile.values, other, tile.radius, rule.metric, rule.p)
-                    rough[~_earlier(pattern, part, tile, strict=True)] = np.inf
-                    i, j = np.nonzero(rough <= limit + error)
-                    if len(i):
-                        keep = K.pair_distance(tile.values[i], other[j], rule.metric, rule.p) <= tile.radius
-                        i, j = i[keep], j[keep] + part.start
-                        parts.append([batch.key.take(pa.array(tile.index[i])), pattern.key.take(pa.array(j))])
-            return _table(_EDGE, parts)
+                    able = (rough <= limit + error) & (places < best[:, None]) & _earlier(pattern, part, tile, strict=True)
+                    # the first of the able ones is nearly always within the radius; where it is not, the next is tried
+                    left, waiting = np.arange(len(best)), np.where(able, places, none)
+                    while len(left):
+                        j = waiting[left].argmin(axis=1)
+                        some = waiting[left, j] < none
+                        left, j = left[some], j[some]
+                        hit = K.pair_distance(tile.values[left], other[j], rule.metric, rule.p) <= tile.radius
+                        best[left[hit]] = places[j[hit]]
+                        left, j = left[~hit], j[~hit]
+                        waiting[left, j] = none
+                found = np.flatnonzero(best < none)
+                if len(found):
+                    earliest = pa.array(order[n][best[found]])
+                    parts.append([batch.key.take(pa.array(tile.index[found])), patterns[n].key.take(earliest)])
+            return _table(_WAITS, parts)
 
         return run
 
@@ -571,31 +587,34 @@ def _settle_in_groups(open_: DataFrame, rule: _Rule) -> DataFrame:
 
 
 def _settle_in_rounds(open_: DataFrame, rule: _Rule, limits: dict) -> DataFrame:
-    """The same for any number of windows, by rounds over their neighbour graph.
+    """The same for any number of windows, by rounds.
 
-    A window with no undecided earlier neighbour is a representative; its later neighbours
-    are covered. The prefix rule keeps the graph sparse: a window close to many others is
-    covered by an earlier prefix and never gets here.
+    Each undecided window waits for the earliest undecided one within its radius. A window that waits for none is a
+    representative; the others are compared with the new representatives, and those near one are covered. Of the
+    rest, only windows whose earliest neighbour was covered look for the next one. A round writes at most one row
+    a window, however many neighbours it has.
     """
-    patterns = open_.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long"))
-    edges = materialise(score(_single(open_), patterns, _prepare_edges(rule), _EDGE, routing=_routing(rule), **limits), "edges")
-    undecided = open_.select("key")
-    chosen = None
+
+    def against(rows: DataFrame, patterns: DataFrame, prepare, result: pa.Schema) -> DataFrame:
+        patterns = patterns.withColumn("grp", F.lit(1)).withColumn("no", F.lit(0).cast("long"))
+        return score(_single(rows), patterns, prepare, result, routing=_routing(rule), **limits)
+
+    asking = undecided = open_
+    waits = chosen = None
     while True:
-        fresh = materialise(undecided.join(edges.select("key"), "key", "left_anti"), "round-reps")
+        found = against(asking, undecided, _prepare_earliest(rule), _WAITS).groupBy("key").agg(F.min("early_key").alias("early_key"))
+        waits = materialise(found if waits is None else waits.unionByName(found), "round-waits")
+        fresh = materialise(undecided.join(waits, "key", "left_anti").select(*_OPEN.names), "round-reps")
         chosen = fresh if chosen is None else chosen.unionByName(fresh)
-        early = F.col("key").alias("early_key")
-        beaten = edges.join(fresh.select(early), "early_key", "left_semi").select("key")
-        gone = materialise(beaten.distinct().unionByName(fresh), "round-gone")
-        undecided = materialise(undecided.join(gone, "key", "left_anti"), "round-open")
+        rest = undecided.join(waits, "key", "left_semi")
+        covered = materialise(against(rest, fresh, _prepare_covered(rule, 0.0, 1.0), _COVERED).select("key").distinct(), "round-covered")
+        undecided = materialise(rest.join(covered, "key", "left_anti").select(*_OPEN.names), "round-open")
         if undecided.isEmpty():
-            return open_.join(chosen, "key", "left_semi").select(*_OPEN.names)
-        edges = materialise(
-            edges.join(gone, "key", "left_anti")
-            .join(gone.select(early), "early_key", "left_anti")
-            .select("key", "early_key"),
-            "edges",
-        )
+            return chosen
+        early = undecided.select(F.col("key").alias("early_key"))
+        waits = waits.join(undecided, "key", "left_semi").join(early, "early_key", "left_semi").select("key", "early_key")
+        waits = materialise(waits, "round-kept")
+        asking = undecided.join(waits, "key", "left_anti")
 
 
 def _find_representatives(source, rule: _Rule, seeds: DataFrame | None, sizes: dict) -> DataFrame | None:
