@@ -49,12 +49,13 @@ def _runs(batches, encoder: WordIds, end_id: int, file_bytes: int):
         data = flat.astype("<u2").tobytes()
         at = 0
         for doc_id, length in zip(part.column(0).to_pylist(), (2 * lengths).tolist()):
-            if ids and held + length + 2 > file_bytes:
+            size = length + 2 + len(doc_id or "")  # the ids count too, as texts may be empty
+            if ids and held + size > file_bytes:
                 yield run()
                 tokens, ids, held = [], [], 0
             tokens.append(data[at : at + length])
             ids.append(doc_id)
-            held += length + 2
+            held += size
             at += length
     if ids:
         yield run()
