@@ -56,3 +56,28 @@ def test_the_stage_leaves_no_similar_pair(spark):
     far = [(plain.fingerprint(a) ^ plain.fingerprint(b)).bit_count() for i, (_, a) in enumerate(rows) for _, b in rows[:i] if similar(shingles(a), shingles(b))]
     assert max(far) > 3
     assert not [(a, b) for i, (a, x) in enumerate(kept) for b, y in kept[:i] if similar(x, y)]
+
+
+def linked_by_bits_alone():
+    """Two long texts of which operator 8 links fingerprints, while their five-word shingles are not similar by 0.8."""
+    rng = random.Random(11)
+    for _ in range(400):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(30)]
+        repeated = words * 40
+        other = list(repeated)
+        for at in rng.sample(range(len(other)), 20):
+            other[at] = f"x{rng.randrange(100_000)}"
+        a, b = " ".join(repeated), " ".join(other)
+        if (plain.fingerprint(a) ^ plain.fingerprint(b)).bit_count() <= 3 and not similar(shingles(a), shingles(b)):
+            return a, b
+    raise AssertionError("no such pair")
+
+
+def test_the_stage_drops_what_operator_8_links(spark):
+    """The stage looked for similar shingle sets alone before; both kinds of links together make the groups."""
+    a, b = linked_by_bits_alone()
+    chain = b.rsplit(" ", 1)[0] + " last"
+    assert similar(shingles(b), shingles(chain))
+    rows = [(1, a), (2, b), (3, chain), (4, plain.FILLER), (5, "other text " + plain.PASSAGE), (None, b)]
+    left = {r["doc_id"] for r in stages.near_duplicates(spark, plain.table(spark, rows), "").collect()}
+    assert left == {1, 4, 5}

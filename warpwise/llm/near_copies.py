@@ -11,6 +11,7 @@ these ties are the groups in which near copies are sought. Only the texts of suc
 again. A group is compared in one task on the shingle sets themselves; one of more than BLOCK_SHINGLES
 shingles is cut into blocks, each two of which meet in a group of their own. Of each group only a spanning
 forest of its links leaves the task. The connected components of the links are the groups of near copies.
+Groups of texts that operator 8 found by its fingerprints can be given; they link their nodes as well.
 
 Defined cases: a null text or one without words has the empty set, and all of these are copies; a text with
 fewer words than a shingle has one shingle, its whole sequence; rows without document id take part; of
@@ -179,13 +180,26 @@ def links(docs: DataFrame, printed: DataFrame, block_shingles: int = BLOCK_SHING
     return found.distinct()
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def ties_of(printed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes of ``printed`` (tie, node) that lie in one of the ``groups`` (tie, root)."""
+    grouped = printed.join(groups.distinct(), "tie").select("root", "node").distinct()
+    least = grouped.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("root", "low")
+    return grouped.join(least, "root").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+
+
+def one_of_each(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_shingles: int = BLOCK_SHINGLES, groups: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group, connected by links, the row with the smallest doc_id stays.
 
+    ``groups`` (tie, root) are texts, by their XXH64 as Spark has it, that another operator found to be copies; they link too.
     Between rows of one id a hash of the text decides; rows without id stay only where no other row does.
     """
     chosen = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     printed = materialise(signed(chosen), "shingle-signatures")
-    parts = materialise(connected_components(links(chosen.select("tie", "text"), printed, block_shingles), "node", "root"), "near-copies")
+    found = links(chosen.select("tie", "text"), printed, block_shingles)
+    if groups is not None:
+        found = found.unionByName(ties_of(printed, groups))
+    parts = materialise(connected_components(found, "node", "root"), "near-copies")
     found = printed.select("doc_id", "tie", "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return first_rows(docs, found, text, doc_id)

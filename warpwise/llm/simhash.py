@@ -287,6 +287,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return _grouped(docs, text, doc_id, hot_key).select("doc_id", "fp", "component_id")
 
 
+def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_key: int = HOT_KEY) -> DataFrame:
+    """(tie, root) of every row of ``docs``: a hash of its text, and a fingerprint that names its component."""
+    return _grouped(docs, text, doc_id, hot_key).select("tie", "root")
+
+
 def first_rows(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The rows of ``docs`` that come first in their root, as ``found`` (doc_id, tie, root) names it."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))

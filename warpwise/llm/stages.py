@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, line_dedup, near_copies, quality_trees, sentencepiece_bpe
+from . import decontamination, line_dedup, near_copies, quality_trees, sentencepiece_bpe, simhash
 from .columns import free
 from .queries import table, tokenizer_path
 
@@ -31,12 +31,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+    """One document of each group of near copies: those that operator 8 links, and those of a similarity of 0.8 or more.
 
-    Operator 8 itself is no stage: its three bits and three-word shingles are the contract of its query, and near copies of that
-    similarity differ in some eight bits. Its way of naming groups and of keeping one row of each is used here.
+    Operator 8 links fingerprints of three-word shingles that differ in at most three bits. Near copies of a similarity of 0.8
+    differ in some eight bits, so pairs of that similarity on five-word shingles are sought as well, and the links of both
+    together make the groups.
     """
-    return near_copies.one_of_each(docs).select(*docs.columns)
+    return near_copies.one_of_each(docs, groups=simhash.copies(docs)).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
