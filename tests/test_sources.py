@@ -230,3 +230,21 @@ def test_store(spark, tmp_path):
     status = store.series_status(segments, windows.where("series_id < 'id3'"), windows.where("series_id = 'id1'"))
     assert dict(status.collect()) == {"id1": "clustered", "id2": "grouped", "id3": "loaded"}
     assert collect(store.from_map(store.to_map(three(spark)))) == collect(three(spark))
+
+
+def test_ranges_grow_with_cores_and_points_alone(spark, monkeypatch):
+    """A small limit for gathering made one range for each so many points, and the driver hears of each pair of ranges."""
+    from warpwise.sources import long_table
+
+    asked = []
+
+    def noted(rows, order, partitions=None):
+        asked.append(partitions)
+        return number_points(rows, order, partitions)
+
+    monkeypatch.setattr(long_table, "number_points", noted)
+    table = spark.range(400).selectExpr("'a' id", "id ts", "cast(id as double) v")
+    points = sorted(tuple(r) for r in points_of_segments(segments_from_long(table, "id", ["ts"], "v", 4, stride=8, gather_points=1)).collect())
+    assert points == [("a", i, float(i)) for i in range(400)]
+    assert 1 < asked[0] <= 4 * spark.sparkContext.defaultParallelism
+    assert long_table.ranges_for(216_000_000, 5_000, 12) == 216

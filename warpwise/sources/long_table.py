@@ -11,6 +11,8 @@ from .segments import STRIDE, cut_segments, points_of_segments, segments_of_poin
 
 # A series up to this many points is gathered in one group; a longer one is numbered in ranges.
 GATHER_POINTS = 50_000
+# Points of one range, at most, where there are many; the driver keeps some numbers for each pair of ranges.
+RANGE_POINTS = 1_000_000
 
 
 def _rows(table: DataFrame, id_col: str, order_cols: list[str], value_col: str) -> DataFrame:
@@ -44,6 +46,11 @@ def number_points(rows: DataFrame, order: list[str], partitions: int | None = No
     )
 
 
+def ranges_for(points: int, gather_points: int, cores: int) -> int:
+    """How many ranges to number points in: enough for all cores, then one for RANGE_POINTS points."""
+    return max(min(math.ceil(points / max(1, gather_points)), 4 * cores), math.ceil(points / RANGE_POINTS))
+
+
 def segments_from_long(
     table: DataFrame,
     id_col: str,
@@ -70,7 +77,7 @@ def segments_from_long(
 
     if not huge_points:
         return gathered(rows)
-    partitions = math.ceil(huge_points / max(1, gather_points))
+    partitions = ranges_for(huge_points, gather_points, table.sparkSession.sparkContext.defaultParallelism)
     points = number_points(rows.join(huge, "series_id", "left_semi"), order, partitions)
     short = gathered(rows.join(huge, "series_id", "left_anti"))
     return with_layout(short.unionByName(segments_of_points(points, max_length, stride)), stride, max_length)
