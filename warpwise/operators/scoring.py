@@ -10,7 +10,7 @@ find. Without such features every row block meets every pattern block.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,11 +21,19 @@ from pyspark.sql.pandas.types import from_arrow_schema
 BROADCAST_CELLS = 16_000_000
 BLOCK_CELLS = 8_000_000
 ROW_CELLS = 16  # weight of a row's other columns
+PIECE_BYTES = 4 << 20  # of a batch of rows that a kernel takes at once
 FINEST = 10_000  # blocks of one length that are asked for at most; more come from salt
 
 Prepare = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.Table]]
 
 
+def pieces(batch: pa.RecordBatch, piece_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``piece_bytes``, so that what a kernel makes of one does not grow with Spark's batches."""
+    rows = max(1, batch.num_rows * piece_bytes // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def cells(frame: DataFrame, values: str = "values") -> int:
     """Weight of a frame in array cells, from one aggregate."""
     weight = F.sum(F.size(values).cast("long") + ROW_CELLS)
@@ -163,8 +171,9 @@ def score(
         def over_batches(batches):
             function = prepare(_from_bytes(shared.value))
             for batch in batches:
-                # one batch out per batch in: results come as many small pieces
-                yield from function(batch).combine_chunks().to_batches()
+                for piece in pieces(batch):
+                    # one batch out per piece: results come as many small tables
+                    yield from function(piece).combine_chunks().to_batches()
 
         return rows.mapInArrow(over_batches, schema)
 
@@ -172,7 +181,7 @@ def score(
         if not len(some) or not len(against):
             return result.empty_table()
         function = prepare(against)
-        parts = [function(batch) for batch in some.combine_chunks().to_batches()]
+        parts = [function(piece) for batch in some.combine_chunks().to_batches() for piece in pieces(batch)]
         return pa.concat_tables(parts).combine_chunks() if parts else result.empty_table()
 
     if routing is not None:
