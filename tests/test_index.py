@@ -60,6 +60,21 @@ def test_limits_keep_rows_from_being_warped(made):
     assert {tuple(r) for r in every.select("query_id", "length", "series_id", "start").collect()} <= kept
 
 
+def test_pairs_are_not_sorted_for_their_limits(made):
+    """All pairs with their values were sorted by bound in their tasks before; now their bounds are only aggregated."""
+    _, _, stored, queries = made
+    few = index.local_queries(queries)
+    chosen = index._chosen(index.nearest_clusters(queries, stored, 6, 7))
+    pairs = index.member_pairs(few, stored, chosen)
+    plan = index.limits(pairs, few, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bound#" in plan
+    assert not [line for line in plan.splitlines() if ("Window" in line or "Sort" in line) and "bound#" in line]
+    found = index.limits(pairs, few, 3).collect()
+    kth = search.top_k(index.nearest_members(queries, stored, index.nearest_clusters(queries, stored, 6, 7), 3), 3).where("rank = 3")
+    exact = {(r["query_id"], r["length"]): r["dist"] for r in kth.collect()}
+    assert found and all(r["limit"] >= exact[r["query_id"], r["length"]] for r in found)
+
+
 def test_bound_is_below_the_distance(spark):
     rnd = random.Random(5)
     values = [[round(rnd.uniform(-1, 1), rnd.choice([1, 3])) for _ in range(rnd.randint(1, 14))] for _ in range(120)]

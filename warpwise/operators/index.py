@@ -38,6 +38,7 @@ from .search import HIT, NEAREST, exclude_same_id, members_kernel, nearest_kerne
 END_POINTS = 3  # points of either end that bounds look at
 STAGED_ROWS = 2_000_000  # rows times queries from which a limit is worth a stage of its own
 PROBES = 4  # rows warped for the limit, times k
+SLOTS = 8  # slots for each of these rows
 LOCAL_QUERIES = 1_000  # queries that are taken to the driver, at most
 LOCAL_CLUSTERS = 10_000  # chosen clusters that are named in the filter on members, at most
 
@@ -141,14 +142,20 @@ def paired(rows: DataFrame, asked: DataFrame, by: list[str], drop_same: bool) ->
 def limits(pairs: DataFrame, patterns: pa.Table, k: int) -> DataFrame:
     """(query_id, length, limit): a distance that the k-th best of ``pairs`` does not exceed.
 
-    The pairs with the smallest bounds are warped; where a query has fewer than k of them there is no limit.
+    Pairs with the smallest bounds are warped; where a query has fewer than k of them there is no limit. They are found without
+    sorting all pairs: pairs are dealt to slots by a hash, and the PROBES * k-th of the smallest bounds of the slots is the highest
+    bound of a probe.
     """
     keys = ["query_id", "length"]
-    nearest = W.partitionBy(*keys).orderBy("bound", "series_id", "start")
-    probes = pairs.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= PROBES * k).drop("_rank")
-    warped = scoring.score(probes, patterns, members_kernel(k), HIT)
-    ranked = warped.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("dist"))).where(F.col("_rank") == k)
-    return ranked.select(*keys, F.col("dist").alias("limit"))
+    slot = F.pmod(F.xxhash64("series_id", "start"), F.lit(SLOTS * PROBES * k)).alias("_slot")
+    least = pairs.groupBy(*keys, slot).agg(F.min("bound").alias("_least"))
+    ranked = least.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_least")))
+    highest = ranked.where(F.col("_rank") <= PROBES * k).groupBy(*keys).agg(F.max("_least").alias("_highest"))
+    # written, so that the scan with values starts from one row per query and length
+    nearest = pairs.join(F.broadcast(materialise(highest, "probes")), keys).where(F.col("bound") <= F.col("_highest")).drop("_highest")
+    warped = scoring.score(nearest, patterns, members_kernel(k), HIT)
+    best = warped.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("dist"))).where(F.col("_rank") == k)
+    return best.select(*keys, F.col("dist").alias("limit"))
 
 
 def within_limits(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -159,7 +166,8 @@ def within_limits(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _staged(pairs: DataFrame, patterns: pa.Table, k: int, staged: bool) -> DataFrame:
-    return within_limits(pairs, limits(pairs, patterns, k)) if staged else pairs.drop("bound")
+    # written, as the plan of the pairs is asked for its partitions before it runs
+    return within_limits(pairs, materialise(limits(pairs, patterns, k), "limits")) if staged else pairs.drop("bound")
 
 
 def nearest_clusters(
