@@ -7,12 +7,13 @@ from warpwise.operators import scoring
 SEEN = pa.schema([("rows", pa.int64()), ("bytes", pa.int64())])
 
 
-def noting(table):
-    return lambda batch: pa.table([pa.array([batch.num_rows]), pa.array([batch.nbytes])], schema=SEEN)
-
-
 def test_kernels_take_bounded_pieces(spark):
     """A kernel took whole Arrow batches of 10,000 rows before, however wide the rows."""
+    schema = SEEN
+
+    def noting(table):
+        return lambda batch: pa.table([pa.array([batch.num_rows]), pa.array([batch.nbytes])], schema=schema)
+
     rows = spark.range(0, 20_000, 1, 2).selectExpr("'s' series_id", "array_repeat(cast(id as double), 200) values")
     for patterns, limits in ((pa.table({"values": [[1.0]]}), {}), (rows.limit(3), {"broadcast_cells": 0, "block_cells": 4_000_000})):
         seen = scoring.score(rows, patterns, noting, SEEN, **limits).collect()
