@@ -144,3 +144,23 @@ def test_rounds_write_one_row_a_window(spark, monkeypatch, alike):
     assert near > 20 * len(windows)
     assert sum(name == "round-reps" for name, _ in written) == (1 if alike else sum(name == "round-open" for name, _ in written))
     assert rows(got) == naive.leader(series, 3, 3, st, 5)
+
+
+@pytest.mark.parametrize("metric,st", [("dtw", 0.25), ("eu", 0.6)])
+def test_last_stretch_is_not_hashed(spark, monkeypatch, metric, st):
+    """All windows are hashed for their assignment only; the stretches before hash window by window what they list."""
+    from warpwise.operators import cluster
+
+    hashed, work_rows = [], cluster.work_rows
+    monkeypatch.setattr(cluster, "work_rows", lambda *args: (hashed.append(args[1:3]), work_rows(*args))[1])
+    series = make_series(12, 40, 40, seed=31) | {"gap": [0.1, 0.9, float("nan")] * 6}
+    got = rows(leader_clusters(segments(spark, series, 4), 3, 4, st, 4, metric, first_prefix=80))
+    assert hashed == [(3, 4)]
+    want = naive.leader({k: v for k, v in series.items() if k != "gap"}, 3, 4, st, 4, metric)
+
+    def placed(found):
+        return sorted((r[0], *r[2:5], round(r[5], 9)) for r in found)
+
+    kept = [r for r in got if r[2] != "gap"]
+    assert placed(kept) == placed(want)
+    assert len(got) == len(kept) + 15 + 14 and all(r[4] for r in got if r[2] == "gap")

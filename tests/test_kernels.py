@@ -73,3 +73,36 @@ def test_k_nearest(seed, k):
     rows, dist = K.k_nearest(a, q, k, tie)
     want = sorted((naive.dtw(list(a[r]), list(q)), tie[r], r) for r in range(20))[:k]
     assert rows.tolist() == [w[2] for w in want] and dist.tolist() == [w[0] for w in want]
+
+
+def test_few_pairs_in_reach_are_warped(monkeypatch):
+    """Looking for the nearest row, or for any near one, warps few of the pairs within the radius."""
+    rng = np.random.default_rng(8)
+    a, b = rng.exponential(0.1, (300, 7)).round(2), rng.exponential(0.1, (100, 5)).round(2)
+    b[10:20] = b[:10]
+    radius, order, allowed = 0.5, rng.permutation(100), rng.random((300, 100)) < 0.9
+    d = K.dtw_pairs(np.repeat(a, 100, axis=0), np.tile(b, (300, 1))).reshape(300, 100)
+    within = (d <= radius).sum()
+    warped, dtw_pairs = [], K.dtw_pairs
+    monkeypatch.setattr(K, "dtw_pairs", lambda x, y, *cost: (warped.append(len(x)), dtw_pairs(x, y, *cost))[1])
+    best = [min(((d[i, j], order[j], j) for j in np.flatnonzero(allowed[i] & (d[i] <= radius))), default=None) for i in range(300)]
+    i, j, dist = K.nearest(a, b, radius, allowed, [order], "dtw", 2.0)
+    assert i.tolist() == [k for k in range(300) if best[k]]
+    assert j.tolist() == [best[k][2] for k in i] and dist.tolist() == [best[k][0] for k in i]
+    assert sum(warped) < 0.4 * within
+    warped.clear()
+    assert (K.covered(a, b, radius, "dtw", 2.0) == (d <= radius).any(axis=1)).all()
+    assert sum(warped) < 0.1 * within
+
+
+def test_rounds_leave_no_pair_out():
+    """Bounds of warping lie below it, so pairs at the very radius, equal ones and single points are all found."""
+    rng = np.random.default_rng(3)
+    for m, n in [(1, 1), (1, 4), (2, 1), (2, 3), (3, 3), (6, 4)]:
+        a, b = rng.integers(0, 4, (60, m)) / 4, rng.integers(0, 4, (40, n)) / 4
+        d = K.dtw_pairs(np.repeat(a, 40, axis=0), np.tile(b, (60, 1))).reshape(60, 40)
+        for radius in (0.0, 0.25, 0.75):
+            found = np.full(d.shape, np.inf)
+            for i, j, dist in K.warp_rounds(a, b, np.full(60, radius)):
+                found[i, j] = dist
+            assert (found[d <= radius] == d[d <= radius]).all()

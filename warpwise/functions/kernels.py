@@ -13,6 +13,7 @@ import numpy as np
 ITEM_TILE = 512
 TILE_CELLS = 4_000_000
 PATTERN_TILE = 1024
+WARP_ITEM_TILE, WARP_PATTERN_TILE = 2048, 256  # the same of warping, whose patterns are few
 PAIR_CHUNK = 4096
 BOUND_CELLS = 2_000_000  # cells of window pairs laid out at a time for their bounds
 SLACK = 1e-9
@@ -26,9 +27,9 @@ def offsets_and_values(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
-def tile_rows(length: int) -> int:
+def tile_rows(length: int, most: int = ITEM_TILE) -> int:
     """Windows of one length laid out at a time."""
-    return max(16, min(ITEM_TILE, TILE_CELLS // length))
+    return max(16, min(most, TILE_CELLS // length))
 
 
 def owner_rows(column) -> np.ndarray:
@@ -105,6 +106,74 @@ def dtw_upper(a: np.ndarray, b: np.ndarray, cost: str = "abs") -> np.ndarray:
     return finish(along.sum(axis=1), cost)
 
 
+def _columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points of rows, place by place, and each row's lowest and highest one."""
+    points = np.ascontiguousarray(x.T)
+    return points, points.min(axis=0), points.max(axis=0)
+
+
+def _inner_excess(x, i, other, j) -> np.ndarray:
+    """What the inner points of rows ``i`` of ``x`` lie outside the ranges of rows ``j`` of ``other``, both as ``_columns`` gives them."""
+    low, high = other[1][j], other[2][j]
+    total = np.zeros(len(i))
+    for points in x[0][1:-1]:
+        point = points[i]
+        total += np.maximum(np.maximum(point - high, low - point), 0.0)
+    return total
+
+
+def warp_candidates(a: np.ndarray, b: np.ndarray, limit: np.ndarray, allowed=None):
+    """Pairs of rows whose DTW (absolute cost) may be within ``limit``, a number for each row of ``a``: ``(rows of a, rows of b, lower bounds)``.
+
+    Every path pays for both ends, and for each inner point at least its way outside the other's range.
+    The pairs come by rising row of ``a``.
+    """
+    reach = limit * (1 + SLACK) + 1e-12
+    ends = np.abs(a[:, 0, None] - b[None, :, 0])
+    if max(a.shape[1], b.shape[1]) > 1:
+        ends += np.abs(a[:, -1, None] - b[None, :, -1])
+    near = ends <= reach[:, None]
+    if allowed is not None:
+        near &= allowed
+    i, j = np.nonzero(near)
+    bound = ends[i, j]
+    left, right = _columns(a), _columns(b)
+    step = max(1, BOUND_CELLS // max(a.shape[1], b.shape[1]))
+    for at in range(0, len(i), step):
+        some, other = i[at : at + step], j[at : at + step]
+        bound[at : at + step] += np.maximum(_inner_excess(left, some, right, other), _inner_excess(right, other, left, some))
+    keep = bound <= reach[i]
+    return i[keep], j[keep], bound[keep]
+
+
+def warp_rounds(a: np.ndarray, b: np.ndarray, limit: np.ndarray, allowed=None):
+    """DTW of the pairs of rows that may be within ``limit``, by rounds: yields ``(rows of a, rows of b, distances)``.
+
+    A round warps the pairs with the smallest bounds of each row of ``a``: one, then two, four and so on. The caller lowers
+    ``limit`` in place between the rounds, and pairs whose bound lies above it by then are never warped.
+    """
+    i, j, bound = warp_candidates(a, b, limit, allowed)
+    take = 1
+    while len(i):
+        if take == 1:
+            start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            least = np.repeat(np.minimum.reduceat(bound, start), np.diff(np.append(start, len(i))))
+            now = np.flatnonzero(bound == least)
+            now = now[np.append(True, i[now[1:]] != i[now[:-1]])]
+        else:
+            if take == 2:
+                rank = np.lexsort((bound, i))
+                i, j, bound = i[rank], j[rank], bound[rank]
+            start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            now = np.flatnonzero(place < take)
+        yield i[now], j[now], dtw_pairs(a[i[now]], b[j[now]])
+        keep = bound <= limit[i] * (1 + SLACK) + 1e-12
+        keep[now] = False
+        i, j, bound = i[keep], j[keep], bound[keep]
+        take *= 2
+
+
 def best_of_groups(a, q, group, tie, cost="abs"):
     """Per group the row of ``a`` nearest to ``q`` by DTW: ``(row, distance)`` arrays.
 
@@ -185,18 +254,8 @@ def rough_matrix(a, b, radius, metric, p):
         return rough, SLACK * (na.max() + nb.max()) + 1e-15, radius * radius
     if metric == "dtw":
         rough = np.full((len(a), len(b)), np.inf)
-        reach = radius * (1 + SLACK) + 1e-12
-        ends = np.abs(a[:, 0, None] - b[None, :, 0])
-        if max(a.shape[1], b.shape[1]) > 1:
-            ends += np.abs(a[:, -1, None] - b[None, :, -1])
-        left, right = np.nonzero(ends <= reach)
-        step = max(1, BOUND_CELLS // max(a.shape[1], b.shape[1]))
-        for i in range(0, len(left), step):
-            some, other = left[i : i + step], right[i : i + step]
-            keep = dtw_lower(a[some], b[other]) <= reach
-            some, other = some[keep], other[keep]
-            if len(some):
-                rough[some, other] = dtw_pairs(a[some], b[other])
+        some, other, _ = warp_candidates(a, b, np.full(len(a), radius))
+        rough[some, other] = dtw_pairs(a[some], b[other])
         return rough, 0.0, radius
     rough = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
@@ -211,6 +270,13 @@ def covered(a, b, radius, metric, p) -> np.ndarray:
     found = np.zeros(len(a), dtype=bool)
     for at in range(0, len(b), PATTERN_TILE):
         tile = b[at : at + PATTERN_TILE]
+        if metric == "dtw":
+            left = np.flatnonzero(~found)
+            limit = np.full(len(left), radius)
+            for i, _, d in warp_rounds(a[left], tile, limit):
+                limit[i[d <= radius]] = -np.inf
+            found[left[limit < 0]] = True
+            continue
         rough, error, limit = rough_matrix(a, tile, radius, metric, p)
         found |= (rough <= limit - error).any(axis=1)
         unsure = np.nonzero(~found)[0]
@@ -242,16 +308,25 @@ def leaders(x: np.ndarray, radius: float, metric: str, p: float, block: int = 25
 def nearest(a, b, radius, allowed, keys, metric, p):
     """Nearest allowed row of ``b`` within ``radius`` for each row of ``a`` (all, if ``allowed`` is None).
 
-    Returns ``(rows of a, rows of b, distances)`` for the rows that have one; equal distances
-    go to the smallest ``keys`` (a list of arrays over ``b``, most significant first).
+    ``radius`` may be an array, a number for each row of ``a``. Returns ``(rows of a, rows of b, distances)`` for the rows that
+    have one; equal distances go to the smallest ``keys`` (a list of arrays over ``b``, most significant first).
     """
-    rough, error, limit = rough_matrix(a, b, radius, metric, p)
-    if allowed is not None:
-        np.putmask(rough, ~allowed, np.inf)
-    best = np.minimum(rough.min(axis=1) + 2 * error, limit + error)
-    i, j = np.nonzero(rough <= best[:, None])
-    d = pair_distance(a[i], b[j], metric, p)
-    keep = d <= radius
+    if metric == "dtw":
+        limit, found = np.full(len(a), radius), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i, j, d in warp_rounds(a, b, limit, allowed):
+            near = d <= limit[i]
+            found.append((i[near], j[near], d[near]))
+            np.minimum.at(limit, i[near], d[near])
+        i, j, d = (np.concatenate(c) for c in zip(*found))
+        keep = d <= limit[i]
+    else:
+        rough, error, limit = rough_matrix(a, b, radius, metric, p)
+        if allowed is not None:
+            np.putmask(rough, ~allowed, np.inf)
+        best = np.minimum(rough.min(axis=1) + 2 * error, limit + error)
+        i, j = np.nonzero(rough <= best[:, None])
+        d = pair_distance(a[i], b[j], metric, p)
+        keep = d <= radius
     i, j, d = i[keep], j[keep], d[keep]
     rank = np.lexsort([k[j] for k in reversed(keys)] + [d, i])
     i, j, d = i[rank], j[rank], d[rank]

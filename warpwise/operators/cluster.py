@@ -31,6 +31,8 @@ GROWTH = 8  # the second prefix is this many times the first one
 MOST_GROWTH = 64  # a later prefix grows by what its predecessor left uncovered, up to this
 GROUP_ITEMS = 16_384  # uncovered windows of one length that one task settles by itself ...
 GROUP_CELLS = 16_000_000  # ... and the points these may have together
+FLAT_VALUES = 4  # values a point, at most, in rows of one window each
+COMPARED_AGAIN = 0.25  # share of windows that the last stretch may compare once more to spare hashing all
 
 _WINDOW = [
     ("series_id", pa.string()),
@@ -109,19 +111,33 @@ def work_rows(
     between the shares ``low`` and ``high`` are listed, and only rows that list some.
     """
 
-    def item(at: Column) -> Column:
-        start = F.col("seg_start") + at
-        digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
-        return F.struct(start.alias("start"), digest.alias("key"))
+    def start(at: Column) -> Column:
+        return F.col("seg_start") + at
+
+    def digest(at: Column) -> Column:
+        return priority(seed, F.col("series_id"), start(at), start(at) + F.col("length"))
 
     def inside(x: Column) -> Column:
         above = x["key"] >= _hex_bound(low) if low > 0 else F.lit(True)
         return above & (x["key"] < _hex_bound(high)) if high < 1 else above
 
-    items = F.transform(_places(True), item)
     if low > 0 or high < 1:
-        items = F.filter(items, inside)
-    items = F.transform(items, lambda x: F.struct(x["start"], F.unhex(x["key"]).alias("key")))
+        items = F.transform(_places(True), lambda at: F.struct(start(at).alias("start"), digest(at).alias("key")))
+        items = F.transform(F.filter(items, inside), lambda x: F.struct(x["start"], F.unhex(x["key"]).alias("key")))
+    else:
+        items = F.transform(_places(True), lambda at: F.struct(start(at).alias("start"), F.unhex(digest(at)).alias("key")))
+    return _listed(segments, shortest, longest, include_last, items)
+
+
+def unkeyed_rows(segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool) -> DataFrame:
+    """The rows of ``work_rows`` with zeros for keys: no window is hashed."""
+    key = F.lit(bytearray(16)).alias("key")
+    items = F.transform(_places(True), lambda at: F.struct((F.col("seg_start") + at).alias("start"), key))
+    return _listed(segments, shortest, longest, include_last, items)
+
+
+def _listed(segments: DataFrame, shortest: int, longest: int, include_last: bool, items: Column) -> DataFrame:
+    """One row per segment and length that has ``items``, with the values of its windows."""
     # exploding a list of one drops the rows without windows; a filter would compute the items twice
     listed = F.explode(F.filter(F.array(items), lambda x: F.size(x) > 0))
     return (
@@ -157,9 +173,9 @@ def lone_windows(segments: DataFrame, shortest: int, longest: int, seed: int, in
 
 
 def first_windows(
-    segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool, high: float
+    segments: DataFrame, shortest: int, longest: int, seed: int, include_last: bool, high: float, low: float = 0.0
 ) -> DataFrame:
-    """The windows, with values, whose place lies in the first share ``high`` of the order."""
+    """The windows, with values, whose place lies between the shares ``low`` and ``high`` of the order."""
     start = F.col("seg_start") + F.col("at")
     digest = priority(seed, F.col("series_id"), start, start + F.col("length"))
     flat = (
@@ -169,6 +185,8 @@ def first_windows(
     )
     if high < 1:
         flat = flat.where(F.col("digest") < _hex_bound(high))
+    if low > 0:
+        flat = flat.where(F.col("digest") >= _hex_bound(low))
     return flat.select(
         "series_id",
         "length",
@@ -289,7 +307,8 @@ def _tiles(batch: _Batch, rule, patterns, low=0.0, high=1.0):
         chosen = chosen[np.argsort(order, kind="stable")]
         radius = rule.radius(n)
         near = [p for m, p in patterns.items() if m == n or (rule.cross_length and m < n)]
-        size = K.tile_rows(n)
+        size = K.tile_rows(n, K.WARP_ITEM_TILE if rule.cross_length else K.ITEM_TILE)
+        width = K.WARP_PATTERN_TILE if rule.cross_length else K.PATTERN_TILE
         for first in range(0, len(chosen), size):
             tile = chosen[first : first + size]
             values = flat[at[tile][:, None] + np.arange(n)]
@@ -301,7 +320,7 @@ def _tiles(batch: _Batch, rule, patterns, low=0.0, high=1.0):
             for p in near:
                 a = np.searchsorted(p.means, means.min() - reach, "left")
                 b = np.searchsorted(p.means, means.max() + reach, "right")
-                slices += [(p, slice(s, min(s + K.PATTERN_TILE, b))) for s in range(a, b, K.PATTERN_TILE)]
+                slices += [(p, slice(s, min(s + width, b))) for s in range(a, b, width)]
             yield _Tile(tile, hi[tile], lo[tile], values, n, radius, slices)
 
 
@@ -480,11 +499,15 @@ def _routing(rule: _Rule) -> Routing:
 
 def _uncovered(source, known: DataFrame, rule: _Rule, low: float, high: float, limits: dict) -> DataFrame:
     """Windows of a stretch of the order that no pattern covers, with their values."""
+    digest = F.lower(F.hex("key"))
     if cells(known) <= limits["broadcast_cells"]:
+        if high >= 1.0 and low <= COMPARED_AGAIN and isinstance(source, _Windows):
+            # the windows before the stretch are covered, so all may be compared, and only the uncovered ones are hashed
+            found = score(source.unkeyed(), known, _prepare_open(rule, 0.0, 1.0), _OPEN, **limits)
+            return source.keyed(found).where(digest >= _hex_bound(low))
         return score(source.rows(low, high), known, _prepare_open(rule, low, high), _OPEN, **limits)
     rows = source.rows(low, high)
     covered = score(rows, known, _prepare_covered(rule, low, high), _COVERED, routing=_routing(rule), **limits)
-    digest = F.lower(F.hex("key"))
     stretch = _flat(rows)
     if low > 0:
         stretch = stretch.where(digest >= _hex_bound(low))
@@ -503,11 +526,13 @@ def _prepare_assign(rule: _Rule):
         def run(batch: pa.RecordBatch) -> pa.Table:
             parts, batch = [], _Batch(batch)
             for tile in _tiles(batch, rule, patterns):
-                found = []
+                found, radius = [], np.full(len(tile.values), tile.radius) if rule.cross_length else tile.radius
                 for s, (pattern, part) in enumerate(tile.slices):
                     allowed = _earlier(pattern, part, tile, strict=False)
                     keys = [pattern.grp[part], pattern.hi[part], pattern.lo[part]]
-                    i, j, d = K.nearest(tile.values, pattern.values[part], tile.radius, allowed, keys, rule.metric, rule.p)
+                    i, j, d = K.nearest(tile.values, pattern.values[part], radius, allowed, keys, rule.metric, rule.p)
+                    if rule.cross_length:
+                        radius[i] = d  # none farther than the nearest so far is looked for
                     same, number = np.full(len(i), pattern.length, np.int32), pattern.no[part][j]
                     found.append((i, d, keys[0][j], same, keys[1][j], keys[2][j], number, np.full(len(i), s), j + part.start))
                 if not found:
@@ -734,8 +759,20 @@ class _Windows:
         return _Windows(self.segments, length, length, *self.args[2:], most=self.most)
 
     def rows(self, low: float = 0.0, high: float = 1.0) -> DataFrame:
+        # a small share comes window by window: faster to hash, and with few values a point
+        if high < 1 and (high - low) * self.args[1] <= FLAT_VALUES:
+            return _single(first_windows(self.segments, *self.args, high, low))
         return work_rows(self.segments, *self.args, low, high)
 
+    def unkeyed(self) -> DataFrame:
+        """All windows, with zeros for keys."""
+        return unkeyed_rows(self.segments, *self.args)
+
+    def keyed(self, windows: DataFrame) -> DataFrame:
+        """The keys of windows that have zeros for them."""
+        digest = priority(self.args[2], F.col("series_id"), F.col("start"), F.col("start") + F.col("length"))
+        return windows.withColumn("key", F.unhex(digest))
+
     def lone(self) -> DataFrame | None:
         """Windows that no distance reaches, written; None when all values are finite."""
         return materialise(lone_windows(self.segments, *self.args), "lone") if self.some_bad else None
